@@ -1,13 +1,28 @@
 """The queries over the operators, each over its whole table, and their SQL."""
 
-from . import exact_dedup, sharding, url_filter
+from . import ann, exact_dedup, language_id, packing, sharding, url_filter
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file lies; every executor has the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_virtual_slot_sharding(spark, sf_dir):
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_centroid_language(spark, sf_dir):
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op6_collision_counting_ann(spark, sf_dir):
+    return ann.divisible_queries(table(spark, sf_dir, "embeddings"))
+
+
 def op7_extendible_hash_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("bucket", "depth")
 
@@ -16,7 +31,21 @@ def op8_redirect_url_filter(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages")).drop("inherited")
 
 
-QUERIES = {f.__name__: f for f in (op2_virtual_slot_sharding, op7_extendible_hash_dedup, op8_redirect_url_filter)}
+def op9_best_two_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_virtual_slot_sharding,
+        op4_nearest_centroid_language,
+        op6_collision_counting_ann,
+        op7_extendible_hash_dedup,
+        op8_redirect_url_filter,
+        op9_best_two_fit_packing,
+    )
+}
 
 ORACLE = {
     "op7_extendible_hash_dedup": r"""
