@@ -32,7 +32,7 @@ from .common import pieces_of, staged
 
 M_PROJECTIONS = 96
 SHARE = 0.6
-#: Windows widen until this share of a block, and 10 k vectors at least, has passed the threshold.
+#: Windows widen until this share of a block, and 16 k vectors at least, has passed the threshold.
 ENOUGH = 0.2
 FIRST, FACTOR = 0.8, 1.2
 BLOCK, QUERY_BLOCK = 16384, 512
@@ -110,7 +110,7 @@ def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             index = held[row.x_block, row.dim]
             query_ids = np.frombuffer(row.q_ids, np.int64)
             queries = np.frombuffer(row.q_vecs, np.float64).reshape(len(query_ids), row.dim)
-            least = max(10 * k, int(ENOUGH * len(ids)))
+            least = max(16 * k, int(ENOUGH * len(ids)))
             out = []
             for query_id, query in zip(query_ids, queries, strict=True):
                 at = index.candidates(query, least)

@@ -70,7 +70,7 @@ def directory(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     )
     return (
         by_depth.drop("n")
-        .join(fits.drop("n"), ["depth", "prefix"])
+        .join(F.broadcast(fits.drop("n")), ["depth", "prefix"])  # fewer than 2 ** (MOST_DEPTH + 1) rows
         .groupBy("cell")
         .agg(F.min("depth").alias("depth"))
         .withColumn("bucket", F.expr(f"shiftright(cell, {MOST_DEPTH} - depth)"))

@@ -1,6 +1,6 @@
 """The queries over the operators, each over its whole table, and their SQL."""
 
-from . import ann, exact_dedup, language_id, packing, sharding, url_filter
+from . import ann, exact_dedup, language_id, mixing, packing, sharding, url_filter
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_nearest_centroid_language(spark, sf_dir):
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op5_hierarchical_mix(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_collision_counting_ann(spark, sf_dir):
     return ann.divisible_queries(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     for f in (
         op2_virtual_slot_sharding,
         op4_nearest_centroid_language,
+        op5_hierarchical_mix,
         op6_collision_counting_ann,
         op7_extendible_hash_dedup,
         op8_redirect_url_filter,
