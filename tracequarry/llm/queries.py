@@ -1,6 +1,6 @@
 """The queries over the operators, each over its whole table, and their SQL."""
 
-from . import ann, exact_dedup, language_id, mixing, packing, sharding, url_filter
+from . import ann, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, url_filter
 from .common import table
 
 
@@ -11,6 +11,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chosen_path_jaccard(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_virtual_slot_sharding(spark, sf_dir):
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op9_best_two_fit_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chosen_path_jaccard,
         op2_virtual_slot_sharding,
         op4_nearest_centroid_language,
         op5_hierarchical_mix,
