@@ -1,6 +1,6 @@
 """The queries over the operators, each over its whole table, and their SQL."""
 
-from . import ann, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, url_filter
+from . import ann, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, sharding, url_filter
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op9_best_two_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_wrapper_html_extraction(spark, sf_dir):
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -54,6 +58,7 @@ QUERIES = {
         op7_extendible_hash_dedup,
         op8_redirect_url_filter,
         op9_best_two_fit_packing,
+        op10_wrapper_html_extraction,
     )
 }
 
