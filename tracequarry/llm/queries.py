@@ -1,6 +1,6 @@
 """The queries over the operators, each over its whole table, and their SQL."""
 
-from . import ann, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, sharding, url_filter
+from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, sharding, url_filter
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op2_virtual_slot_sharding(spark, sf_dir):
     return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_attention_lm_scoring(spark, sf_dir):
+    import public_tokenizers
+
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_nearest_centroid_language(spark, sf_dir):
     return language_id.identified(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     for f in (
         op1_chosen_path_jaccard,
         op2_virtual_slot_sharding,
+        op3_attention_lm_scoring,
         op4_nearest_centroid_language,
         op5_hierarchical_mix,
         op6_collision_counting_ann,
