@@ -100,3 +100,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
     return index.select("doc_id", "key", "text_sha256").join(groups, ["key", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "depth"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows that repeat an id and a text, one."""
+    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(stripped(F.col("text")).cast("binary"), 256)
+    marked = docs.withColumn("_text_sha", sha)
+    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_sha"] == kept["_sha"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")

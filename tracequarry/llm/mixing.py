@@ -48,7 +48,7 @@ def leaf_columns(n_domains: int = DOMAINS) -> dict[str, Column]:
     """A row's place in the tree. Domains group sources by checksum; a catalogue of sources would take its place."""
     source = F.coalesce("source", F.lit("(none)"))
     return {
-        "_domain": F.concat(F.lit("d"), F.crc32(source.cast("binary")) % n_domains),
+        "_domain": F.concat(F.lit("d"), F.conv(F.substring(F.md5(source.cast("binary")), 1, 6), 16, 10).cast("long") % n_domains),
         "_lang": F.coalesce("lang", F.lit("(none)")),
         "_source": source,
     }

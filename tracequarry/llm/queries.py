@@ -69,7 +69,61 @@ QUERIES = {
     )
 }
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # its stages come from this package, so it is imported when it is asked for
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
 ORACLE = {
+    # Water filling at each level, as in mixing.leaf_budgets; the order's key is an MD5, which DuckDB has too.
+    "op5_hierarchical_mix": r"""
+        WITH rows AS (
+          SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+                 coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens
+          FROM documents),
+        placed AS (SELECT *, 'd' || (('0x' || substr(md5(source), 1, 6))::BIGINT % 3) AS domain FROM rows),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS cap FROM placed GROUP BY ALL),
+        root AS (SELECT coalesce(sum(tokens), 0)::BIGINT * 0.5::DOUBLE AS budget FROM leaves),
+        n1 AS (
+          SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'd0' THEN 500 WHEN 'd1' THEN 300 WHEN 'd2' THEN 200 ELSE 100 END AS weight
+          FROM leaves GROUP BY 1),
+        l1 AS (
+          SELECT *, cap::DOUBLE / weight AS ratio,
+                 (budget - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+          FROM n1, root WINDOW b AS (ORDER BY cap::DOUBLE / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g1 AS (
+          SELECT domain, CASE WHEN ratio <= level THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * (max(level) FILTER (WHERE ratio > level) OVER ())) END AS budget FROM l1),
+        n2 AS (
+          SELECT domain, lang, sum(cap)::BIGINT AS cap, CASE lang WHEN 'en' THEN 400 WHEN 'fr' THEN 250 WHEN 'de' THEN 200 WHEN 'es' THEN 150 ELSE 100 END AS weight
+          FROM leaves GROUP BY 1, 2),
+        l2 AS (
+          SELECT *, cap::DOUBLE / weight AS ratio,
+                 (budget - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER (PARTITION BY domain) - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+          FROM n2 JOIN g1 USING (domain) WINDOW b AS (PARTITION BY domain ORDER BY cap::DOUBLE / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g2 AS (
+          SELECT domain, lang, CASE WHEN ratio <= level THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * (max(level) FILTER (WHERE ratio > level) OVER (PARTITION BY domain))) END AS budget FROM l2),
+        l3 AS (
+          SELECT domain, lang, source, tokens, cap, 100 AS weight, cap::DOUBLE / 100 AS ratio,
+                 (budget - coalesce(sum(cap) OVER b, 0)) / (sum(100) OVER (PARTITION BY domain, lang) - coalesce(sum(100) OVER b, 0))::DOUBLE AS level
+          FROM leaves JOIN g2 USING (domain, lang) WINDOW b AS (PARTITION BY domain, lang ORDER BY cap::DOUBLE / 100, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g3 AS (
+          SELECT domain, lang, source, tokens, CASE WHEN ratio <= level THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * (max(level) FILTER (WHERE ratio > level) OVER (PARTITION BY domain, lang))) END AS leaf_budget FROM l3),
+        plan AS (
+          SELECT *, CASE WHEN tokens > 0 THEN floor(leaf_budget / tokens)::INT ELSE 1 END AS full_epochs FROM g3),
+        offered AS (
+          SELECT p.*, plan.leaf_budget, plan.tokens, plan.full_epochs, unnest(range(0, plan.full_epochs + 1))::INT AS epoch
+          FROM placed p JOIN plan USING (domain, lang, source)),
+        ordered AS (
+          SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5(concat_ws('-', doc_id, '42', epoch)), doc_id
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM offered)
+        SELECT doc_id, domain, lang, source, epoch, n_tokens, leaf_budget FROM ordered
+        WHERE epoch < full_epochs OR (tokens > 0 AND before < leaf_budget - full_epochs * tokens)
+    """,
     "op7_extendible_hash_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS n_points,
