@@ -1,4 +1,6 @@
 """Every query of the engine by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tracequarry.plans import levels, summaries, turns
+from tracequarry.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "levels", "summaries", "turns"]
