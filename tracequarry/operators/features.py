@@ -52,9 +52,11 @@ def added_lines(patch: Column) -> Column:
 
 def proxy_features(trials: DataFrame) -> DataFrame:
     """One row of structural features for each trial, without exploding its messages."""
-    role, calls = F.col("messages.role"), F.flatten(F.col("messages.tool_calls.function.arguments"))
+    role = F.col("messages.role")
+    told = F.filter(F.col("messages.tool_calls"), lambda c: c.isNotNull())
+    calls = F.flatten(F.transform(told, lambda c: F.transform(c, lambda x: x["function"]["arguments"])))
     arguments = F.filter(F.coalesce(calls, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    last = F.element_at(F.filter(F.zip_with(role, F.col("messages.content"), lambda r, c: F.when(r == "assistant", F.coalesce(c, F.lit("")))), lambda x: x.isNotNull()), -1)
+    last = F.try_element_at(F.filter(F.zip_with(role, F.col("messages.content"), lambda r, c: F.when(r == "assistant", F.coalesce(c, F.lit("")))), lambda x: x.isNotNull()), F.lit(-1))
     out = trials.withColumn("_args", arguments).withColumns({
         "n_messages": F.coalesce(F.array_size(role), F.lit(0)),
         "n_assistant_turns": F.coalesce(F.size(F.filter(role, lambda r: r == "assistant")), F.lit(0)),
