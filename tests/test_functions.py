@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import compat
 from tracequarry.operators import features, stats, tasks
 from tracequarry.operators import trials as t
-from tracequarry.sources import corpus
+from tracequarry.sources import corpus, views
 from tracequarry.streaming import ingest
 
 
@@ -142,3 +142,18 @@ def test_streaming_health_and_attempts(spark, small, tmp_path):
     q.awaitTermination(60)
     assert spark.table("once").count() == events.select("user_id", "event_type").distinct().count()
     assert ingest.new_signatures(spark.createDataFrame([("x",), ("y",)], "signature string"), spark.createDataFrame([("x",)], "signature string")).count() == 1
+
+
+def test_views_and_summaries(spark, corpus_dir, tmp_path):
+    views.register_views(spark, str(corpus_dir))
+    assert {r.outcome_label for r in spark.table("trial_summary").collect()} == {"success", "failed", "unknown"}
+    turn = spark.table("trace_turns").orderBy("turn_idx").collect()
+    assert [(r.turn_idx, r.has_tool_call, r.has_tool_call_nonempty) for r in turn] == [(1, False, False), (2, True, True)]
+    assert spark.table("catalog_resolved_rates").first().n == 3
+    assert views.refresh_summaries(spark) == ["trace_empty_patch_rate", "trace_summary_by_category", "trace_summary_by_language"]
+    assert spark.table("trace_empty_patch_rate").first().empty_rate == pytest.approx(2 / 3)
+    log = str(tmp_path / "log")
+    assert views.run_logged(spark, "SELECT count(*) AS n FROM traces", log).first().n == 3
+    assert spark.read.parquet(log).first().sql.startswith("SELECT")
+    gaps = views.catalog_gaps(spark, spark.createDataFrame([("traces",), ("nowhere",)], "name string")).collect()
+    assert ("nowhere", "missing") in {tuple(r) for r in gaps} and ("traces", "unregistered") not in {tuple(r) for r in gaps}

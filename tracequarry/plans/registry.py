@@ -1,6 +1,6 @@
 """Every query of the engine by name, and its SQL."""
 
-from tracequarry.plans import levels, summaries, turns
+from tracequarry.plans import levels, relational, summaries, turns
 from tracequarry.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "levels", "summaries", "turns"]
+__all__ = ["ORACLE", "QUERIES", "levels", "relational", "summaries", "turns"]

@@ -63,7 +63,7 @@ def empty_text_rate(spark, d):
 
 @query(f"SELECT language, harness, count(*) AS n, {_SPLIT} FROM {TRIALS} GROUP BY 1, 2")
 def summary_by_language(spark, d):
-    """The summary table; refresh_summaries() in operators writes it."""
+    """What refresh_summaries() in sources.views writes as a table."""
     df = trials(spark, d)
     return df.groupBy("language", "harness").agg(F.count("*").alias("n"), *t.resolved_split(df))
 
