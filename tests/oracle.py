@@ -16,7 +16,7 @@ def connection(sf_dir):
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return ""
     if isinstance(v, int | float) and not isinstance(v, bool):
         return repr(round(float(v), 9))
