@@ -78,7 +78,36 @@ def pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = pipeline
 
+_BARE = r"regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_entity}', '{_char}')"
+
 ORACLE = {
+    # For pages as the tables have them: one bare article of headings, paragraphs, breaks and bold text.
+    "op10_wrapper_html_extraction": rf"""
+        SELECT page_id, url, text, length(text) AS n_chars
+        FROM (SELECT page_id, url, trim(regexp_replace({_BARE}, '\s+', ' ', 'g')) AS text FROM pages)
+    """,
+    # All pairs that share a shingle, compared exactly; classes by reachability.
+    "op1_chosen_path_jaccard": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+          FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+        links AS (
+          SELECT a, b, c = na.n AND c = nb.n AS equal
+          FROM pairs JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        classes AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1),
+        counts AS (SELECT a, count(*) AS n_links, count(*) FILTER (equal) AS n_equal FROM links GROUP BY 1)
+        SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, 1 + coalesce(n_equal, 0)::BIGINT AS n_copies, coalesce(n.n, 0)::INT AS n_shingles
+        FROM documents JOIN classes ON classes.a = doc_id LEFT JOIN counts ON counts.a = doc_id LEFT JOIN n USING (doc_id)
+    """,
     # Water filling at each level, as in mixing.leaf_budgets; the order's key is an MD5, which DuckDB has too.
     "op5_hierarchical_mix": r"""
         WITH rows AS (
