@@ -67,7 +67,7 @@ class BlockIndex:
 
     def __init__(self, vectors: np.ndarray, m: int = M_PROJECTIONS, seed: int = SEED):
         n, dim = vectors.shape
-        self.vectors = vectors
+        self.vectors, self.step = vectors, 0
         scaled = vectors / np.abs(vectors).max()  # so that squares of very large components stay finite
         norm2 = (scaled * scaled).sum(axis=1)
         self.longest = float(np.sqrt(norm2.max()))
@@ -81,21 +81,34 @@ class BlockIndex:
 
     def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
         """Positions of at least `least` vectors (all, if there are fewer) that pass the collision threshold."""
-        m, n = self.rank.shape
+        n = self.rank.shape[1]
         if least >= n:
             return np.arange(n)
         query = query / np.abs(query).max()
         centre = (query * (self.longest / np.linalg.norm(query))) @ self.axes[:-1]
-        width = FIRST * self.longest
-        while True:
-            low = np.array([np.searchsorted(v, c - width, "left") for v, c in zip(self.sorted, centre, strict=True)])
-            high = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.sorted, centre, strict=True)])
-            inside = (self.rank - low.astype(self.rank.dtype)[:, None]) < (high - low).astype(self.rank.dtype)[:, None]  # below low wraps round
-            hits = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.uint16)
-            found = np.flatnonzero(hits >= SHARE * m)
-            if len(found) >= least:
-                return found
-            width *= FACTOR
+        # Widths are FIRST * FACTOR ** step. The least that is enough is sought from the last query's on, down or up.
+        found = self._colliding(centre)
+        if len(found) >= least:
+            while self.step > 0:
+                self.step -= 1
+                fewer = self._colliding(centre)
+                if len(fewer) < least:
+                    self.step += 1
+                    break
+                found = fewer
+        while len(found) < least:
+            self.step += 1
+            found = self._colliding(centre)
+        return found
+
+    def _colliding(self, centre: np.ndarray) -> np.ndarray:
+        """Positions that collide in SHARE of the projections, at the present width."""
+        width, m = FIRST * self.longest * FACTOR**self.step, len(self.rank)
+        low = np.array([np.searchsorted(v, c - width, "left") for v, c in zip(self.sorted, centre, strict=True)])
+        high = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.sorted, centre, strict=True)])
+        inside = (self.rank - low.astype(self.rank.dtype)[:, None]) < (high - low).astype(self.rank.dtype)[:, None]  # below low wraps round
+        hits = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.uint16)
+        return np.flatnonzero(hits >= SHARE * m)
 
 
 def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
