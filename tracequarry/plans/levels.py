@@ -146,10 +146,11 @@ def size_mixture(spark, d):
 
 
 def _checkpointed(spark):
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    """Checkpoints need a folder: the cluster's, or one of our own where none is named, as in tests."""
+    if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracequarry-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracequarry-"))
 
 
 @query()
