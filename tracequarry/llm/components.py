@@ -8,13 +8,13 @@ from .common import staged
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
     return both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     near = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -25,7 +25,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges: (u, v) of one ordered type. Self-loops, repeated edges and nulls are
     allowed; a null end makes no edge. An edge list without edges gives no row.
     Each round is written to the shared folder, so a lost executor costs a part of
-    one round.
+    one round. So are the least neighbours: both sides of a star's join are read from
+    files, and Spark can split the part of a hub with very many edges.
     """
     now = staged(edges.select("u", "v").filter("u != v").distinct(), "cc")
     before = None

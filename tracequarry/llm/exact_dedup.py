@@ -104,8 +104,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucke
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and a text, one."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    kept = dedup(docs).filter("kept").select(*_row_keys(F.col("text_sha256"))).distinct()
     sha = F.sha2(stripped(F.col("text")).cast("binary"), 256)
-    marked = docs.withColumn("_text_sha", sha)
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_sha"] == kept["_sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    keyed = docs.select("*", *_row_keys(sha))
+    names = ["_id", "_no_id", "_text_sha"]
+    # The join deals rows out by these names, so dropping repeats needs no shuffle of its own.
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+
+
+def _row_keys(sha: Column) -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("doc_id").isNull().alias("_no_id"), sha.alias("_text_sha")]
