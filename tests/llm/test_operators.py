@@ -387,6 +387,17 @@ def test_mixing(spark, docs, none):
     assert sum(budgets.values()) <= 0.5 * total + 1e-6
     assert mixing.mixed(none).count() == 0
     assert set(table.columns) <= set(mixing.mixed(table).columns)
+    assert mixing.mixed(docs.withColumn("epoch", F.lit("e"))).columns.count("epoch") == 1
+
+
+def test_whole_rows_with_names_used_inside(spark, docs):
+    names = ["_id", "_no_id", "_text_sha", "row", "_domain", "_full", "_cut_key", "_kept", "epoch", "leaf_budget", "doc_id_"]
+    wide = docs.withColumns({n: F.lit("own") for n in names})
+    for stage in (exact_dedup.one_of_each, jaccard_join.one_of_each, mixing.taken):
+        out, plain = stage(wide), stage(docs)
+        assert out.columns == wide.columns
+        assert out.filter(" or ".join(f"`{n}` != 'own'" for n in names)).count() == 0
+        assert sorted(out.select(docs.columns).collect(), key=str) == sorted(plain.collect(), key=str)
 
 
 # --- 6 -------------------------------------------------------------------------------------------

@@ -106,10 +106,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and a text, one."""
     kept = dedup(docs).filter("kept").select(*_row_keys(F.col("text_sha256"))).distinct()
     sha = F.sha2(stripped(F.col("text")).cast("binary"), 256)
-    keyed = docs.select("*", *_row_keys(sha))
+    keyed = docs.select(F.struct("*").alias("row"), *_row_keys(sha))  # inside the struct no name can clash
     names = ["_id", "_no_id", "_text_sha"]
     # The join deals rows out by these names, so dropping repeats needs no shuffle of its own.
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select("row.*")
 
 
 def _row_keys(sha: Column) -> list[Column]:

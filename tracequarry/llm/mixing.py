@@ -135,17 +135,34 @@ def cuts(rows: DataFrame, budgets: DataFrame, seed: int = SEED) -> DataFrame:
     return staged(budgets.join(last, cols, "left"), "mix-cuts")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs' rows that the mix takes, once for each epoch, with _domain, _lang, _source, epoch and leaf_budget."""
+def _offered(docs: DataFrame, weights, share: float, epochs: int, seed: int) -> DataFrame:
+    """`row`, the whole row of docs, once for each epoch that takes it, beside its leaf, epoch and leaf_budget."""
     cols = [f"_{x}" for x in LEVELS]
-    placed = docs.withColumns(leaf_columns())
+    leaf = [c.alias(name) for name, c in leaf_columns().items()]
+    # Other columns stay inside the struct, so their names can't clash with those used here.
+    placed = docs.select(F.struct("*").alias("row"), "doc_id", "text", *leaf)
     rows = staged(placed.select("doc_id", *cols, token_count(F.col("text")).alias("n_tokens")), "mix-rows")
     plan = cuts(rows, leaf_budgets(rows, weights, share, epochs), seed)
     plan = plan.select(*cols, "leaf_budget", F.col("full").alias("_full"), F.col("cut_key").alias("_cut_key"), F.col("cut_id").alias("_cut_id"))
-    offered = placed.join(plan, cols).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_full"))))
+    offered = placed.drop("text").join(plan, cols).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_full"))))
     key = order_key(F.col("epoch"), seed)
     fits = (key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) <= F.coalesce("_cut_id", F.lit(-(1 << 63)))))
-    return offered.filter((F.col("epoch") < F.col("_full")) | fits).drop("_full", "_cut_key", "_cut_id")
+    return offered.filter((F.col("epoch") < F.col("_full")) | fits).select("row", *cols, "epoch", "leaf_budget")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """docs' rows that the mix takes, once for each epoch, with _domain, _lang, _source, epoch and leaf_budget.
+
+    These take the place of columns of docs that have their names; `taken` has docs' own columns alone.
+    """
+    added = [*(f"_{x}" for x in LEVELS), "epoch", "leaf_budget"]
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return _offered(docs, weights, share, epochs, seed).select(*own, *added)
+
+
+def taken(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """docs' rows that the mix takes, once for each epoch, with docs' own columns."""
+    return _offered(docs, weights, share, epochs, seed).select("row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
