@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -207,6 +208,27 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard_join.one_of_each(docs).columns == docs.columns
 
 
+def test_recall_of_paths_that_reach_the_last_level():
+    """Pairs at the threshold whose buckets stay large down to the last level share a bucket there with chance RECALL."""
+    rng, n, runs = np.random.default_rng(1), 3000, jaccard_join.runs_for(jaccard_join.RECALL)
+    tokens = []
+    for _ in range(n):
+        x = rng.integers(1, 1 << 63, 50, dtype=np.uint64)
+        tokens += [jaccard_join.min_tokens(x[:45]).tobytes(), jaccard_join.min_tokens(x[5:]).tobytes()]  # 40 of 50 are shared
+    rows = pd.DataFrame({"run": 0, "path": 0, "node": np.arange(2 * n)})
+    for level in range(jaccard_join.DEPTH):
+        rows["tokens"] = [tokens[x] for x in rows["node"]]
+        rows = next(jaccard_join._children(iter([rows]), runs, level))
+        if level == 0:
+            drawn = rows.groupby("run")["node"].nunique()
+            assert len(drawn) == runs and drawn.min() > n  # every run draws for most sets
+    rows["pair"] = rows["node"] // 2
+    found = rows.groupby(["run", "path", "pair"])["node"].nunique()
+    found = found[found == 2].reset_index()["pair"].nunique()
+    print("recall at the last level:", found / n, "runs:", runs)
+    assert found >= n - 9  # 3 are expected to be lost at most
+
+
 def test_jaccard_join_of_large_classes(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(400)]

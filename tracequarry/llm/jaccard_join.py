@@ -28,6 +28,7 @@ the same class; other columns are ignored, whatever their names; an empty table
 """
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -51,15 +52,21 @@ NULL_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def runs_for(recall: float = RECALL, depth: int = 2) -> int:
+def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs that find a pair at the threshold with chance `recall`, if splitting ends at `depth`.
 
-    A pair at the threshold shares a Poisson(1) number of children at each level.
+    All runs draw from the same T min-wise tokens. A pair at the threshold shares a Binomial(T, LEAST) number of
+    them, and at each level shares the children named by those of the shared that are drawn.
     """
-    lost = 0.0
+    shared = np.arange(T + 1)
+    weight = np.array([comb(T, a) * LEAST**a * (1 - LEAST) ** (T - a) for a in range(T + 1)])
+    lost = np.zeros(T + 1)
     for _ in range(depth):
-        lost = float(np.exp(lost - 1))
-    return int(np.ceil(np.log(1 - recall) / np.log(lost)))
+        lost = (1 - (1 - lost) / (LEAST * T)) ** shared
+    runs = 1
+    while (weight * lost**runs).sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -132,6 +139,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
 def _children(batches: Iterator[pd.DataFrame], runs: int, level: int) -> Iterator[pd.DataFrame]:
     """The buckets that each row goes on to: by its sampled tokens, in each run."""
     chance = int((1 << 32) / (LEAST * T))
+    slot = np.arange(T, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         if not len(batch):
             continue
@@ -141,7 +149,8 @@ def _children(batches: Iterator[pd.DataFrame], runs: int, level: int) -> Iterato
         row, at, number = [], [], []
         for r in range(runs) if level == 0 else [None]:
             salt = (np.full(len(batch), r, np.uint64) if level == 0 else run.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED + 1)
-            drawn = _mix(_mix(path + salt)[:, None] + np.arange(T, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+            # By the set's own tokens, so that unlike sets of a bucket, or of the whole corpus, draw apart.
+            drawn = _mix(_mix(_mix(path + salt)[:, None] + slot) + tokens) >> np.uint64(32)
             i, j = np.nonzero(drawn < chance)
             row.append(i)
             at.append(_mix(_mix(_mix(path[i] + salt[i]) + j.astype(np.uint64)) + tokens[i, j]).view(np.int64))
@@ -248,7 +257,7 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
 
 def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(u, v) spanning edges of what the buckets of all runs propose; nodes: (node, tokens), written."""
-    runs, found = runs_for(recall), None
+    runs, found = runs_for(recall, DEPTH), None
     rows = nodes.select(F.lit(0).alias("run"), F.lit(0).cast("long").alias("path"), "node", "tokens")
     for level in range(DEPTH):
         split = staged(rows.mapInPandas(lambda it, level=level: _children(it, runs, level), BUCKET), "jaccard-paths")
