@@ -278,6 +278,34 @@ def test_lm_scoring(spark, docs, none, small_model):
     assert lm_scoring.scored(none, *args).count() == 0
 
 
+def test_lm_context_is_learnt_from_every_training_document(spark, small_model, monkeypatch):
+    """What only documents outside of the model's sample say of a word's context counts; word counts are the same."""
+    import public_tokenizers
+
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 1)
+    args = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(i, "green river over the old stone bridge at night", "en", "a") for i in range(40)]
+    held = [i for i in range(40, 70) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], "green river over the old stone bridge at night", "en", "a"), (held[1], "night at bridge stone old the over river green", "en", "a")]
+    got = {r.doc_id: r for r in lm_scoring.scored(documents(spark, rows), *args).collect()}
+    seen, turned = got[held[0]], got[held[1]]
+    assert seen.held_out and turned.held_out and abs(seen.base_score - turned.base_score) < 1e-9
+    assert seen.score > turned.score + 2
+    assert seen.score > np.log10((1 - lm_scoring.MIX) * lm_scoring.PAIRS) * 10  # each word, and the end, always follows the one before it
+
+
+def test_pair_chances_sum_to_one():
+    """Over all words of one subword: 0 and 1 start words, 2 is the end; nothing is spelled with more."""
+    stream = np.array([2, 0, 1, 1, 0, 2, 1, 0, 0, 2])
+    keys, n = np.unique(lm_scoring.pair_keys(stream), return_counts=True)
+    total = np.bincount(stream[:-1], minlength=3)
+    for before in (0, 1):
+        ids = [np.array([before, x]) for x in (0, 1)]
+        chance = [lm_scoring.pair_chances(i, np.arange(2), keys, n, total, total)[0][1] for i in ids]
+        end = lm_scoring.pair_chances(np.array([before]), np.arange(1), keys, n, total, total)[0][1]
+        assert abs(sum(chance) + end - 1) < 1e-12
+
+
 def test_windows_score_each_id_once():
     for n in (1, 31, 32, 33, 56, 57, 1000):
         found = lm_scoring.windows_of(n)
