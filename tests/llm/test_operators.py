@@ -215,15 +215,17 @@ def test_recall_of_paths_that_reach_the_last_level():
     for _ in range(n):
         x = rng.integers(1, 1 << 63, 50, dtype=np.uint64)
         tokens += [jaccard_join.min_tokens(x[:45]).tobytes(), jaccard_join.min_tokens(x[5:]).tobytes()]  # 40 of 50 are shared
-    rows = pd.DataFrame({"run": 0, "path": 0, "node": np.arange(2 * n)})
+    rows = pd.DataFrame({"path": 0, "node": np.arange(2 * n)})
     for level in range(jaccard_join.DEPTH):
         rows["tokens"] = [tokens[x] for x in rows["node"]]
         rows = next(jaccard_join._children(iter([rows]), runs, level))
         if level == 0:
-            drawn = rows.groupby("run")["node"].nunique()
-            assert len(drawn) == runs and drawn.min() > n  # every run draws for most sets
+            single = [next(jaccard_join._children(iter([pd.DataFrame({"path": 0, "node": np.arange(2 * n), "tokens": tokens})]), r, 0)) for r in range(1, runs + 1)]
+            drawn = np.diff([0] + [len(x) for x in single])
+            assert drawn.min() > n  # every run draws for most sets
+            assert rows["path"].is_unique is False and len(rows) == len(single[-1])
     rows["pair"] = rows["node"] // 2
-    found = rows.groupby(["run", "path", "pair"])["node"].nunique()
+    found = rows.groupby(["path", "pair"])["node"].nunique()
     found = found[found == 2].reset_index()["pair"].nunique()
     print("recall at the last level:", found / n, "runs:", runs)
     assert found >= n - 9  # 3 are expected to be lost at most

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a local master; elsewhere an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all of the cluster shares")
         found = tempfile.mkdtemp(prefix="tracequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,3 +44,26 @@ def crc_of_id(col: str = "doc_id"):
 def pieces_of(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
     """How many parts of about `each` rows a number of rows makes."""
     return max(least, -(-rows // each))
+
+
+#: The table whose keys filter the other side of a join is read in one go for that, up to this size; beyond it the join goes unfiltered.
+FILTER_TABLE = "1g"
+
+
+@contextmanager
+def filtering_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark filters a join's large side by a Bloom filter of the small side's keys before it is shuffled.
+
+    The filter is Spark's own and of bounded size (8 MB at most): only rows without a partner go, so the result is the same.
+    The small side has to have a filter of its own. Joins must be written inside.
+    """
+    base = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {base + "enabled": "true", base + "applicationSideScanSizeThreshold": "0", base + "creationSideThreshold": FILTER_TABLE}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -15,10 +15,14 @@ bounded memory, which count each member's links and tie linked members by a
 spanning forest. So counts are whole for every pair inside a candidate class,
 also for pairs that no bucket held, and no list of pairs is ever written.
 
-Sets that are equal are one class member from the start, with a number of copies. A
+Sets that are equal are one class member from the start, with a number of copies. Small buckets with the same
+members, which near copies meet in run after run, are compared once. A
 bucket that is still large at the last level is compared in blocks of rows as well:
 every block with every other, so no pair is dropped.
 
+Only the texts of candidate classes move: the documents' side of that join is filtered by a Bloom filter of the
+candidates' ids where the documents are read.
+
 Words are runs of characters other than ASCII white space, A-Z in lower case.
 
 Defined results: a text of one to four words is one shingle of all its words; a null
@@ -32,10 +36,10 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import filtering_joins, staged
 from .components import components
 
 WORDS, LEAST = 5, 0.8
@@ -45,8 +49,9 @@ RECALL = 0.999
 SMALL, DEPTH = 96, 3
 #: Members of a block of a bucket that is still large at the last level.
 PROPOSE_BLOCK = 256
-#: Members of a block of the exact comparison, and token columns compared at once.
-BLOCK, COLUMNS = 512, 4096
+#: Members and bytes of text of a block of the exact comparison (more only where one text alone has more), and token
+#: columns compared at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 4096
 SEED = 5
 NULL_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -126,18 +131,19 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "doc_id": batch["doc_id"],
             "n_shingles": [len(f) for f in found],
+            "n_bytes": [len(t) if t else 0 for t in batch["text"]],
             "name": [set_name(f) if len(f) else None for f in found],
             "tokens": [min_tokens(f).tobytes() if len(f) else None for f in found],
         })
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, name, tokens) of (doc_id, text); name is the same for equal sets, null without shingles."""
-    return docs.mapInPandas(_sets, "doc_id long, n_shingles int, name string, tokens binary")
+    """(doc_id, n_shingles, n_bytes, name, tokens) of (doc_id, text); n_bytes is the length of the text, name is the same for equal sets, null without shingles."""
+    return docs.mapInPandas(_sets, "doc_id long, n_shingles int, n_bytes long, name string, tokens binary")
 
 
 def _children(batches: Iterator[pd.DataFrame], runs: int, level: int) -> Iterator[pd.DataFrame]:
-    """The buckets that each row goes on to: by its sampled tokens, in each run."""
+    """The buckets that each row goes on to: by its sampled tokens, in each run; a path is of one run from the first level on."""
     chance = int((1 << 32) / (LEAST * T))
     slot = np.arange(T, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
@@ -145,21 +151,18 @@ def _children(batches: Iterator[pd.DataFrame], runs: int, level: int) -> Iterato
             continue
         tokens = np.frombuffer(b"".join(batch["tokens"]), np.uint32).reshape(-1, T).astype(np.uint64)
         path = batch["path"].to_numpy(np.int64).view(np.uint64)
-        run = batch["run"].to_numpy(np.int64)
-        row, at, number = [], [], []
-        for r in range(runs) if level == 0 else [None]:
-            salt = (np.full(len(batch), r, np.uint64) if level == 0 else run.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED + 1)
+        row, at = [], []
+        for run in range(runs if level == 0 else 1):
+            salted = path + np.uint64((run * 0x9E3779B97F4A7C15 + SEED + 1) % (1 << 64))
             # By the set's own tokens, so that unlike sets of a bucket, or of the whole corpus, draw apart.
-            drawn = _mix(_mix(_mix(path + salt)[:, None] + slot) + tokens) >> np.uint64(32)
+            drawn = _mix(_mix(_mix(salted)[:, None] + slot) + tokens) >> np.uint64(32)
             i, j = np.nonzero(drawn < chance)
             row.append(i)
-            at.append(_mix(_mix(_mix(path[i] + salt[i]) + j.astype(np.uint64)) + tokens[i, j]).view(np.int64))
-            number.append(np.full(len(i), r) if level == 0 else run[i])
-        i = np.concatenate(row)
-        yield pd.DataFrame({"run": np.concatenate(number).astype(np.int32), "path": np.concatenate(at), "node": batch["node"].to_numpy()[i]})
+            at.append(_mix(_mix(_mix(salted[i]) + j.astype(np.uint64)) + tokens[i, j]).view(np.int64))
+        yield pd.DataFrame({"path": np.concatenate(at), "node": batch["node"].to_numpy()[np.concatenate(row)]})
 
 
-BUCKET = "run int, path long, node long"
+BUCKET = "path long, node long"
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -198,11 +201,11 @@ def _small_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         if rows is None or not len(rows):
             continue
-        path, run = rows["path"].to_numpy(), rows["run"].to_numpy()
+        path = rows["path"].to_numpy()
         if not last:  # the last bucket may go on in the next batch
-            cut = int(np.flatnonzero((path != path[-1]) | (run != run[-1])).max(initial=-1)) + 1
+            cut = int(np.flatnonzero(path != path[-1]).max(initial=-1)) + 1
             held = rows.iloc[cut:]
-            rows, path, run = rows.iloc[:cut], path[:cut], run[:cut]
+            rows, path = rows.iloc[:cut], path[:cut]
         node, tokens = rows["node"].to_numpy(), np.frombuffer(b"".join(rows["tokens"]), np.uint32).reshape(-1, T)
         root = list(range(len(rows)))
 
@@ -214,7 +217,7 @@ def _small_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
         edges = []
         for d in range(1, len(rows)):
-            i = np.flatnonzero((path[:-d] == path[d:]) & (run[:-d] == run[d:]))
+            i = np.flatnonzero(path[:-d] == path[d:])
             if not len(i):
                 break
             i = i[(tokens[i] == tokens[i + d]).sum(axis=1) >= PROPOSE * T]
@@ -240,42 +243,54 @@ def _large_bucket(key, part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[[a for a, _ in edges]], "v": nodes[[b for _, b in edges]]}, dtype=np.int64)
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Rows of large groups, once for every pair of blocks their own block belongs to, in `part`.
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of groups cut into a number of blocks, once for every pair of blocks that their own block belongs to, in `part`.
 
-    A group's members are dealt into blocks by a hash; `size` is the number of members.
+    A group's members are dealt into blocks by a hash.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(SEED)), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("_blocks")).cast("int")
     return (
-        rows.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows.withColumn("_blocks", blocks.cast("int"))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("part", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")))
-        .drop("other")
+        .drop("other", "_blocks")
     )
 
 
+def _buckets(split: DataFrame) -> DataFrame:
+    """(path, size) of the buckets to be looked at: large ones, and of small ones with the same members one.
+
+    Members are told apart by the sum of two hashes of 64 bits.
+    """
+    sizes = split.groupBy("path").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(SEED))).alias("y")).filter("size > 1")
+    sizes = staged(sizes, "jaccard-sizes")
+    small = sizes.filter(F.col("size") <= SMALL).groupBy("size", "x", "y").agg(F.min("path").alias("path"))
+    return staged(small.select("path", "size").union(sizes.filter(F.col("size") > SMALL).select("path", "size")), "jaccard-chosen")
+
+
 def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(u, v) spanning edges of what the buckets of all runs propose; nodes: (node, tokens), written."""
-    runs, found = runs_for(recall, DEPTH), None
-    rows = nodes.select(F.lit(0).alias("run"), F.lit(0).cast("long").alias("path"), "node", "tokens")
+    runs, found, spark = runs_for(recall, DEPTH), None, nodes.sparkSession
+    rows = nodes.select(F.lit(0).cast("long").alias("path"), "node", "tokens")
     for level in range(DEPTH):
         split = staged(rows.mapInPandas(lambda it, level=level: _children(it, runs, level), BUCKET), "jaccard-paths")
-        sizes = staged(split.groupBy("run", "path").agg(F.count("*").alias("size")).filter("size > 1"), "jaccard-sizes")
-        # Nearly all paths of unlike sets end here, before any token is moved.
-        kept = staged(split.join(sizes, ["run", "path"]).join(nodes, "node"), "jaccard-buckets")
-        small = kept.filter(F.col("size") <= SMALL).repartition("run", "path").sortWithinPartitions("run", "path", "node")
-        edges = small.select("run", "path", "node", "tokens").mapInPandas(_small_buckets, "u long, v long")
-        large = kept.filter(F.col("size") > SMALL)
+        with filtering_joins(spark):
+            # Nearly all paths of unlike sets end here, before any token is moved.
+            kept = staged(split.join(_buckets(split).filter("size > 1"), "path"), "jaccard-kept").filter("size > 1")
+            told = staged(kept.join(nodes, "node"), "jaccard-buckets")
+        small = told.filter(F.col("size") <= SMALL).repartition("path").sortWithinPartitions("path", "node")
+        edges = small.select("path", "node", "tokens").mapInPandas(_small_buckets, "u long, v long")
+        large = told.filter(F.col("size") > SMALL)
         none_large = large.isEmpty()
         if level == DEPTH - 1 and not none_large:
-            parts = _in_blocks(large, PROPOSE_BLOCK).select("run", "path", "part", "node", "tokens")
-            edges = edges.union(parts.groupBy("run", "path", "part").applyInPandas(_large_bucket, "u long, v long"))
+            parts = _in_blocks(large, F.ceil(F.col("size") / PROPOSE_BLOCK)).select("path", "part", "node", "tokens")
+            edges = edges.union(parts.groupBy("path", "part").applyInPandas(_large_bucket, "u long, v long"))
         edges = staged(edges.distinct(), "jaccard-proposed")
         found = edges if found is None else found.union(edges)
         if none_large:
             break
-        rows = large.select("run", "path", "node", "tokens")
+        rows = large.select("path", "node", "tokens")
     return found.distinct()
 
 
@@ -352,20 +367,23 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     groups = (
         rows.filter("name is not null")
         .groupBy("name")
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.any_value("tokens").alias("tokens"))
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n_bytes").alias("bytes"), F.any_value("tokens").alias("tokens"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     groups = staged(groups, "jaccard-groups")  # the numbers are fixed from here on
     candidates = components(candidate_edges(groups.select("node", "tokens"), recall))
-    size = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    members = staged(candidates.join(size, "root").join(groups.drop("tokens"), "node"), "jaccard-members")
+    sized = candidates.join(groups.drop("tokens"), "node")
+    size = sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    members = staged(sized.drop("bytes").join(size, "root"), "jaccard-members")
     # One text of each equal set, by its least id.
-    told = members.join(named.withColumnRenamed("doc_id", "least"), "least")
-    parts = _in_blocks(told, BLOCK).select("root", "part", "own", "node", "name", "copies", "text")
-    found = staged(parts.groupBy("root", "part").applyInPandas(_compare, "node long, links long, tie long"), "jaccard-links")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+    told = members.filter("size > 1").join(named.withColumnRenamed("doc_id", "least"), "least")
+    parts = _in_blocks(told, blocks).select("root", "part", "own", "node", "name", "copies", "text")
+    with filtering_joins(named.sparkSession):
+        found = staged(parts.groupBy("root", "part").applyInPandas(_compare, "node long, links long, tie long"), "jaccard-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("node").alias("u"), F.col("tie").alias("v")))
-    linked = groups.drop("tokens").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = groups.drop("tokens", "bytes").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = staged(linked, "jaccard-linked")
     first = linked.groupBy("root").agg(F.min("least").alias("class_id"))
     by_name = staged(linked.join(first, "root").select("name", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id"), "jaccard-classes")
