@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -256,7 +257,7 @@ def test_jaccard_join_of_large_classes(spark):
 
 @pytest.fixture()
 def small_model(monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SAMPLE_WINDOWS", 300)
+    monkeypatch.setattr(lm_scoring, "LEAST_WINDOWS", 300)
     monkeypatch.setattr(lm_scoring, "EPOCHS", 1)
 
 
@@ -280,11 +281,64 @@ def test_lm_scoring(spark, docs, none, small_model):
     assert lm_scoring.scored(none, *args).count() == 0
 
 
-def test_lm_context_is_learnt_from_every_training_document(spark, small_model, monkeypatch):
-    """What only documents outside of the model's sample say of a word's context counts; word counts are the same."""
+def slow_score(learnt, subwords, text):
+    """A text's score one word, window and id at a time."""
+    m = {k: v.astype(np.float64) for k, v in learnt["model"].items()}
+    words = [w.decode("utf-8", "replace") for w in lm_scoring.words_of(text)]
+    pieces = [subwords.encode(" " + w) for w in words]
+    known = learnt["known"]
+    read = [lm_scoring.END] + [int(known[i]) for p in pieces for i in p]
+    after = read[1:] + [lm_scoring.END]
+    chance, starting = [], []
+    for start, end, first in lm_scoring.windows_of(len(read)):
+        out = lm_scoring._forward(m, np.array([read[start:end]]))["out"][0]
+        for at in range(first, end):
+            by_class = np.exp(out[at - start] @ m["cls"] + m["cls_b"])
+            c, i = divmod(after[at], lm_scoring.MEMBERS)
+            inside = np.exp(out[at - start] @ m["mem"][c] + m["mem_b"][c])
+            chance.append(by_class[c] / by_class.sum() * inside[i] / inside.sum())
+            starting.append(by_class[: lm_scoring.STARTS].sum() / by_class.sum())
+    total, at, pairs, begins = 0.0, 0, learnt["pairs"], learnt["begins"]
+    for word, ids in zip([*words, None], [*pieces, []], strict=True):
+        n = max(1, len(ids))
+        rare = [np.exp(learnt["rare_log"][i]) for i in ids] or [1.0]
+        spelled = np.prod([chance[at + k] * rare[k] for k in range(n)]) / starting[at]
+        paired = np.prod([float(pairs[read[at + k], after[at + k]]) * rare[k] for k in range(n)])
+        paired = paired / begins[read[at]] if begins[read[at]] > 0 else 0.0
+        if word is not None:
+            spelled *= starting[at + n]
+            paired *= float(begins[read[at + n]])
+        part = lm_scoring.PAIRS if begins[read[at]] > 0 else 0.0
+        share = learnt["counts"].get(word, 0) / learnt["n_all"]
+        total += np.log10(lm_scoring.MIX * share + (1 - lm_scoring.MIX) * ((1 - part) * spelled + part * paired))
+        at += n
+    return total
+
+
+def test_lm_scores_are_those_of_the_slow_scorer(spark, docs, small_model, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(lm_scoring, "SCORE_IDS", 3000)
+    monkeypatch.setattr(lm_scoring, "SCORE_BATCH", 4)
+    monkeypatch.setattr(lm_scoring, "SOFTMAX_BATCH", 3)
+    args = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    learnt, subwords = lm_scoring.prepared(docs, *args)[2], lm_scoring.Subwords(*args)
+    counts = Counter()
+    for i, t, *_ in AWKWARD:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(w.decode() for w in lm_scoring.words_of(t))
+            counts[None] += 1
+    learnt["counts"] = counts
+    want = sorted((str(i), round(slow_score(learnt, subwords, t), 2)) for i, t, *_ in AWKWARD)
+    got = sorted((str(r.doc_id), r.score) for r in lm_scoring.scored(docs, *args).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 0.02 + 1e-4 * abs(b) for (_, a), (_, b) in zip(got, want, strict=True)), (got, want)
+
+
+def test_lm_context_is_learnt_from_every_training_document(spark, small_model):
+    """What many documents say of a word's context counts; word counts are the same."""
     import public_tokenizers
 
-    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 1)
     args = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = [(i, "green river over the old stone bridge at night", "en", "a") for i in range(40)]
     held = [i for i in range(40, 70) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
@@ -296,16 +350,46 @@ def test_lm_context_is_learnt_from_every_training_document(spark, small_model, m
     assert seen.score > np.log10((1 - lm_scoring.MIX) * lm_scoring.PAIRS) * 10  # each word, and the end, always follows the one before it
 
 
+def test_every_training_text_gives_a_window():
+    rng = np.random.default_rng(0)
+    sizes = np.array([1, 2, 40, 1500, 5000, 33, 1])
+    heads = np.cumsum(sizes) - sizes
+    stream = np.arange(sizes.sum() + 1)
+    for each in (1, 10):
+        found = lm_scoring.training_windows(stream, heads, sizes, each, rng)
+        of = np.searchsorted(heads, found[:, 0], "right") - 1
+        assert np.bincount(of).tolist() == [max(1 + n // 1024, min(n // 32, each)) for n in sizes]
+        assert found.shape[1] == lm_scoring.CONTEXT + 1 and (np.diff(found, axis=1) >= 0).all()
+
+
+def test_averaging_by_levels(spark):
+    rng = np.random.default_rng(1)
+    models, n = rng.random((40, 7)).astype("<f4"), rng.integers(1, 9, 40)
+    rows = spark.createDataFrame([(i, int(k), m.tobytes()) for i, (m, k) in enumerate(zip(models, n, strict=True))], "part int, n long, model binary")
+    assert np.abs(lm_scoring._averaged(rows, 40) - np.average(models, axis=0, weights=n)).max() < 1e-6
+    m = lm_scoring.new_model()
+    assert all((lm_scoring.unpacked(lm_scoring.packed(m))[k] == v).all() for k, v in m.items())
+
+
+@given(st.lists(st.one_of(st.none(), st.text(st.characters(codec="utf-8"), max_size=20), st.sampled_from([" a\x0bB \t", "\x1c x\x85y\u00a0z", "", " "])), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_word_lists(texts):
+    words, n = lm_scoring.word_lists(pa.array(texts, pa.string()))
+    assert n.tolist() == [len(lm_scoring.words_of(t)) for t in texts]
+    assert words.cast(pa.binary()).to_pylist() == [w for t in texts for w in lm_scoring.words_of(t)]
+
+
 def test_pair_chances_sum_to_one():
-    """Over all words of one subword: 0 and 1 start words, 2 is the end; nothing is spelled with more."""
-    stream = np.array([2, 0, 1, 1, 0, 2, 1, 0, 0, 2])
-    keys, n = np.unique(lm_scoring.pair_keys(stream), return_counts=True)
-    total = np.bincount(stream[:-1], minlength=3)
-    for before in (0, 1):
-        ids = [np.array([before, x]) for x in (0, 1)]
-        chance = [lm_scoring.pair_chances(i, np.arange(2), keys, n, total, total)[0][1] for i in ids]
-        end = lm_scoring.pair_chances(np.array([before]), np.arange(1), keys, n, total, total)[0][1]
-        assert abs(sum(chance) + end - 1) < 1e-12
+    """Over all words of one subword: ids 2 and 3 start words, END is the end; nothing is spelled with more."""
+    stream = np.array([0, 2, 3, 3, 2, 0, 3, 2, 2, 0])
+    pairs = np.bincount(stream[:-1] * lm_scoring.IDS + stream[1:], minlength=lm_scoring.IDS**2).reshape(lm_scoring.IDS, -1)
+    learnt = {"pairs": pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1), "begins": pairs.sum(axis=1) > 0}
+    for before in (2, 3):
+        def chance(*then, before=before):
+            return lm_scoring.pair_chances(np.array([0, before, *then])[: len(then) + 1], np.array([before, *then]), np.ones(len(then) + 1), np.arange(len(then) + 1), learnt)[0]
+
+        words = [chance(x, 0)[1] for x in (2, 3)]
+        assert abs(sum(words) + chance(0)[1] - 1) < 1e-6
 
 
 def test_windows_score_each_id_once():
@@ -319,7 +403,9 @@ def test_chances_sum_to_one_and_tables_agree():
     m = lm_scoring.tables(lm_scoring.new_model(5))
     ids = np.random.default_rng(1).integers(0, 1024, (3, 20))
     slow = lm_scoring._forward(m, ids)["out"]
-    fast = lm_scoring._hidden(m, ids, np.ones(ids.shape, bool)).reshape(slow.shape)
+    padded = np.zeros((3, lm_scoring.STEP), np.int64)
+    padded[:, :20] = ids
+    fast = lm_scoring.hidden_states(m, padded.reshape(-1), np.arange(3) * lm_scoring.STEP).reshape(3, lm_scoring.STEP, -1)[:, :20]
     assert np.abs(slow - fast).max() < 1e-4
     state = np.repeat(slow[0, -1:], 1024, axis=0)
     log, start = lm_scoring.log_chances(m, state, np.arange(1024))
