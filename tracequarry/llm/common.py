@@ -51,14 +51,7 @@ FILTER_TABLE = "1g"
 
 
 @contextmanager
-def filtering_joins(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark filters a join's large side by a Bloom filter of the small side's keys before it is shuffled.
-
-    The filter is Spark's own and of bounded size (8 MB at most): only rows without a partner go, so the result is the same.
-    The small side has to have a filter of its own. Joins must be written inside.
-    """
-    base = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {base + "enabled": "true", base + "applicationSideScanSizeThreshold": "0", base + "creationSideThreshold": FILTER_TABLE}
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -67,3 +60,18 @@ def filtering_joins(spark: SparkSession) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def filtering_joins(spark: SparkSession):
+    """Inside, Spark filters a join's large side by a Bloom filter of the small side's keys before it is shuffled.
+
+    The filter is Spark's own and of bounded size (8 MB at most): only rows without a partner go, so the result is the same.
+    The small side has to have a filter of its own. Joins must be written inside.
+    """
+    base = "spark.sql.optimizer.runtime.bloomFilter."
+    return _settings(spark, {base + "enabled": "true", base + "applicationSideScanSizeThreshold": "0", base + "creationSideThreshold": FILTER_TABLE})
+
+
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Inside, Python workers get whole texts in batches of so many rows at most; what reads them must be written inside."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})

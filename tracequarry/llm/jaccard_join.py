@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtering_joins, staged
+from .common import filtering_joins, small_batches, staged
 from .components import components
 
 WORDS, LEAST = 5, 0.8
@@ -363,7 +363,8 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     with an equal set, itself included. A null id takes part under the least long.
     """
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    rows = staged(sets_of(named), "jaccard-sets")
+    with small_batches(named.sparkSession):
+        rows = staged(sets_of(named), "jaccard-sets")
     groups = (
         rows.filter("name is not null")
         .groupBy("name")
