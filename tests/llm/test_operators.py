@@ -102,25 +102,56 @@ def keepers(rows):
     return {n: (min(g)[3], len(g)) for n, g in groups.items()}, norm
 
 
+def expected_dedup(rows):
+    found, norm = keepers(rows)
+    return Counter((i, *found[n], i == found[n][0], hashlib.sha256(n.encode()).hexdigest()) for (i, *_), n in zip(rows, norm, strict=True))
+
+
+def dedup_rows(df, **kwargs):
+    return Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(df, **kwargs).collect())
+
+
 def test_exact_dedup(spark, docs, none):
-    found, norm = keepers(AWKWARD)
-    rows = exact_dedup.dedup(docs, bucket_rows=2).collect()
-    expected = Counter((i, *found[n], i == found[n][0], hashlib.sha256(n.encode()).hexdigest()) for (i, *_), n in zip(AWKWARD, norm, strict=True))
-    assert expected == Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows)
-    assert max(r.depth for r in rows) > 0
+    assert dedup_rows(docs, bucket_rows=2) == expected_dedup(AWKWARD)
     assert exact_dedup.dedup(none).count() == 0
     stay = exact_dedup.one_of_each(docs)
-    assert stay.columns == docs.columns and stay.count() == len(found)
+    assert stay.columns == docs.columns and stay.count() == len(keepers(AWKWARD)[0])
+
+
+def test_texts_of_one_key_are_told_apart_by_their_bytes(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "key_of", lambda norm: F.pmod(F.length(norm), F.lit(2)).cast("long") * (1 << 62))
+    assert dedup_rows(docs, bucket_rows=2) == expected_dedup(AWKWARD)  # two keys, with long chains, in buckets of all bits
+
+
+def test_the_directory_deals_the_work(spark, docs, monkeypatch):
+    """A directory without one of its buckets loses the copies in it."""
+    whole = exact_dedup.directory
+    key = docs.filter("doc_id = 0").select(exact_dedup.key_of(exact_dedup.stripped(F.col("text"))).alias("key"))
+
+    def short(entries, bucket_rows):
+        found = whole(entries, bucket_rows)
+        held = key.crossJoin(found).filter(exact_dedup._prefix(F.col("key"), F.col("depth")) == F.col("bucket"))
+        return found.join(held.select("depth", "bucket"), ["depth", "bucket"], "left_anti")
+
+    monkeypatch.setattr(exact_dedup, "directory", short)
+    lost = expected_dedup(AWKWARD) - dedup_rows(docs, bucket_rows=2)
+    assert {r[0] for r in lost} >= {0, 1}
 
 
 def test_directory_doubles_until_buckets_fit(spark):
-    cells = spark.range(3000).select((F.col("id") % 37 * 400).cast("int").alias("cell"))
-    rows = exact_dedup.directory(cells, bucket_rows=200).collect()
-    n = Counter(c % 37 * 400 for c in range(3000))
+    keys = [((i % 37) << 56) + i if i % 37 < 20 else (5 << 40) + i for i in range(3000)] + [-1 - i for i in range(50)] + [7 << 60] * 300
+    rows = exact_dedup.directory(spark.createDataFrame([(k - (1 << 64) if k >= 1 << 63 else k,) for k in keys], "key long"), bucket_rows=40).collect()
     held = Counter()
-    for r in rows:
-        held[r.depth, r.bucket] += n[r.cell]
-    assert len(rows) == 37 and all(v <= 200 for v in held.values())
+    for k in keys:
+        bits = f"{k % (1 << 64):064b}"
+        mine = [(r.depth, r.bucket) for r in rows if r.depth == 0 or int(bits[: r.depth], 2) == r.bucket % (1 << 64)]
+        assert len(mine) == 1  # each key has one bucket
+        held[mine[0]] += 1
+    assert held == {(r.depth, r.bucket): r.n for r in rows}
+    assert all(n <= 40 or d == 64 for (d, _), n in held.items()) and max(held.values()) == 300
+    parents = Counter((d - 1, (b % (1 << 64)) >> 1) for (d, b) in held)
+    assert all(sum(1 for k in keys if int(f"{k % (1 << 64):064b}"[:d] or "0", 2) == b) > 40 for d, b in parents)  # no bucket is deeper than it has to be
+    assert exact_dedup.directory(spark.createDataFrame([], "key long")).count() == 0
 
 
 # --- 8 -------------------------------------------------------------------------------------------

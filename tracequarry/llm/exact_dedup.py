@@ -1,15 +1,12 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-Segments of the index (key, bytes, id, length) are written once to the shared
-folder. The directory starts with one bucket and doubles while a bucket holds
-too many entries: a bucket is a prefix of the key's bits, and its local depth
-is the least at which it fits. Owners take the entries of their buckets,
-chain those whose key is the same and compare their bytes. Everything is
-DataFrame functions.
-
-Copies meet before the shuffle: each task first combines its own entries with
-equal bytes, so a text that a third of all rows share reaches its owner as one
-entry for each task.
+Segments of the index (key, bytes, id, length) are written once to the shared folder. Copies meet first as narrow rows:
+each task combines its own entries of one key, digest and length, so a text that a third of all rows share is one entry
+for each task. The directory starts with one bucket and doubles while a bucket holds too many entries: a bucket is a
+prefix of the key's bits, and its local depth is the least at which it fits; only overfull buckets are looked at again
+with more bits, so the depth has no end but the key's. Entries find their bucket in the directory and are dealt out by
+it: a task owns the key ranges of its buckets and chains the entries of one key. Only texts whose key occurs more than
+once are moved, to be grouped by their bytes; all others are known to stand alone. Everything is DataFrame functions.
 
 Defined results: a null text counts as empty, and all empty texts are copies;
 of equal texts the longest original in code points stays, then the smallest
@@ -18,14 +15,15 @@ repeat an id each get a row; other columns are ignored; an empty table gives
 an empty result.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, staged
+from .common import WHITE, filtering_joins, staged
 
-#: Bits of the key that the directory can use.
-MOST_DEPTH = 14
+#: Bits that overfull buckets are given at once, and entries that a bucket may hold.
+BITS = 8
 BUCKET_ROWS = 4096
+KEY_BITS = 64
 #: Above any id's distance from it; below the step that a code point makes.
 _ID_BASE, _STEP = 10**19, 10**20
 
@@ -38,67 +36,83 @@ def stripped(text: Column) -> Column:
     return out
 
 
+def key_of(norm: Column) -> Column:
+    return F.xxhash64(norm)
+
+
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index's entries, written to shared files in the order of their keys' first bits."""
+    """The index's entries, written to shared files: doc_id, key, bytes and their digest, and the rank that decides who stays."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         stripped(F.col(text_col)).alias("norm"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
     )
-    rows = rows.withColumn("key", F.xxhash64("norm")).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
-    return staged(rows.withColumn("cell", _prefix(F.col("key"), MOST_DEPTH)), "dedup-index")
+    rank = F.expr(f"cast(n_points as decimal(12,0)) * {_STEP}BD + coalesce({_ID_BASE}BD - cast(doc_id as decimal(20,0)), 0BD)")
+    rows = rows.withColumn("key", key_of(F.col("norm"))).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
+    return staged(rows.withColumn("n_bytes", F.octet_length("norm")).withColumn("rank", rank.cast("decimal(38,0)")).drop("n_points"), "dedup-index")
 
 
-def _prefix(key: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
+def _prefix(key: Column, depth: Column) -> Column:
+    """The first bits of a key; none at depth 0, where a shift by all bits would keep them."""
+    return F.when(depth > 0, F.call_function("shiftrightunsigned", key, F.lit(KEY_BITS) - depth)).otherwise(F.lit(0).cast("long"))
 
 
 def directory(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(cell, depth, bucket) for every used cell; a cell is a prefix of MOST_DEPTH bits.
+    """(depth, bucket, n) of every used bucket; bucket: the first `depth` bits of its keys.
 
-    A bucket's local depth is the least at which it has at most bucket_rows
-    entries, MOST_DEPTH if there is none; at most 2 ** MOST_DEPTH rows.
+    A bucket's local depth is the least at which it has at most bucket_rows entries. One key that alone has more is a bucket of all its bits.
     """
-    cells = entries.groupBy("cell").agg(F.count("*").alias("n"))
-    by_depth = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(MOST_DEPTH))).alias("depth")).withColumn(
-        "prefix", F.expr(f"shiftright(cell, {MOST_DEPTH} - depth)")
-    )
-    fits = (
-        by_depth.groupBy("depth", "prefix")
-        .agg(F.sum("n").alias("n"))
-        .filter((F.col("n") <= bucket_rows) | (F.col("depth") == MOST_DEPTH))
-    )
-    return (
-        by_depth.drop("n")
-        .join(F.broadcast(fits.drop("n")), ["depth", "prefix"])  # fewer than 2 ** (MOST_DEPTH + 1) rows
-        .groupBy("cell")
-        .agg(F.min("depth").alias("depth"))
-        .withColumn("bucket", F.expr(f"shiftright(cell, {MOST_DEPTH} - depth)"))
-    )
+    whole = entries.agg(F.count("*").alias("n")).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"), "n").filter("n > 0")
+    found, full, depth = staged(whole, "dedup-directory"), None, 0
+    full, found = found.filter(F.col("n") > bucket_rows), found.filter(F.col("n") <= bucket_rows)
+    while depth < KEY_BITS and not full.isEmpty():
+        # Overfull buckets double: their entries are counted by BITS more bits, and of these as few are used as will do.
+        inside = entries.withColumn("bucket", _prefix(F.col("key"), F.lit(depth))).join(full.select("bucket"), "bucket", "left_semi")
+        cells = inside.groupBy(_prefix(F.col("key"), F.lit(depth + BITS)).alias("cell")).agg(F.count("*").alias("n"))
+        cells = staged(cells, "dedup-cells")
+        by_depth = cells.select("cell", "n", F.explode(F.sequence(F.lit(depth + 1), F.lit(depth + BITS))).alias("depth"))
+        by_depth = by_depth.withColumn("bucket", F.call_function("shiftrightunsigned", F.col("cell"), F.lit(depth + BITS) - F.col("depth")))
+        sums = by_depth.groupBy("depth", "bucket").agg(F.sum("n").alias("n"), F.min("cell").alias("cell"))
+        fits = sums.filter((F.col("n") <= bucket_rows) | (F.col("depth") == depth + BITS))
+        # A bucket that fits is used unless a shorter one of its bits does.
+        shorter = by_depth.drop("n").join(fits.select("depth", "bucket"), ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("least"))
+        level = staged(fits.join(shorter, "cell").filter("depth = least").select("depth", "bucket", "n"), "dedup-directory")
+        depth += BITS
+        full = level.filter(F.col("n") > bucket_rows) if depth < KEY_BITS else level.limit(0)
+        found = found.union(level.filter(F.col("n") <= bucket_rows) if depth < KEY_BITS else level)
+    return staged(found, "dedup-directory")
+
+
+def owned(entries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """entries with their bucket, its depth, and `chain`, the number of entries of their key; dealt out by bucket."""
+    depths = [r.depth for r in buckets.select("depth").distinct().collect()]  # KEY_BITS at most
+    placed = entries.withColumn("depth", F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")))
+    placed = placed.withColumn("bucket", _prefix(F.col("key"), F.col("depth"))).join(buckets.select("depth", "bucket"), ["depth", "bucket"])
+    return placed.repartition("depth", "bucket").withColumn("chain", F.count("*").over(Window.partitionBy("depth", "bucket", "key")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket and its depth for every row."""
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     index = segments(docs, id_col, text_col)
-    buckets = staged(directory(index.select("cell"), bucket_rows), "dedup-directory")
-    rank = F.expr(
-        f"cast(n_points as decimal(12,0)) * {_STEP}BD + coalesce({_ID_BASE}BD - cast(doc_id as decimal(20,0)), 0BD)"
-    )
-    groups = (
-        index.withColumn("rank", rank.cast("decimal(38,0)"))
-        .groupBy("cell", "key", "text_sha256", "norm")  # the chain: equal keys, told apart by their bytes
-        .agg(F.count("*").alias("group_size"), F.max("rank").alias("best"))
-        .select(
-            "cell", "text_sha256", "key", "group_size",
-            F.expr(f"if(best % {_STEP}BD > 0, cast({_ID_BASE}BD - best % {_STEP}BD as bigint), null)").alias("keep_id"),
-        )
-        .join(F.broadcast(buckets), "cell")  # at most 2 ** MOST_DEPTH rows
-        .drop("cell")
+    entries = staged(index.groupBy("key", "text_sha256", "n_bytes").agg(F.count("*").alias("copies")), "dedup-entries")
+    chains = staged(owned(entries, directory(entries.select("key"), bucket_rows)), "dedup-chains")
+    met = chains.filter("copies > 1 or chain > 1").select("key", "depth", "bucket").distinct()
+    met = staged(met, "dedup-met").filter("depth >= 0")
+    with filtering_joins(index.sparkSession):
+        # Written as it comes out of the join, so that Spark can split the part of a text with very many copies; its
+        # copies then meet in each task before the shuffle by bytes.
+        texts = staged(index.select("key", "text_sha256", "norm", "rank").join(met, "key"), "dedup-texts")
+    groups = texts.groupBy("bucket", "depth", "key", "text_sha256", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("best"))
+    groups = groups.filter("group_size > 1").select(
+        "key", "text_sha256", "group_size",
+        F.expr(f"if(best % {_STEP}BD > 0, cast({_ID_BASE}BD - best % {_STEP}BD as bigint), null)").alias("keep_id"),
     )
-    # The owners' results are keyed by more columns than this join, so Spark deals
-    # out both sides for it and can split the part of a text with very many copies.
-    return index.select("doc_id", "key", "text_sha256").join(groups, ["key", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "depth"
+    groups = staged(groups, "dedup-groups").withColumn("found", F.lit(True))
+    # Both sides are read from files, so Spark can split the part of a text with very many copies.
+    told = index.select("doc_id", "key", "text_sha256").join(groups, ["key", "text_sha256"], "left")
+    return told.select(
+        "doc_id", F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("found").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256",
     )
 
 

@@ -38,7 +38,7 @@ def op6_collision_counting_ann(spark, sf_dir):
 
 
 def op7_extendible_hash_dedup(spark, sf_dir):
-    return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("bucket", "depth")
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_redirect_url_filter(spark, sf_dir):
