@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -351,7 +352,8 @@ def test_lm_scores_are_those_of_the_slow_scorer(spark, docs, small_model, monkey
 
     monkeypatch.setattr(lm_scoring, "SCORE_IDS", 3000)
     monkeypatch.setattr(lm_scoring, "SCORE_BATCH", 4)
-    monkeypatch.setattr(lm_scoring, "SOFTMAX_BATCH", 3)
+    monkeypatch.setattr(lm_scoring, "SOFTMAX_BATCH", 7)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 50_000)  # the long text is a block of its own
     args = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     learnt, subwords = lm_scoring.prepared(docs, *args)[2], lm_scoring.Subwords(*args)
     counts = Counter()
@@ -436,7 +438,7 @@ def test_chances_sum_to_one_and_tables_agree():
     slow = lm_scoring._forward(m, ids)["out"]
     padded = np.zeros((3, lm_scoring.STEP), np.int64)
     padded[:, :20] = ids
-    fast = lm_scoring.hidden_states(m, padded.reshape(-1), np.arange(3) * lm_scoring.STEP).reshape(3, lm_scoring.STEP, -1)[:, :20]
+    fast = np.concatenate([h for _, h in lm_scoring.hidden_states(m, padded.reshape(-1), np.arange(3) * lm_scoring.STEP)]).reshape(3, lm_scoring.STEP, -1)[:, :20]
     assert np.abs(slow - fast).max() < 1e-4
     state = np.repeat(slow[0, -1:], 1024, axis=0)
     log, start = lm_scoring.log_chances(m, state, np.arange(1024))
@@ -679,26 +681,74 @@ def cut(ids):
         ("<nav>m</nav><main><h1>T &amp; U</h1><p>one\n two</p><aside>s</aside><form>f</form></main><footer>f</footer>", "T & U one two"),
         ("<div id=cookie-notice>c</div><p class='ad'>x<p>body<div class='comments'><p>no</div>", "body"), ("<body><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
         ("<div class='no-sidebar'><p>kept</p></div><!-- <p>gone --><p hidden>h</p>", "kept"), ("<article>a</article><article class='comment'>c</article>", "a"), ("a<b c", "a<b c"), ("<p>&#233;&nbsp;x</p>", "é x"),
+        ('<article><div class="side-effects">one</div><div id="related-work">two</div><p class="notice-period">three</p></article>', "one two three"),
+        ('<article>a<div class="ad-slot-2">b</div><div class="commentList">c</div><div class="cookie_banner">d</div></article>', "a"),
+        ('<p>a<a title="x > y" href=z>b</a></p><!-- c', "ab"), ('<p title="open>a</p><p>b', "a b"), ("<![CDATA[x]]>a<?php b ?>c<", "ac<"),
     ],
 )
 def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a '", "<a '>\"", "<div>", "<ul><li>", "<", "<a<a", "<a \"'>'\"", "<!--", "<script>", "</p>", "<a x=1 "])
+def test_reading_takes_linear_time(unit):
+    began = time.process_time()
+    for end in ("", ">", "'>", '">'):
+        html_extract.main_text(unit * (300_000 // len(unit)) + end)
+    assert time.process_time() - began < 15
+
+
+SITE = "<html><body><div>Site name</div><ul>{}</ul>{}<p>{}</p></body></html>"
+
+
 def test_wrapper_inference():
-    page = "<html><body><div>Site name</div><ul>{}</ul>{}<p>{}</p></body></html>"
-    made = [page.format("".join(f"<li>{x}</li>" for x in items), extra, body) for items, extra, body in ((["a", "b"], "", "one"), (["c", "d", "e"], "<b>new</b>", "two"), (["f"], "", "three"))]
+    made = [SITE.format("".join(f"<li>{x}</li>" for x in items), extra, body) for items, extra, body in ((["a", "b"], "", "one"), (["c", "d", "e"], "<b>new</b>", "two"), (["f"], "", "three"))]
     wrapper = html_extract.infer(made)
     for p in made:
         assert html_extract._takes(wrapper, html_extract.stream(p), 0) == len(html_extract.stream(p))
+        tokens = html_extract.stream(p)
+        assert len(html_extract.read(html_extract.marked(wrapper, set()), tokens)) == sum(t[0] == '"' for t in tokens)  # every text is taken
     assert any(isinstance(x, list) and x[0] == "+" for x in wrapper) and any(isinstance(x, list) and x[0] == "?" for x in wrapper)
-    assert html_extract.template_texts(wrapper) == {"Site name"}
+    assert html_extract.literals(wrapper) == {'"-Site name'}
+    assert html_extract.main_text(made[1]) == "Site name c d e new two"
+    assert html_extract.main_text(made[1], html_extract.marked(wrapper, {'"-Site name'})) == "c d e new two"
+
+
+def test_the_wrapper_decides_what_is_kept():
+    """Also on a page with an article of its own: what a wrapper's items say goes, up to what none of them takes."""
+    page = "<html><body><nav>menu</nav><article><h1>{0}</h1><p>text {0}</p></article></body></html>"
+    wrapper = html_extract.marked(html_extract.infer([page.format(1), page.format(2)]), set())
+
+    def turned(items, what):
+        return [[x[0], what] if not isinstance(x, str) and not html_extract._is_group(x) else x for x in items]
+
+    other = page.format(3).replace("</article>", "<pre>more</pre></article>")
+    assert html_extract.main_text(other, wrapper) == "3 text 3 more"
+    assert html_extract.main_text(other, turned(wrapper, html_extract.DROP)) == "more"
+    assert html_extract.main_text(other, turned(wrapper, html_extract.KEEP)) == "menu 3 text 3 more"
+    # A page without an article keeps what stands in no region, whatever region its host's other pages have.
+    assert html_extract.main_text("<html><body><nav>menu</nav><p>plain</p></body></html>", wrapper) == "plain"
 
 
 def test_extraction(spark):
     page = "<html><body><div>Site name</div><p>text {}</p></body></html>"
     rows = [(i, f"http://h.com/{i}", page.format(i)) for i in range(30)] + [(90, None, page.format(90)), (91, "http://one.com/", page.format(91)), (91, "http://one.com/", None)]
+    rows += [(200 + i, "http://copies.com/", page.format("copy")) for i in range(20)]  # one page, however often, is no sample
+    # Two pages of twenty share a text that is no template; the sample may have them both.
+    rows += [(300 + i, f"http://few.com/{i}", f"<html><body><div>{'shared' if i < 2 else f'own {i}'}</div><p>text {i}</p></body></html>") for i in range(20)]
     got = Counter((r.page_id, r.text, r.n_chars) for r in html_extract.extracted(pages(spark, rows)).collect())
     want = Counter((i, f"text {i}", len(f"text {i}")) for i in range(30)) + Counter([(90, "Site name text 90", 17), (91, "Site name text 91", 17), (91, "", 0)])
+    want += Counter((200 + i, "Site name text copy", 19) for i in range(20)) + Counter((300 + i, t := f"{'shared' if i < 2 else f'own {i}'} text {i}", len(t)) for i in range(20))
     assert got == want
     assert html_extract.extracted(pages(spark, [])).count() == 0
+
+
+def test_a_literal_of_the_sample_is_template_only_if_most_pages_have_it(spark):
+    page = "<html><body><div>{}</div><p>text {}</p></body></html>"
+    made = {i: page.format("shared", i) for i in range(12)}
+    hashes = {r.i: r.h for r in spark.createDataFrame(list(made.items()), "i long, html string").select("i", F.xxhash64("html", F.lit(3)).alias("h")).collect()}
+    sampled = sorted(made, key=hashes.get)[:2]
+    few = [(i, f"http://h.com/{i}", made[i]) for i in sampled]
+    assert {r.page_id: r.text for r in html_extract.extracted(pages(spark, few)).collect()} == {i: f"text {i}" for i in sampled}
+    more = few + [(100 + i, f"http://h.com/{i}", page.format(f"own {i}", i)) for i in range(8)]
+    assert {r.text for r in html_extract.extracted(pages(spark, more)).collect()} == {f"shared text {i}" for i in sampled} | {f"own {i} text {i}" for i in range(8)}
