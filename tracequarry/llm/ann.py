@@ -17,7 +17,7 @@ is a task's work, bounded in memory, and returns `k` rows a query.
 Defined results: vectors that are null, empty, all zero or have a null or
 non-finite component, and rows with a null id, take no part; vectors of other
 lengths are never compared; a query's own id is no candidate, in repeated rows
-neither; repeated rows of a candidate are candidates each; ties go to the
+neither, and asks once with the least of its vectors of a length; repeated rows of a candidate are candidates each; ties go to the
 smaller id; no query gives an empty result; other columns are ignored.
 """
 
@@ -36,6 +36,8 @@ SHARE = 0.6
 ENOUGH = 0.2
 FIRST, FACTOR = 0.8, 1.2
 BLOCK, QUERY_BLOCK = 16384, 512
+#: Query blocks that a task meets an index block with.
+GROUP = 32
 #: Block indexes that a task keeps at once, each of about 25 MB.
 HELD = 4
 SEED = 11
@@ -57,7 +59,8 @@ def _packed(rows: DataFrame, n_blocks: int, name: str) -> DataFrame:
         vectors = np.array(part["vec"].tolist(), np.float64)
         return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "vecs": [vectors.tobytes()]})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    # Row numbers of the written rows are hashed, so that repeated ids spread too.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int"))
     packed = dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vecs binary")
     return packed.select("dim", F.col("block").alias(f"{name}_block"), F.col("ids").alias(f"{name}_ids"), F.col("vecs").alias(f"{name}_vecs"))
 
@@ -75,40 +78,74 @@ class BlockIndex:
         spread = np.sqrt(np.maximum(0, self.longest**2 - norm2))
         values = (scaled @ self.axes[:-1] + spread[:, None] * self.axes[-1]).T
         order = np.argsort(values, axis=1)
+        self.order = order.astype(np.int32)
         self.sorted = np.take_along_axis(values, order, axis=1)
         self.rank = np.empty((m, n), np.uint16 if n < 1 << 16 else np.uint32)
         np.put_along_axis(self.rank, order, np.arange(n, dtype=self.rank.dtype)[None, :].repeat(m, 0), axis=1)
 
-    def candidates(self, query: np.ndarray, least: int) -> np.ndarray:
+    def ask(self, queries: np.ndarray) -> None:
+        """The queries that candidates() is asked for by number from now on."""
+        scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+        self.centres = (scaled * (self.longest / np.linalg.norm(scaled, axis=1, keepdims=True))) @ self.axes[:-1]
+        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def candidates(self, query: int, least: int) -> np.ndarray:
         """Positions of at least `least` vectors (all, if there are fewer) that pass the collision threshold."""
-        n = self.rank.shape[1]
+        m, n = self.rank.shape
         if least >= n:
             return np.arange(n)
-        query = query / np.abs(query).max()
-        centre = (query * (self.longest / np.linalg.norm(query))) @ self.axes[:-1]
-        # Widths are FIRST * FACTOR ** step. The least that is enough is sought from the last query's on, down or up.
-        found = self._colliding(centre)
-        if len(found) >= least:
-            while self.step > 0:
-                self.step -= 1
-                fewer = self._colliding(centre)
-                if len(fewer) < least:
-                    self.step += 1
-                    break
-                found = fewer
-        while len(found) < least:
-            self.step += 1
-            found = self._colliding(centre)
+        enough = int(np.ceil(SHARE * m - 1e-9))
+        # Widths are FIRST * FACTOR ** step. The least that is enough is sought from the last query's on, down or up: one whole
+        # count there, and then only what a window newly covers, or covers no more.
+        bounds = self._window(query)
+        hits = self._counted(*bounds)
+        found = np.flatnonzero(hits >= enough)
+        way = -1 if len(found) >= least else 1
+        while (way < 0 and self.step > 0) or len(found) < least:
+            self.step += way
+            after = self._window(query)
+            inner, outer = (bounds, after) if way > 0 else (after, bounds)
+            hits = hits + way * self._between(inner, outer)
+            now = np.flatnonzero(hits >= enough)
+            if way < 0 and len(now) < least:
+                self.step += 1
+                break
+            bounds, found = after, now
         return found
 
-    def _colliding(self, centre: np.ndarray) -> np.ndarray:
-        """Positions that collide in SHARE of the projections, at the present width."""
-        width, m = FIRST * self.longest * FACTOR**self.step, len(self.rank)
-        low = np.array([np.searchsorted(v, c - width, "left") for v, c in zip(self.sorted, centre, strict=True)])
-        high = np.array([np.searchsorted(v, c + width, "right") for v, c in zip(self.sorted, centre, strict=True)])
+    def _window(self, query: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first rank in each projection's window, and the first beyond it, at the present width; worked out for all queries at once."""
+        if self.step not in self.bounds:
+            width = FIRST * self.longest * FACTOR**self.step
+            of = [(np.searchsorted(v, c - width, "left"), np.searchsorted(v, c + width, "right")) for v, c in zip(self.sorted, self.centres.T, strict=True)]
+            self.bounds[self.step] = tuple(np.stack(x, axis=1) for x in zip(*of, strict=True))
+        low, high = self.bounds[self.step]
+        return low[query], high[query]
+
+    def _counted(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many windows each position is."""
         inside = (self.rank - low.astype(self.rank.dtype)[:, None]) < (high - low).astype(self.rank.dtype)[:, None]  # below low wraps round
-        hits = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if m < 256 else np.uint16)
-        return np.flatnonzero(hits >= SHARE * m)
+        # A window over all of 2 ** 16 ranks would wrap as well; blocks have fewer.
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.int16)
+
+    def _between(self, inner: tuple[np.ndarray, np.ndarray], outer: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """In how many windows each position is only by the outer bounds."""
+        rings = [o[a:b] for o, low, out_low, high, out_high in zip(self.order, inner[0], outer[0], inner[1], outer[1], strict=True) for a, b in ((out_low, low), (high, out_high))]
+        return np.bincount(np.concatenate(rings), minlength=self.rank.shape[1]).astype(np.int16)
+
+
+def _best(index: BlockIndex, ids: np.ndarray, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best of the vectors at some positions: those that may be among them are told by one product, then scored one by one."""
+    if len(at) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            quick = index.vectors[at] @ query
+            slack = 1e-9 * float(np.abs(quick).max())
+            near = quick >= np.partition(quick, -k)[-k] - slack
+        if np.isfinite(slack):
+            at = at[near]
+    score = (index.vectors[at] * query).sum(axis=1)
+    best = np.lexsort((ids[at], -score))[:k]
+    return ids[at][best], score[best]
 
 
 def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -124,16 +161,12 @@ def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             query_ids = np.frombuffer(row.q_ids, np.int64)
             queries = np.frombuffer(row.q_vecs, np.float64).reshape(len(query_ids), row.dim)
             least = max(16 * k, int(ENOUGH * len(ids)))
+            index.ask(queries)
             out = []
-            for query_id, query in zip(query_ids, queries, strict=True):
-                at = index.candidates(query, least)
-                at = at[ids[at] != query_id]
-                score = (index.vectors[at] * query).sum(axis=1)
-                if len(at) > k:
-                    near = score >= np.partition(score, -k)[-k]  # ties at the end stay for the smaller id
-                    at, score = at[near], score[near]
-                best = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][best], "score": score[best]}))
+            for number, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
+                at = index.candidates(number, least)
+                near, score = _best(index, ids, at[ids[at] != query_id], query, k)
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": score}))
             if out:
                 yield pd.concat(out)
 
@@ -144,14 +177,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
     vectors, queries: as usable() gives them.
     """
     data = staged(vectors, "ann-vectors")
-    asked = staged(queries.dropDuplicates(["vec_id", "dim"]), "ann-queries")
+    asked = staged(queries.groupBy("vec_id", "dim").agg(F.min("vec").alias("vec")), "ann-queries")
     spark = data.sparkSession
     n_blocks = pieces_of(spark, data.count(), block)
     q_blocks = pieces_of(spark, asked.count(), query_block)
-    index = _packed(data, n_blocks, "x")
-    spread = _packed(asked, q_blocks, "q").withColumn("x_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    parts = min(4 * n_blocks, 20_000)
-    pairs = spread.repartition(parts, "x_block").join(index.repartition(parts, "x_block").hint("shuffle_hash"), ["x_block", "dim"])
+    # Work is dealt out by index block and group of query blocks. A group is so large that index and queries are moved about equally
+    # often, or smaller where that would leave tasks without work.
+    groups = max(-(-q_blocks // GROUP), min(q_blocks, -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
+    parts = min(4 * n_blocks * groups, 20_000)
+    of = F.pmod(F.col("q_block"), F.lit(groups)).alias("g")
+    spread = _packed(asked, q_blocks, "q").select("*", of, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("x_block"))
+    index = _packed(data, n_blocks, "x").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = spread.repartition(parts, "x_block", "g").join(index.repartition(parts, "x_block", "g").hint("shuffle_hash"), ["x_block", "g", "dim"])
     near = pairs.mapInPandas(lambda it: _search(it, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
