@@ -49,7 +49,7 @@ def none(spark):
 
 
 def test_sharding(spark, docs, none):
-    rows = sharding.shard_documents(spark, docs, n_shards=3).collect()
+    rows = sharding.shard_documents(spark, docs, n_shards=3, name="awkward").collect()
     assert len(rows) == len(AWKWARD)
     places = defaultdict(list)
     for r in rows:
@@ -57,7 +57,41 @@ def test_sharding(spark, docs, none):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
     texts = Counter((i, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t, _, _ in AWKWARD)
     assert texts == Counter((r.doc_id, r.size, r.text_crc32) for r in rows)
-    assert sharding.shard_documents(spark, none).count() == 0
+    assert sharding.shard_documents(spark, none, name="none").count() == 0
+
+
+def test_the_stored_map_goes_on(spark):
+    """A later run takes the stored map; over more rows it edits it, and only rows of edited slots move."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "x" * int(rng.integers(1, 900)), "en", "a") for i in range(3000)] + [(7, "same id", "en", "a")] * 300
+    few, more = documents(spark, rows[:2000]), documents(spark, rows)
+
+    def run(df):
+        return [r for r in sharding.shard_documents(spark, df, n_shards=24, name="grows").collect()]
+
+    first, again, then = run(few), run(few), run(more)
+    assert {r.map_version for r in first} == {r.map_version for r in again} == {2} and {r.map_version for r in then} == {3}
+    assert {(r.vslot, r.shard) for r in first} == {(r.vslot, r.shard) for r in again}
+    old, new = dict((r.vslot, r.shard) for r in first), dict((r.vslot, r.shard) for r in then)
+    assert sum(old[s] != new[s] for s in old) < 0.6 * len(old)
+    for result in (first, then):  # the law: shards of nearly equal bytes
+        held, places = Counter(), defaultdict(list)
+        for r in result:
+            assert r.law == "bytes"
+            held[r.shard] += r.size
+            places[r.shard].append(r.slot)
+        assert set(held) == set(range(24)) and max(held.values()) - min(held.values()) <= 0.02 * sum(held.values()) / 24
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_the_query_gives_shards_of_nearly_equal_bytes(spark, small):
+    from tracequarry.llm import queries
+
+    held, largest = Counter(), 0
+    for r in queries.op2_virtual_slot_sharding(spark, small).collect():
+        held[r.shard] += r.size
+        largest = max(largest, r.size)
+    assert len(held) == 24 and max(held.values()) <= max(largest, 1.1 * sum(held.values()) / 24)
 
 
 @given(st.lists(st.integers(0, 10_000), min_size=40, max_size=300), st.integers(2, 8))

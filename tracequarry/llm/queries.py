@@ -1,5 +1,7 @@
 """The queries over the operators, each over its whole table, and their SQL."""
 
+import hashlib
+
 from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, sharding, url_filter
 from .common import table
 
@@ -16,7 +18,8 @@ def op1_chosen_path_jaccard(spark, sf_dir):
 
 
 def op2_virtual_slot_sharding(spark, sf_dir):
-    return sharding.shard_documents(spark, table(spark, sf_dir, "documents"))
+    # Each table has a map of its own, which a later run over it goes on with.
+    return sharding.shard_documents(spark, table(spark, sf_dir, "documents"), name=hashlib.md5(sf_dir.encode()).hexdigest())
 
 
 def op3_attention_lm_scoring(spark, sf_dir):

@@ -2,35 +2,37 @@
 
 Records hash into a fixed number of slots that never changes with the number
 of shards. Bytes are summed by slot, and a slot-to-shard map says where each
-slot lives. The map has versions: rebalancing edits it by moving or swapping
-single slots, so only the rows of the edited slots move.
+slot lives. The map is stored, with versions: a run takes the latest one and, if the shards' bytes are no longer
+nearly equal, edits it by moving or swapping single slots and adds the next version, so only the rows of the edited slots move.
 
 Defined results: a null text has size 8 and checksum 0; a null id hashes like
 any other value; rows that repeat stay separate rows of one slot; an empty
 table gives an empty result and the initial map; columns of the input other
-than id and text are ignored, whatever their names. Ties in order are broken by id, checksum, size.
+than id and text are ignored, whatever their names. Rows of a slot have their places in the order in which they were written.
 """
 
-import uuid
-
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged
 
 N_SLOTS = 8192
+#: Parts of a slot whose rows are numbered apart, as one id may have very many rows.
+CHUNKS = 256
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long, rows long"
 
 
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) of every row; the text itself goes no further."""
+    """(doc_id, size, text_crc32, vslot, chunk) of every row; the text itself goes no further."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.pmod(F.spark_partition_id(), F.lit(CHUNKS)).alias("chunk"),
     )
 
 
@@ -46,17 +48,17 @@ def initial_map(n_slots: int, n_shards: int) -> np.ndarray:
     return np.arange(n_slots) % n_shards
 
 
-def rebalanced(shard: np.ndarray, size: np.ndarray, n_shards: int, most_edits: int = 20_000) -> np.ndarray:
+def rebalanced(shard: np.ndarray, size: np.ndarray, n_shards: int) -> np.ndarray:
     """An edited copy of the map whose shards have nearly equal bytes.
 
     The fullest shard gives a slot to another, or swaps one for a smaller one,
     so as to close half the gap as nearly as can be; the search ends when no
-    move or swap of the fullest shard helps.
+    move or swap of the fullest shard helps. Each edit lessens the sum of the shards' squares, so there is an end.
     """
     shard = shard.copy()
     total = np.bincount(shard, weights=size, minlength=n_shards).astype(np.int64)
     members = [list(np.flatnonzero(shard == s)) for s in range(n_shards)]
-    for _ in range(most_edits):
+    while True:
         order = np.argsort(total, kind="stable")
         high, best = int(order[-1]), None
         for low in map(int, order[:-1]):
@@ -88,7 +90,6 @@ def rebalanced(shard: np.ndarray, size: np.ndarray, n_shards: int, most_edits: i
                 shard[slot] = b
                 total[a] -= size[slot]
                 total[b] += size[slot]
-    return shard
 
 
 def grown(shard: np.ndarray, size: np.ndarray, n_shards: int) -> np.ndarray:
@@ -105,43 +106,73 @@ def grown(shard: np.ndarray, size: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def save_map(spark: SparkSession, path: str, version: int, shard: np.ndarray, size: np.ndarray, count: np.ndarray) -> None:
-    """Adds a version to the stored map."""
+    """Adds a version to the stored map, in place of one that was not written whole."""
     rows = [(version, int(i), int(s), int(b), int(n)) for i, (s, b, n) in enumerate(zip(shard, size, count, strict=True))]
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/version={version}")
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
 
 
-def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """Shard and place in it of every row.
-
-    A slot's first place is the number of rows in earlier slots of its shard,
-    from the map alone; places inside a slot come from a window over the slot,
-    so no task has more than one slot's narrow rows to sort.
+def latest_map(spark: SparkSession, path: str, n_slots: int) -> tuple[int, np.ndarray] | None:
+    """(version, shard of each slot) of the last version that was written whole; None if there is none."""
+    try:
+        stored = spark.read.schema(MAP_SCHEMA).parquet(path)
+        whole = stored.groupBy("version").agg(F.count("*").alias("n")).filter(F.col("n") == n_slots).agg(F.max("version").alias("v")).first().v
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if whole is None:
+        return None
+    out = np.zeros(n_slots, np.int64)
+    for r in load_map(spark, path, whole).collect():
+        out[r.vslot] = r.shard
+    return whole, out
+
+
+def placed(rows: DataFrame, shard: np.ndarray, count: np.ndarray) -> DataFrame:
+    """Shard and place in it of every row; count: rows of each slot.
+
+    A slot's first place is the number of rows in earlier slots of its shard, from the map alone; a chunk's first place in its
+    slot follows from the chunks' counts, and places inside a chunk come from a window over it. So no task numbers
+    more than one slot's chunk, whatever ids repeat.
     """
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slot_map.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    starts = np.zeros(len(shard), np.int64)
+    for s in np.unique(shard):
+        of = np.flatnonzero(shard == s)
+        starts[of] = np.cumsum(count[of]) - count[of]
+    slots = rows.sparkSession.createDataFrame([(i, int(s), int(x)) for i, (s, x) in enumerate(zip(shard, starts, strict=True))], "vslot int, shard int, start long")
+    before = Window.partitionBy("vslot").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy("vslot", "chunk").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("vslot", "chunk").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("place", F.row_number().over(inside).cast("long") - 1)
-        .join(F.broadcast(starts.select("vslot", "shard", "start")), "vslot")  # n_slots rows
-        .withColumn("slot", F.col("start") + F.col("place"))
+        .join(chunks.drop("n"), ["vslot", "chunk"])
+        .join(F.broadcast(slots), "vslot")  # n_slots rows
+        .withColumn("slot", F.col("start") + F.col("ahead") + F.col("place"))
     )
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version of every row."""
+def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 24, n_slots: int = N_SLOTS, name: str = "documents") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version of every row.
+
+    name: of the stored map, in the shared folder; each number of shards has a map of its own.
+    """
     rows = staged(with_slots(docs, n_slots), "slots")
     size, count = slot_weights(rows, n_slots)
-    first = initial_map(n_slots, n_shards)
-    path = f"{shared_dir(spark)}/tracequarry/shardmap-{uuid.uuid4().hex}"
-    save_map(spark, path, 1, first, size, count)
-    save_map(spark, path, 2, rebalanced(first, size, n_shards), size, count)
-    return placed(rows, load_map(spark, path, 2)).select(
+    path = f"{shared_dir(spark)}/tracequarry/shardmap-{name}-{n_shards}-{n_slots}"
+    version, shard = latest_map(spark, path, n_slots) or (1, initial_map(n_slots, n_shards))
+    if version == 1:
+        save_map(spark, path, 1, shard, size, count)
+    edited = rebalanced(shard, size, n_shards)
+    if (edited != shard).any():
+        version, shard = version + 1, edited
+        save_map(spark, path, version, shard, size, count)
+    return placed(rows, shard, count).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(2).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version"),
     )
 
 
