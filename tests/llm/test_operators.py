@@ -502,11 +502,11 @@ def test_gradient():
 
 def test_language_id(spark, none):
     rows = [(i, (EN if i % 2 else DE)[i % 7 :] + f" {i}", "en" if i % 2 else "de", "a") for i in range(80)]
-    rows += [(100, None, "en", "a"), (101, "12 34 !", "en", "a"), (102, "", None, None), (103, DE * 9000, None, "a"), (104, "字" * 50, "en", "a"), (104, EN, None, "a")]
+    rows += [(100, None, "en", "a"), (101, "12 34 !", "en", "a"), (102, "", None, None), (103, DE * 9000, None, "a"), (104, "字" * 50, "en", "a"), (104, EN, None, "a"), (None, EN, "en", "a")] + [(105, EN, "en", "a")] * 30
     got = defaultdict(list)
     for r in language_id.identified(documents(spark, rows)).collect():
         got[r.doc_id].append(r)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und")
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und")
     assert all(got[i][0].lang_pred == ("en" if i % 2 else "de") for i in range(80))
     assert [got[i][0].lang_pred for i in (100, 101, 102, 103)] == ["und", "und", "und", "de"]
     assert not any(r.rejected for i in range(80) for r in got[i])
@@ -518,15 +518,71 @@ def test_language_id(spark, none):
     assert not {100, 101, 102} & {r.doc_id for r in kept.collect()}
 
 
-def test_slices_count_like_the_whole():
+def test_slices_count_like_the_whole(monkeypatch):
     letters = language_id._letter_table()
-    text = (EN + DE) * 3
-    whole = language_id._counts(text, letters)
-    old, language_id.SLICE = language_id.SLICE, 100
-    try:
-        assert np.abs(language_id._counts(text, letters) - whole).sum() < 0.1 * whole.sum()
-    finally:
-        language_id.SLICE = old
+    for text in ((EN + DE) * 3, "  .. a", "ΟΔΟΣ σας 12 x", "😀 𝒳𝒴 z.", "a" * 40, ". " * 30 + "q"):
+        whole = language_id._counts(text, letters)
+        for n in (1, 2, 3, 7, 100):
+            monkeypatch.setattr(language_id, "SLICE", n)
+            assert (language_id._counts(text, letters) == whole).all()
+        monkeypatch.undo()
+
+
+def slow_grams(text):
+    """N-gram hashes by Python numbers, one at a time."""
+    low, out = 0xFFFFFFFF, Counter()
+    runs = re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else "\0", text.lower(), flags=re.S)
+    marks = [0 if c == "\0" else ord(c) for c in re.sub("\0+", "\0", f"\0{runs}\0")]
+    for i, c in enumerate(marks):
+        found = []
+        if c:
+            found.append(c * 0x9E3779B1)
+        if i >= 1:
+            p = marks[i - 1] * 0x9E3779B1 & low
+            found.append((((p ^ p >> 15) * 0x85EBCA77 & low) + c) * 0x27D4EB2F)
+        if i >= 2:
+            p = marks[i - 2] * 0x9E3779B1 & low
+            q = ((p ^ p >> 15) * 0x85EBCA77 & low) + marks[i - 1] & low
+            found.append((((q ^ q >> 13) * 0xC2B2AE3D & low) + c) * 0x165667B1)
+        for h in found:
+            h &= low
+            out[((h ^ h >> 16) * 0x2C1B3C6D & low) >> 20] += 1
+    return out if any(marks) else None
+
+
+def test_language_id_is_that_of_the_slow_version(spark):
+    """Weights, cosines and rejection of every row, from n-grams counted in plain Python."""
+    rng = np.random.default_rng(7)  # no two of the rows share a cell of the sample
+    rows = [(i, " ".join(map(str, rng.choice((EN if i % 3 else DE).split(), 12))), "en" if i % 3 else "de", "a") for i in range(60)]
+    rows += [(200, "zzz qqq xxx jjj", None, "a"), (201, "字" * 30, None, "a"), (202, EN[:40] + DE[:40], None, "a"), (203, "7 8", "en", "a"), (None, EN, "de", "a")]
+    table = documents(spark, rows)
+    model = language_id.train(table.filter(language_id.in_training()))
+    counts = [slow_grams(t) for _, t, _, _ in rows]
+    training = [i is None or zlib.crc32(str(i).encode()) % 4 != 2 for i, *_ in rows]
+    known = [c for c, (_, _, lang, _), yes in zip(counts, rows, training, strict=True) if yes and lang and c]
+    idf = {d: np.log((1 + len(known)) / (1 + sum(d in c for c in known))) + 0.1 for d in range(language_id.DIMS)}
+    assert all(abs(model["idf"][d] - w) < 1e-5 for d, w in idf.items())
+
+    def unit(c):
+        v = np.zeros(language_id.DIMS)
+        for d, n in c.items():
+            v[d] = np.log1p(n) * idf[d]
+        return v / np.linalg.norm(v)
+
+    own = {lang: [unit(c) for c, (_, _, x, _), yes in zip(counts, rows, training, strict=True) if yes and x == lang and c] for lang in ("de", "en")}
+    centres = [(model["langs"][o], c.astype(float)) for o, c in zip(model["owner"], model["centres"], strict=True)]
+    for lang, least in zip(model["langs"], model["least"], strict=True):
+        near = [max(v @ c for x, c in centres if x == lang) for v in own[lang]]
+        assert abs(np.quantile(near, 0.01) - least) < 1e-4
+    got = sorted(((str(r.doc_id), r.lang_pred, round(r.score, 3), r.rejected) for r in language_id.identified(table).collect()))
+    want = []
+    for (i, *_), c in zip(rows, counts, strict=True):
+        score, lang = max(((unit(c) @ v, x) for x, v in centres), default=(0.0, "und")) if c else (0.0, "und")
+        want.append((str(i), lang, score, not c or score < language_id.REJECT_SHARE * model["least"][model["langs"].index(lang)]))
+    want.sort()
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert all(abs(g[2] - w[2]) < 2e-3 for g, w in zip(got, want, strict=True))
+    assert any(w[3] for w in want) and not all(w[3] for w in want)
 
 
 # --- 5 -------------------------------------------------------------------------------------------
