@@ -1,8 +1,12 @@
+import json
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions import compat
-from tracequarry.operators import features, stats, tasks
+from tracequarry.operators import features, order, stats, tasks
 from tracequarry.operators import trials as t
 from tracequarry.sources import corpus, views
 from tracequarry.streaming import ingest
@@ -64,6 +68,59 @@ def test_proxy_features(spark, corpus_dir):
         assert all(r[c] is not None and r[c] >= 0 for c in ("n_messages", "n_tool_calls", "assistant_chars", "n_test_calls"))
 
 
+def test_features_know_their_shard(spark, corpus_dir):
+    rows = features.proxy_features(corpus.read_trials(spark, str(corpus_dir))).collect()
+    counts = ["n_messages", "n_assistant_turns", "n_tool_calls", "n_distinct_tool_commands", "max_consecutive_identical_calls", "n_edit_calls", "n_test_calls"]
+    assert {(r.harness, r.teacher, r.source) for r in rows} == {("my harness", "teacher", "src")} and {r.category for r in rows} == {"bug", "c", None}
+    assert all(r[c] is not None and r[c] >= 0 for r in rows for c in counts) and {r.resolved for r in rows} <= {-1, 0, 1}
+
+
+def test_turn_sample(spark, corpus_dir):
+    trials = corpus.read_trials(spark, str(corpus_dir))
+    rows = features.turn_sample(trials, 10).orderBy("trajectory_id", "turn_idx").collect()
+    assert [(r.trajectory_id, r.turn_idx, r.role, r.content_len, r.has_tool_call, r.is_edit_command, r.is_test_command, r.pct_through, r.cum_edits, r.cum_tests, r.cum_tool_calls) for r in rows] == [
+        ("t1", 1, "user", 6, False, False, False, 0.5, 0, 0, 0), ("t1", 2, "assistant", 9, True, True, True, 1.0, 1, 1, 3),
+    ]
+    assert features.turn_sample(trials, 0).count() == 0
+
+
+def test_training_sample(spark, tmp_path):
+    calls = [("bash", '{"cmd": "ls", "n": [1, {"a": null}]}'), ("bash", "not json"), ("bash", None)]
+    row = ("i", "r", "mit", "go", "t{}", "hf", 1, [("user", "fix", None, None, None), ("assistant", "ok", None, None, [({"name": n, "arguments": a},) for n, a in calls])], ["tool"], None)
+    trials = spark.createDataFrame([tuple(x.format(i) if x == "t{}" else x for x in row) for i in range(20)], corpus.TRIAL)
+    corpus.build_sample(trials, 5, 0, str(tmp_path / "sample"))
+    rows = [json.loads(line) for f in (tmp_path / "sample").glob("part-*") for line in f.read_text().splitlines()]
+    assert len({r["trajectory_id"] for r in rows}) == len(rows) == 5
+    told = [c["function"].get("arguments") for r in rows for m in r["messages"] for c in m.get("tool_calls", [])]
+    assert told == [{"cmd": "ls", "n": [1, {"a": None}]}, {"text": "not json"}, {}] * 5
+    corpus.build_sample(trials, 5, 0, str(tmp_path / "again"))
+    assert {r.trajectory_id for r in spark.read.json(str(tmp_path / "again")).collect()} == {r["trajectory_id"] for r in rows}
+
+
+def test_parts_resume_and_merge(spark, tmp_path):
+    rows = [(f"s{s}", f"t{i}", i) for s in range(4) for i in range(5)]
+    trials, out = spark.createDataFrame(rows, "_source_file string, trajectory_id string, v int"), str(tmp_path / "parts")
+    change = lambda df: df.withColumn("v", F.col("v") * 10)
+    assert [r[0] for r in corpus.run_parts(trials, out, change, limit=1, head=2).collect()] == ["s0"]
+    assert spark.read.parquet(out).count() == 2
+    with pytest.raises(Exception, match="lost"):  # a run that fails leaves nothing
+        corpus.run_parts(trials, out, lambda df: df.filter(F.raise_error(F.lit("lost")).isNull()))
+    assert sorted(r[0] for r in corpus.run_parts(trials, out, change).collect()) == ["s1", "s2", "s3"]
+    assert corpus.run_parts(trials, out, change).count() == 0
+    assert spark.read.parquet(out).count() == 17
+    corpus.merge_parts(spark, out, str(tmp_path / "merged"))
+    assert spark.read.parquet(str(tmp_path / "merged")).count() == 17 and len(list((tmp_path / "merged").glob("part-*"))) == 1
+
+
+def test_listing_and_drift(spark, corpus_dir, tmp_path):
+    listed = corpus.list_shards(spark, str(corpus_dir)).collect()
+    assert len(listed) == 1 and listed[0]["length"] > 0 and "/my harness/teacher/src/part-" in listed[0]._source_file
+    spark.createDataFrame([(1, "a")], "k int, old string").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2**40, 1.5)], "k long, new double").write.parquet(str(tmp_path / "b"))
+    drifting = corpus.read_drifting(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted(map(tuple, drifting.select("k", "old", "new").collect())) == [(1, "a", None), (2**40, None, 1.5)]
+
+
 def test_union_widens(spark):
     a, b = spark.createDataFrame([(1, "x")], "n int, a string"), spark.createDataFrame([(1 << 40,)], "n bigint")
     out = corpus.union_by_name([a, b])
@@ -98,17 +155,83 @@ def test_package_status(spark):
     assert {r.package: r.status for r in tasks.package_status(df).collect()} == {"a": "ok", "b": "fail"}
 
 
-def test_response_model_recovers(spark):
-    import numpy as np
+def response_slopes(rows, b, log_a, theta):
+    """The gradient of the joint log posterior at what was fitted, by task and combo."""
+    g_b, g_a, g_t = ({i: -b[i] for i in b}, {i: -4 * log_a[i] for i in b}, {c: -t for c, t in theta.items()})
+    for i, c, n, k in rows:
+        if i in b:
+            a = np.exp(log_a[i])
+            rest = k - n / (1 + np.exp(-a * (theta[c] - b[i])))
+            g_b[i] -= a * rest
+            g_a[i] += rest * a * (theta[c] - b[i])
+            g_t[c] += a * rest
+    return g_b, g_a, g_t
+
 
+@pytest.mark.parametrize("two", [False, True])
+def test_response_model_is_fitted_to_the_end(spark, two):
     rng = np.random.default_rng(1)
-    b, theta = rng.normal(size=40), rng.normal(size=7)
-    rows = [(i, f"c{j}", 30, int(rng.binomial(30, 1 / (1 + np.exp(-(theta[j] - b[i])))))) for i in range(40) for j in range(7)]
-    counts = spark.createDataFrame(rows, "task int, combo string, n long, k long")
-    found, _ = stats.fit_response(counts, "task", "combo", rounds=6)
-    got = dict(found.select("task", "b").collect())
-    order = np.argsort(np.argsort([got[i] for i in range(40)])), np.argsort(np.argsort(b))
+    b, a, theta = rng.normal(size=40), np.exp(rng.normal(0, 0.4, 40)) if two else np.ones(40), rng.normal(size=7)
+    rows = [(i, f"c{j}", 30, int(rng.binomial(30, 1 / (1 + np.exp(-a[i] * (theta[j] - b[i])))))) for i in range(40) for j in range(7)]
+    rows += [(100, "c0", 2, 1)]  # too few trials
+    found, abilities = stats.fit_response(spark.createDataFrame(rows, "task int, combo string, n long, k long"), "task", "combo", two_parameters=two)
+    got = {r.task: r for r in found.collect()}
+    assert set(got) == set(range(40))
+    order = np.argsort(np.argsort([got[i].b for i in range(40)])), np.argsort(np.argsort(b))
     assert np.corrcoef(*order)[0, 1] > 0.9
+    slopes = response_slopes(rows, {i: r.b for i, r in got.items()}, {i: r.log_a for i, r in got.items()}, dict(abilities.collect()))
+    assert max(map(abs, slopes[0].values())) < 1e-6 and max(map(abs, slopes[2].values())) < 0.05
+    assert not two or max(map(abs, slopes[1].values())) < 1e-3
+
+
+def test_logistic_is_the_slow_fit(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2)) * [3, 0.2] + [5, 1]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 5) / 3 + 4 * (x[:, 1] - 1)))).astype(int)
+    df = spark.createDataFrame([(int(t), float(u), float(v)) for t, (u, v) in zip(y, x, strict=True)], "y int, u double, v double")
+    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.ones(400)])
+    w = np.zeros(3)
+    for _ in range(50):  # Newton steps with the same penalty, none on the intercept
+        p = 1 / (1 + np.exp(-z @ w))
+        pull = 1e-4 * np.array([1, 1, 0])
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / 400 + np.diag(pull), z.T @ (p - y) / 400 + pull * w)
+    got = dict(stats.logistic(df, "y", ["u", "v"]).collect())
+    assert abs(got["u"] - w[0]) < 2e-3 and abs(got["v"] - w[1]) < 2e-3
+
+
+def test_mixture_is_the_slow_fit(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(n := rng.integers(1, 9)), int(rng.binomial(n, 0.15 if i % 3 else 0.7))) for i in range(120)]
+    w, p = [0.5, 0.5], [0.2, 0.8]
+    for _ in range(200):  # task by task
+        parts = []
+        for _, n, k in rows:
+            like = [w[c] * p[c] ** k * (1 - p[c]) ** (n - k) for c in (0, 1)]
+            parts.append([x / sum(like) for x in like])
+        w = [sum(r[c] for r in parts) / len(rows) for c in (0, 1)]
+        p = [sum(r[c] * k for r, (_, n, k) in zip(parts, rows, strict=True)) / sum(r[c] * n for r, (_, n, k) in zip(parts, rows, strict=True)) for c in (0, 1)]
+    got = stats.mixture_of(spark.createDataFrame(rows, "task int, n_labeled int, n_resolved int")).collect()
+    assert all(abs(r.weight - w[r.component]) < 1e-9 and abs(r.rate - p[r.component]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 37])
+def test_places_by_ranges(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, int(rng.integers(0, 6)), int(rng.integers(1, 9))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, v int, w int")
+    got = {r.id: (r.before, r.all) for r in order.sums_before(df, [F.desc("v"), F.col("id")], F.col("w"), "before", "all").collect()}
+    held, want = 0, {}
+    for i, _, w in sorted(rows, key=lambda r: (-r[1], r[0])):
+        want[i] = (held, sum(r[2] for r in rows))
+        held += w
+    assert got == want
+    for parts in (1, 3, 10):
+        ours = {r.id: r.bin for r in tasks.bins(df, parts, F.col("v"), "id").collect()}
+        theirs = {r.id: r.b for r in df.withColumn("b", F.ntile(parts).over(Window.orderBy("v", "id"))).collect()}
+        assert ours == theirs
+    shares = [("a", 1), ("b", 0), ("c", 2)]
+    by_place = {i: "a" if 3 * (at + 1) <= n else "c" for at, (i, *_) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r.id: r.bucket for r in stats.quantile_matched(df, [F.col("v"), F.col("id")], shares).collect()} == by_place
 
 
 def test_mixture():

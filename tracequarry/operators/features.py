@@ -4,10 +4,11 @@ Field arrays (`messages.role`) let the Parquet scan read the named fields only;
 a lambda over the whole message struct would read them all.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import text_to_int
+from tracequarry.sources.corpus import shard_columns
 
 EDIT = r"sed -i|cat >|\btee\b|str_replace_editor|\bedit\b|apply_patch"
 TEST = r"pytest|go test|cargo test|npm test|jest|phpunit|mvn test"
@@ -51,8 +52,14 @@ def added_lines(patch: Column) -> Column:
 
 
 def proxy_features(trials: DataFrame) -> DataFrame:
-    """One row of structural features for each trial, without exploding its messages."""
+    """One row of structural features for each trial, without exploding its messages.
+
+    Trials that know their shard, by `_source_file`, get its harness, teacher and source as well.
+    """
     role = F.col("messages.role")
+    if "_source_file" in trials.columns:
+        shard = shard_columns(F.col("_source_file"))
+        trials = trials.withColumns({"harness": shard["harness"], "teacher": shard["teacher_model"], "source": shard["source_dataset"], "category": F.col("metadata.category")})
     told = F.filter(F.col("messages.tool_calls"), lambda c: c.isNotNull())
     calls = F.flatten(F.transform(told, lambda c: F.transform(c, lambda x: x["function"]["arguments"])))
     arguments = F.filter(F.coalesce(calls, F.array().cast("array<string>")), lambda x: x.isNotNull())
@@ -77,3 +84,27 @@ def proxy_features(trials: DataFrame) -> DataFrame:
         "ends_with_submit": F.coalesce(last.rlike(SUBMIT), F.lit(False)),
     })
     return out.drop("_args", "messages", "tools")
+
+
+def turn_sample(trials: DataFrame, n: int, seed: int = 42, key: str = "trajectory_id") -> DataFrame:
+    """The turns of n trials, the first in a seeded order, with running counts of edits, tests and tool calls.
+
+    Trials are picked by their keys alone; only the picked ones' messages are read further.
+    """
+    picked = trials.select(key).orderBy(F.md5(F.concat_ws("-", F.col(key), F.lit(str(seed))).cast("binary")), key).limit(n)
+    fields = ("role", "content", "tool_calls")
+    zipped = F.arrays_zip(*[F.col(f"messages.{f}").alias(f) for f in fields])
+    rows = trials.join(picked, key, "left_semi").select(key, "resolved", F.posexplode(zipped).alias("pos", "m"))
+    text = F.concat_ws("\n", F.col("m.content"), F.transform(F.coalesce("m.tool_calls", F.array()), lambda c: c["function"]["arguments"]))
+    calls = F.when(F.col("m.role") == "assistant", F.coalesce(F.size("m.tool_calls"), F.lit(0))).otherwise(0)
+    acts = F.col("role") == "assistant"
+    rows = rows.select(
+        key, "resolved", (F.col("pos") + 1).alias("turn_idx"), F.col("m.role").alias("role"), F.coalesce(F.length("m.content"), F.lit(0)).alias("content_len"),
+        (calls > 0).alias("has_tool_call"), text.rlike(EDIT).alias("_edit"), text.rlike(TEST).alias("_test"), calls.alias("_calls"),
+    )
+    upto = Window.partitionBy(key).orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"is_edit_command": acts & F.col("_edit"), "is_test_command": acts & F.col("_test")})
+    return rows.withColumns({
+        "pct_through": F.col("turn_idx").cast("double") / F.count("*").over(Window.partitionBy(key)),
+        "cum_edits": F.sum(F.col("is_edit_command").cast("int")).over(upto), "cum_tests": F.sum(F.col("is_test_command").cast("int")).over(upto), "cum_tool_calls": F.sum("_calls").over(upto),
+    }).drop("_edit", "_test", "_calls")

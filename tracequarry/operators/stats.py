@@ -1,11 +1,15 @@
 """Statistics: correlations, AUC, splits, samples, budgets, and small fitted models."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracequarry.functions.compat import ref_round
+from tracequarry.operators.order import sums_before
 
 
 def pearson(df: DataFrame, target: str, features: list[str], digits: int = 6) -> DataFrame:
@@ -17,11 +21,10 @@ def pearson(df: DataFrame, target: str, features: list[str], digits: int = 6) ->
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with value's rank among all rows, ties at their mean.
 
-    Ranks come from the sorted table of distinct values and their counts, so no task sorts all rows.
+    Ranks come from the distinct values and their counts, which are summed up by ranges of values, so no task sorts all rows or all values.
     """
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    ranks = counts.select(F.col(value).alias("_value"), (before + (F.col("_n") + 1) / 2.0).alias(name))
+    ranks = sums_before(counts, [F.col(value)], F.col("_n"), "_before").select(F.col(value).alias("_value"), (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, df[value].eqNullSafe(ranks["_value"])).drop("_value")
 
 
@@ -55,9 +58,14 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) ->
 
 
 def budgeted(df: DataFrame, arm: str, size: str, order: list, budget: int) -> DataFrame:
-    """The rows of each arm, in order, while their running size stays within the budget."""
-    w = Window.partitionBy(arm).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= budget)
+    """The rows of each arm, in order, while their running size stays within the budget.
+
+    Sizes are summed up by ranges of the whole order, so no task sorts an arm.
+    """
+    rows = sums_before(df, [F.col(arm), *order], F.col(size), "_before")
+    starts = rows.groupBy(F.col(arm).alias("_arm")).agg(F.min("_before").alias("_start"))
+    running = rows.join(starts, F.col(arm).eqNullSafe(F.col("_arm"))).withColumn("running", F.col("_before") - F.col("_start") + F.col(size))
+    return running.filter(F.col("running") <= budget).drop("_before", "_start", "_arm")
 
 
 def logistic(df: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -89,36 +97,68 @@ def counts_of(trials: DataFrame, task: str, combo: str) -> DataFrame:
     return trials.filter(F.col("resolved").isin(0, 1)).groupBy(task, combo).agg(F.count("*").alias("n"), F.sum("resolved").cast("long").alias("k"))
 
 
-def fit_response(counts: DataFrame, task: str, combo: str, two_parameters: bool = False, rounds: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(difficulty of each task, ability of each combo) of a one- or two-parameter logistic model with normal priors.
+def _solved(n: np.ndarray, k: np.ndarray, theta: np.ndarray, two_parameters: bool, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(difficulty, log discrimination) of each task, given the combos' abilities; n, k: trials and passes of (tasks, combos)."""
+    b, log_a = np.zeros(len(n)), np.zeros(len(n))
+    for _ in range(steps):
+        a, off = np.exp(log_a)[:, None], theta[None, :] - b[:, None]
+        p = 1 / (1 + np.exp(-a * off))
+        rest, spread = k - n * p, n * p * (1 - p)
+        step = np.clip((-(a * rest).sum(axis=1) - b) / ((a * a * spread).sum(axis=1) + 1), -1, 1)
+        b, moved = b + step, np.abs(step)
+        if two_parameters:
+            off = theta[None, :] - b[:, None]
+            p = 1 / (1 + np.exp(-a * off))
+            slope, bend = ((k - n * p) * a * off).sum(axis=1) - 4 * log_a, (n * p * (1 - p) * (a * off) ** 2).sum(axis=1) + 4
+            step = np.clip(slope / bend, -0.5, 0.5)
+            log_a, moved = log_a + step, np.maximum(moved, np.abs(step))
+        if moved.max(initial=0) < 1e-10:
+            break
+    return b, log_a
+
+
+def fit_response(counts: DataFrame, task: str, combo: str, two_parameters: bool = False, rounds: int = 300, tolerance: float = 1e-4, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(b and log_a of each task, theta of each combo) of a one- or two-parameter logistic model with normal priors: theta and b of
+    variance 1, log_a of 0.25. Tasks with fewer than `least` trials are left out.
 
-    Alternating Newton steps: each round is two joins and two aggregations, so tasks are never collected. Combos are few and
-    their abilities are broadcast; a round's results are written to the checkpoint folder every tenth time.
+    A task's parameters follow from the abilities, so nothing of it is kept between rounds: each round is one aggregation of what tasks
+    say of each combo, until no ability moves by `tolerance`. Combos are few and known to the driver; tasks are never collected.
     """
-    tasks = counts.select(task).distinct().withColumn("b", F.lit(0.0)).withColumn("log_a", F.lit(0.0))
-    combos = counts.select(combo).distinct().withColumn("theta", F.lit(0.0))
-    steps = rounds if rounds else 1
-    for i in range(steps):
-        def terms(t=tasks, c=combos):
-            x = counts.join(t, task).join(c, combo)
-            a = F.exp("log_a")
-            p = 1 / (1 + F.exp(-a * (F.col("theta") - F.col("b"))))
-            return x.withColumn("a", a).withColumn("res", F.col("k") - F.col("n") * p).withColumn("inf", F.col("n") * p * (1 - p))
-
-        g = terms().groupBy(task).agg(
-            F.sum(-F.col("a") * F.col("res")).alias("g"), F.sum(F.col("a") * F.col("a") * F.col("inf")).alias("h"),
-            F.sum(F.col("res") * F.col("a") * (F.col("theta") - F.col("b"))).alias("ga"), F.sum(F.col("inf") * F.pow(F.col("a") * (F.col("theta") - F.col("b")), 2)).alias("ha"),
-        )
-        step_a = F.greatest(F.lit(-0.3), F.least(F.lit(0.3), (F.col("ga") - F.col("log_a") / 0.25) / (F.col("ha") + 4))) if two_parameters else F.lit(0.0)
-        tasks = tasks.join(g, task).select(task, (F.col("b") + (F.col("g") - F.col("b")) / (F.col("h") + 1)).alias("b"), (F.col("log_a") + step_a).alias("log_a"))
-        tasks = tasks.checkpoint()
-        h = terms(tasks, combos).groupBy(combo).agg(F.sum(F.col("a") * F.col("res")).alias("g"), F.sum(F.col("a") * F.col("a") * F.col("inf")).alias("h"))
-        new = combos.join(h, combo).select(combo, (F.col("theta") + (F.col("g") - F.col("theta")) / (F.col("h") + 1)).alias("theta"))
-        moved = new.join(combos.withColumnRenamed("theta", "old"), combo).agg(F.max(F.abs(F.col("theta") - F.col("old")))).first()[0]
-        combos = new.checkpoint()
-        if moved is None or moved < 1e-4:
+    combos = sorted(r[0] for r in counts.select(combo).distinct().collect())
+    at = [F.sum(F.when(F.col(combo) == c, F.col(x)).otherwise(0)).cast("double") for x in ("n", "k") for c in combos]
+    wide = counts.groupBy(task).agg(F.sum("n").alias("_all"), F.array(*at[: len(combos)]).alias("_n"), F.array(*at[len(combos) :]).alias("_k")).filter(F.col("_all") >= least)
+    wide = wide.select(task, "_n", "_k").checkpoint()
+
+    def matrices(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array(batch[x].tolist(), float).reshape(len(batch), len(combos)) for x in ("_n", "_k"))
+
+    theta = np.zeros(len(combos))
+    for _ in range(rounds if combos else 0):
+
+        def told(batches: Iterator[pd.DataFrame], theta=theta) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                n, k = matrices(batch)
+                b, log_a = _solved(n, k, theta, two_parameters)
+                a = np.exp(log_a)[:, None]
+                p = 1 / (1 + np.exp(-a * (theta[None, :] - b[:, None])))
+                yield pd.DataFrame({"at": np.arange(len(combos)), "g": (a * (k - n * p)).sum(axis=0), "h": (a * a * n * p * (1 - p)).sum(axis=0)})
+
+        g, h = np.zeros((2, len(combos)))
+        for r in wide.select("_n", "_k").mapInPandas(told, "at int, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            g[r["at"]], h[r["at"]] = r.g, r.h
+        step = (g - theta) / (h + 1)
+        theta = theta + step
+        if np.abs(step).max() < tolerance:
             break
-    return tasks, combos
+
+    def parameters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            b, log_a = _solved(*matrices(batch), theta, two_parameters)
+            yield pd.DataFrame({task: batch[task], "b": b, "log_a": log_a})
+
+    kind = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
+    tasks = wide.mapInPandas(parameters, f"`{task}` {kind[task]}, b double, log_a double")
+    return tasks, counts.sparkSession.createDataFrame([(c, float(t)) for c, t in zip(combos, theta, strict=True)], f"`{combo}` {kind[combo]}, theta double")
 
 
 def binomial_mixture(histogram: list[tuple[int, int, int]], rounds: int = 200) -> list[tuple[float, float]]:
@@ -141,14 +181,19 @@ def mixture_of(tasks: DataFrame, n: str = "n_labeled", k: str = "n_resolved") ->
     return tasks.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(found)], "component int, weight double, rate double")
 
 
-def quantile_matched(df: DataFrame, value: str, shares: list[tuple[str, float]], key: str) -> DataFrame:
-    """df with `bucket`: the first name whose cumulative share reaches the row's percent rank by value."""
-    position = F.percent_rank().over(Window.orderBy(value, key))
-    out, total = F.lit(shares[-1][0]), 1.0
-    for name, share in reversed(shares[:-1]):
-        total = sum(s for n, s in shares[: [n for n, _ in shares].index(name) + 1])
-        out = F.when(F.col("_at") <= total, name).otherwise(out)
-    return df.withColumn("_at", position).withColumn("bucket", out).drop("_at")
+def quantile_matched(df: DataFrame, order: list, shares: list[tuple[str, int]], name: str = "bucket") -> DataFrame:
+    """df with a bucket for each row: in the given total order, buckets take their shares (name, count) of all rows.
+
+    Places come from ranges of the order, so no task sorts all rows.
+    """
+    total, passed, out = sum(n for _, n in shares), 0, F.lit(None).cast("string")
+    bounds = []
+    for bucket, n in shares:
+        passed += n
+        bounds.append((bucket, passed))
+    for bucket, passed in reversed(bounds):
+        out = F.when((F.col("_before") + 1) * total <= F.col("_all") * passed, bucket).otherwise(out)
+    return sums_before(df, order, F.lit(1), "_before", "_all").withColumn(name, out).drop("_before", "_all")
 
 
 def described(df: DataFrame) -> DataFrame:

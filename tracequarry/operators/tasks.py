@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import ratio, ref_round
+from tracequarry.operators.order import sums_before
 
 
 def difficulty(trials: DataFrame, task: str, resolved: str = "resolved") -> DataFrame:
@@ -26,11 +27,15 @@ def size_stratum(lines: Column) -> Column:
 
 
 def bins(df: DataFrame, n: int, by: Column, *tie: str) -> DataFrame:
-    """df with `bin`, from 1, of n equal parts by rank; ties are broken by key.
+    """df with `bin`, from 1, of n equal parts by rank, the first ones larger by one where n does not divide the rows; ties are broken by key.
 
-    The rank is global, so df should be a table of tasks, not of trials.
+    Ranks come from ranges of the order, so no task sorts all rows.
     """
-    return df.withColumn("bin", F.ntile(n).over(Window.orderBy(by.asc_nulls_last(), *tie)))
+    rows = sums_before(df, [by.asc_nulls_last(), *map(F.col, tie)], F.lit(1), "_before", "_all")
+    small, more = F.floor(F.col("_all") / n), F.col("_all") % n
+    in_large = F.col("_before") < more * (small + 1)
+    place = F.when(in_large, F.floor(F.col("_before") / (small + 1))).otherwise(more + F.floor((F.col("_before") - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("bin", (place + 1).cast("int")).drop("_before", "_all")
 
 
 def leave_one_out(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -134,7 +134,11 @@ def leave_one_out(spark, d):
     return rows.select("task", "l_orderkey", "l_linenumber", ref_round(F.col("loo_rate"), 6).alias("loo_rate"), ref_round(F.col("resolved") - F.col("loo_rate"), 6).alias("residual"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT n_resolved::DOUBLE / n_labeled AS y, n_labeled::DOUBLE AS w, p_size::DOUBLE AS u, p_retailprice AS v FROM {_DIFF} JOIN part ON p_partkey = task WHERE n_labeled > 0),
+  z AS (SELECT y, w, (u - avg(u) OVER ()) / stddev_samp(u) OVER () AS u, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS v FROM x),
+  m AS (SELECT sum(w * y) / sum(w) AS y, sum(w * u) / sum(w) AS u, sum(w * v) / sum(w) AS v FROM z),
+  s AS (SELECT sum(w * (z.u - m.u) * (z.u - m.u)) AS uu, sum(w * (z.v - m.v) * (z.v - m.v)) AS vv, sum(w * (z.u - m.u) * (z.v - m.v)) AS uv, sum(w * (z.u - m.u) * (z.y - m.y)) AS uy, sum(w * (z.v - m.v) * (z.y - m.y)) AS vy FROM z, m)
+  SELECT 'p_size' AS feature, round((uy * vv - vy * uv) / (uu * vv - uv * uv), 4) AS coef FROM s UNION ALL SELECT 'p_retailprice', round((vy * uu - uy * uv) / (uu * vv - uv * uv), 4) FROM s""")
 def weighted_solve_model(spark, d):
     rows = tasks.difficulty(rollouts(spark, d), "task").join(table(spark, d, "part").withColumnRenamed("p_partkey", "task"), "task")
     return stats.weighted_linear(rows, "solve_rate", "n_labeled", ["p_size", "p_retailprice"]).select("feature", ref_round(F.col("coef"), 4).alias("coef"))
@@ -145,24 +149,48 @@ def size_mixture(spark, d):
     return stats.mixture_of(tasks.difficulty(rollouts(spark, d), "task")).select("component", ref_round(F.col("weight"), 4).alias("weight"), ref_round(F.col("rate"), 4).alias("rate"))
 
 
-def _checkpointed(spark):
-    """Checkpoints need a folder: the cluster's, or one of our own where none is named, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracequarry-"))
-
-
 @query()
 def irt_fit(spark, d):
-    _checkpointed(spark)
+    """b of the one-parameter model, b and a of the two-parameter one, of tasks with three labels at least."""
     counts = stats.counts_of(rollouts(spark, d), "task", "combo")
-    found, _ = stats.fit_response(counts, "task", "combo", rounds=6)
-    return found.select("task", ref_round(F.col("b"), 4).alias("b_1pl"))
+    one = stats.fit_response(counts, "task", "combo")[0].select("task", ref_round(F.col("b"), 3).alias("b_1pl"))
+    two = stats.fit_response(counts, "task", "combo", two_parameters=True)[0].select("task", ref_round(F.col("b"), 3).alias("b_2pl"), ref_round(F.exp("log_a"), 3).alias("a_2pl"))
+    return one.join(two, "task")
 
 
-@query(f"""WITH r AS (SELECT task, percent_rank() OVER (ORDER BY n_resolved::DOUBLE / n_labeled, task) AS pos FROM {_DIFF} WHERE n_labeled >= 3)
-  SELECT task, CASE WHEN pos <= 0.2 THEN 'hard' WHEN pos <= 0.7 THEN 'mid' ELSE 'easy' END AS bucket FROM r""")
-def irt_bucket(spark, d):
+_HARD_FIRST = ("all_fail", "hard", "mid", "easy", "all_pass")
+
+
+def _bucket_counts(rows) -> list[tuple[str, int]]:
+    """How many tasks each bucket of pass rates has, from hard to easy."""
+    found = dict(rows.groupBy("pass_bucket").count().collect())
+    return [(b, found.get(b, 0)) for b in _HARD_FIRST]
+
+
+def _bucketed(spark, d):
     rows = tasks.difficulty(rollouts(spark, d), "task").filter("n_labeled >= 3")
-    return stats.quantile_matched(rows, "solve_rate", [("hard", 0.2), ("mid", 0.5), ("easy", 0.3)], "task").select("task", "bucket")
+    return rows.withColumn("pass_bucket", tasks.difficulty_bucket(F.col("n_labeled"), F.col("solve_rate")))
+
+
+@query()
+def irt_bucket(spark, d):
+    """The task table with a bucket by fitted difficulty: the hardest tasks take the share that the hardest bucket of pass rates has, and so on."""
+    rows = _bucketed(spark, d)
+    fitted = stats.fit_response(stats.counts_of(rollouts(spark, d), "task", "combo"), "task", "combo", two_parameters=True)[0]
+    matched = stats.quantile_matched(fitted.select("task", "b"), [F.desc("b"), F.col("task")], _bucket_counts(rows), "irt_bucket")
+    return rows.join(matched.select("task", "irt_bucket"), "task", "left")
+
+
+_CUM = ", ".join(f"count(*) FILTER (bucket IN ({', '.join(repr(x) for x in _HARD_FIRST[: i + 1])})) OVER () AS c{i}" for i in range(5))
+
+
+@query(f"""WITH b AS (SELECT *, n_resolved::DOUBLE / n_labeled AS solve_rate, {_BUCKET} AS bucket FROM {_DIFF} WHERE n_labeled >= 3),
+  p AS (SELECT *, row_number() OVER (ORDER BY added, task) AS pos, {_CUM} FROM (SELECT b.*, p_retailprice AS added FROM b JOIN part ON p_partkey = task))
+  SELECT task, n_rollouts, n_labeled, n_resolved, solve_rate, bucket AS pass_bucket,
+  CASE WHEN pos <= c0 THEN 'all_fail' WHEN pos <= c1 THEN 'hard' WHEN pos <= c2 THEN 'mid' WHEN pos <= c3 THEN 'easy' ELSE 'all_pass' END AS price_bucket FROM p""")
+def matched_bucket(spark, d):
+    """The task table, all its columns kept, with a bucket by price whose shares are those of the pass-rate buckets."""
+    rows = _bucketed(spark, d)
+    priced = rows.select("task").join(table(spark, d, "part").select(F.col("p_partkey").alias("task"), "p_retailprice"), "task")
+    matched = stats.quantile_matched(priced, [F.col("p_retailprice"), F.col("task")], _bucket_counts(rows), "price_bucket")
+    return rows.join(matched.select("task", "price_bucket"), "task")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions.compat import ref_round
 from tracequarry.operators import stats, tasks
 from tracequarry.plans.base import ROLLOUTS, query, rollouts, table
+from tracequarry.plans.levels import _PAIRS
 
 
 @query("SELECT o_orderstatus AS status, o_orderpriority AS priority, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*) AS n FROM orders GROUP BY CUBE (1, 2)".replace("CUBE (1, 2)", "CUBE (o_orderstatus, o_orderpriority)"))
@@ -48,15 +49,22 @@ def asof_signup(spark, d):
     return table(spark, d, "events").select("event_id", last.over(w).alias("last_signup"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS band, p_retailprice AS low, p_retailprice + 5 AS high FROM part WHERE p_partkey <= 50)
-  SELECT band, count(*) AS n FROM b JOIN part ON p_retailprice >= low AND p_retailprice < high GROUP BY 1""")
+@query("""WITH v AS (SELECT p_retailprice AS price, count(*) AS n FROM part GROUP BY 1), s AS (SELECT price, sum(n) OVER (ORDER BY price RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING) AS upto, n FROM v),
+  e AS (SELECT a.price, coalesce(max(b.n), 0) AS last FROM v a LEFT JOIN v b ON b.price = a.price + 5 GROUP BY 1)
+  SELECT p_partkey AS band, (upto - last)::BIGINT AS n FROM part JOIN s ON s.price = p_retailprice JOIN e ON e.price = p_retailprice""")
 def range_join(spark, d):
-    """Prices in bands, by the whole-number cells that a band touches: an equi-join, then the exact test."""
+    """Parts in the band of 5 above each part's price: whole cells of prices are counted once, and only the two cells that
+    a band's ends lie in meet it value by value.
+    """
+    price = F.col("p_retailprice")
     part = table(spark, d, "part")
-    bands = part.filter("p_partkey <= 50").select(F.col("p_partkey").alias("band"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 5).alias("high"))
-    cells = bands.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / 5), F.floor(F.col("high") / 5))))
-    points = part.select("p_retailprice", F.floor(F.col("p_retailprice") / 5).alias("cell"))
-    return points.join(cells, "cell").filter("p_retailprice >= low and p_retailprice < high").groupBy("band").agg(F.count("*").alias("n"))
+    values = part.groupBy(price.alias("price")).agg(F.count("*").alias("n")).withColumn("cell", F.floor("price"))
+    cells = values.groupBy("cell").agg(F.sum("n").alias("n"))
+    bands = part.select(price.alias("low"), (price + 5).alias("high")).distinct()
+    whole = bands.withColumn("cell", F.explode(F.sequence(F.floor("low") + 1, F.floor("high") - 1))).join(cells, "cell").select("low", "n")
+    edges = bands.withColumn("cell", F.explode(F.array(F.floor("low"), F.floor("high")))).join(values, "cell").filter("price >= low and price < high").select("low", "n")
+    counts = whole.union(edges).groupBy("low").agg(F.sum("n").alias("n"))
+    return part.join(counts, price == F.col("low")).select(F.col("p_partkey").alias("band"), "n")
 
 
 @query("""SELECT o_orderkey, rank() OVER w AS price_rank, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS day_rank, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_order,
@@ -85,16 +93,19 @@ _POISSON = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
 _DRAW = "('0x' || substr(md5(concat_ws('-', task, b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
-@query(f"""WITH t AS (SELECT task, sum(resolved)::DOUBLE / count(*) AS rate FROM {ROLLOUTS} WHERE resolved IN (0, 1) GROUP BY 1), r AS (SELECT task, rate, unnest(range(1, 21)) AS b FROM t),
-  w AS (SELECT b, rate, {' + '.join(f'(u >= {p})::INT' for p in _POISSON)} AS weight FROM (SELECT *, {_DRAW} AS u FROM r))
-  SELECT b, sum(weight)::BIGINT AS n, round(sum(weight * rate) / sum(weight), 6) AS mean FROM w GROUP BY 1""")
+@query(f"""{_PAIRS}, g AS (SELECT task, combo, avg(l_quantity) FILTER (resolved = 0) - avg(l_quantity) FILTER (resolved = 1) AS difference FROM pairs GROUP BY 1, 2),
+  t AS (SELECT task, count(*) AS n, sum(difference) AS s FROM g GROUP BY 1), r AS (SELECT task, n, s, unnest(range(1, 21)) AS b FROM t),
+  w AS (SELECT b, n, s, {' + '.join(f'(u >= {p})::INT' for p in _POISSON)} AS weight FROM (SELECT *, {_DRAW} AS u FROM r))
+  SELECT b, sum(weight)::BIGINT AS n_tasks, round(sum(weight * s) / nullif(sum(weight * n), 0), 6) AS mean_difference FROM w GROUP BY 1""")
 def task_bootstrap(spark, d):
-    """Means of resampled tasks: every task is drawn a Poisson number of times in each round."""
-    rates = tasks.difficulty(rollouts(spark, d), "task").filter("n_labeled > 0").select("task", "solve_rate", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("b"))
+    """Mean difference of failing and passing siblings over resampled tasks: every task is drawn, with all its pairs, a Poisson number of times in each round."""
+    fail, ok = (F.avg(F.when(F.col("resolved") == v, F.col("l_quantity"))) for v in (0, 1))
+    pairs = tasks.pair_groups(rollouts(spark, d), "task", ["task", "combo"]).groupBy("task", "combo").agg((fail - ok).alias("difference"))
+    by_task = pairs.groupBy("task").agg(F.count("*").alias("n"), F.sum("difference").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(20))))
     u = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("task").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
-    weight = sum((u >= p).cast("int") for p in _POISSON)
-    w = rates.withColumn("weight", weight)
-    return w.groupBy(F.col("b").cast("long").alias("b")).agg(F.sum("weight").alias("n"), ref_round(F.sum(F.col("weight") * F.col("solve_rate")) / F.sum("weight"), 6).alias("mean"))
+    w = by_task.withColumn("weight", sum((u >= p).cast("int") for p in _POISSON))
+    mean = F.sum(F.col("weight") * F.col("s")) / F.nullif(F.sum(F.col("weight") * F.col("n")), F.lit(0))
+    return w.groupBy(F.col("b").cast("long").alias("b")).agg(F.sum("weight").alias("n_tasks"), ref_round(mean, 6).alias("mean_difference"))
 
 
 @query("""SELECT CASE WHEN k > 90 THEN 'contaminated' WHEN value > 60 THEN 'infra' WHEN event_type = 'error' THEN 'test-edit' ELSE 'clean' END AS audit_class, count(*) AS n

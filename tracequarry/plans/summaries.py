@@ -96,9 +96,9 @@ def json_props(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(text_to_int(F.get_json_object("props", "$.k"))).alias("tokens"), F.count_if(F.get_json_object("props", "$.missing").isNull()).alias("n_missing"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, ' the '))::BIGINT AS n_the, coalesce(list_aggregate(list_distinct(regexp_extract_all(lower(text), ' (an[a-z]+)', 1)), 'count'), 0)::BIGINT AS n_distinct_an FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, ' the '))::BIGINT AS n_the, coalesce(list_aggregate(list_distinct(regexp_extract_all(lower(text), ' (an[a-z]+)', 1)), 'count'), 0)::BIGINT AS n_distinct_an FROM documents""")
 def regex_occurrences(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     found = F.regexp_extract_all(F.lower("text"), F.lit(" (an[a-z]+)"), F.lit(1))
     return docs.select("doc_id", F.regexp_count("text", F.lit(" the ")).cast("long").alias("n_the"), F.size(F.array_distinct(found)).cast("long").alias("n_distinct_an"))
 
@@ -112,8 +112,10 @@ def context_window_match(spark, d):
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2) GROUP BY 1""")
 def ordered_dedupe(spark, d):
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
-    return table(spark, d, "events").groupBy("user_id").agg(F.concat_ws(",", F.array_distinct(in_order)).alias("kinds"))
+    """Kinds in the order of their first events; only one row of each kind is brought together."""
+    first = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("first_id", "event_type"))), lambda x: x["event_type"])
+    return first.groupBy("user_id").agg(F.concat_ws(",", in_order).alias("kinds"))
 
 
 @query("""WITH d AS (SELECT doc_id, list_distinct(string_split(text, chr(10))) AS lines FROM documents WHERE doc_id >= 0)
@@ -125,13 +127,22 @@ def line_jaccard(spark, d):
     return lines.join(nxt, "doc_id").select("doc_id", ref_round(features.jaccard(F.col("lines"), F.col("other")), 6).alias("jaccard"))
 
 
-@query("""WITH d AS (SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF starts_with(x, 'A') AND NOT starts_with(x, 'An')])::BIGINT AS n, len(string_split(text, chr(10)))::BIGINT AS total FROM documents)
-  SELECT doc_id, n, total, n::DOUBLE / nullif(total, 0) >= 0.6 AS heavy FROM d""")
+_ADDED = "len([x FOR x IN string_split({0}, chr(10)) IF starts_with(x, '+') AND NOT starts_with(x, '+++')])"
+_PATCHES = r"""(SELECT a.doc_id, '+++ b/f' || chr(10) || regexp_replace(a.text, '(^|\n)([A-Z])', '\1+\2', 'g') AS patch, '+++ b/f' || chr(10) || regexp_replace(b.text, '(^|\n)([A-Za-z])', '\1+\2', 'g') AS gold
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"""
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_ADDED.format('patch')}::BIGINT AS n, {_ADDED.format('gold')}::BIGINT AS gold_n FROM {_PATCHES})
+  SELECT doc_id, n, gold_n, round(CASE WHEN gold_n > 0 THEN n::DOUBLE / gold_n ELSE 0 END, 6) AS ratio, CASE WHEN gold_n > 0 THEN n::DOUBLE / gold_n ELSE 0 END < 0.6 AS small FROM n""")
 def added_line_ratio(spark, d):
-    lines = F.split("text", "\n")
-    n = F.size(F.filter(lines, lambda x: x.startswith("A") & ~x.startswith("An"))).cast("long")
-    rows = table(spark, d, "documents").select("doc_id", n.alias("n"), F.size(lines).cast("long").alias("total"))
-    return rows.withColumn("heavy", ratio(F.col("n"), F.col("total")) >= 0.6)
+    """Added lines of one diff against those of another; a ratio below 0.6 passes."""
+    docs = table(spark, d, "documents")
+    head = F.lit("+++ b/f\n")
+    ours = docs.select("doc_id", F.concat(head, F.regexp_replace("text", r"(^|\n)([A-Z])", "$1+$2")).alias("patch"))
+    gold = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.concat(head, F.regexp_replace("text", r"(^|\n)([A-Za-z])", "$1+$2")).alias("gold"))
+    n, gold_n = features.added_lines(F.col("patch")).cast("long"), features.added_lines(F.col("gold")).cast("long")
+    share = F.when(F.col("gold_n") > 0, F.col("n").cast("double") / F.col("gold_n")).otherwise(0.0)
+    return ours.join(gold, "doc_id").select("doc_id", n.alias("n"), gold_n.alias("gold_n")).withColumns({"ratio": ref_round(share, 6), "small": share < 0.6})
 
 
 @query("""SELECT 'docs' AS source_id, doc_id::VARCHAR AS trial_id, n_chars / 100.0::DOUBLE AS cost_usd, NULL::BIGINT AS tokens, (n_chars > 1000) AS resolved FROM documents
@@ -190,20 +201,40 @@ def spearman_corr(spark, d):
     return stats.spearman(table(spark, d, "part"), "p_size", "p_retailprice")
 
 
-@query("""WITH r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM documents JOIN labels USING (doc_id))
-  SELECT round((sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / (count(*) FILTER (quality = 1)::DOUBLE * count(*) FILTER (quality = 0)), 6) AS auc FROM r""")
+_SHARE = "('0x' || substr(md5(concat_ws('-', doc_id, '42')), 1, 8))::BIGINT % 100"
+_SPLIT_RATES = f"""t AS (SELECT *, {_SHARE} < 80 AS train FROM {TRIALS} WHERE resolved IN (0, 1)),
+  m AS (SELECT harness, language, (sum(resolved) + 1)::DOUBLE / (count(*) + 2)::DOUBLE AS p FROM t WHERE train GROUP BY 1, 2),
+  g AS (SELECT (sum(resolved) + 1)::DOUBLE / (count(*) + 2)::DOUBLE AS p0 FROM t WHERE train),
+  h AS (SELECT t.*, coalesce(m.p, g.p0) AS p, g.p0 FROM t CROSS JOIN g LEFT JOIN m ON m.harness IS NOT DISTINCT FROM t.harness AND m.language IS NOT DISTINCT FROM t.language WHERE NOT train)"""
+
+
+def _held_out(spark, d):
+    """Held-out trials with p, the pass rate of their harness and language among the training trials, and p0, that of all of these."""
+    labeled = trials(spark, d).filter(F.col("resolved").isin(0, 1)).withColumn("train", stats.hash_share(F.col("doc_id")) < 80)
+    smoothed = (F.sum("resolved") + 1).cast("double") / (F.count("*") + 2).cast("double")
+    train = labeled.filter("train")
+    rates = train.groupBy(F.col("harness").alias("_h"), F.col("language").alias("_l")).agg(smoothed.alias("p"))
+    held = labeled.filter("not train").join(F.broadcast(train.agg(smoothed.alias("p0"))))  # one row
+    held = held.join(rates, F.col("harness").eqNullSafe(F.col("_h")) & F.col("language").eqNullSafe(F.col("_l")), "left")
+    return held.withColumn("p", F.coalesce("p", "p0"))
+
+
+@query(f"""WITH {_SPLIT_RATES}, r AS (SELECT resolved, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM h)
+  SELECT round((sum(rk) FILTER (resolved = 1) - count(*) FILTER (resolved = 1) * (count(*) FILTER (resolved = 1) + 1) / 2.0) / nullif(count(*) FILTER (resolved = 1)::DOUBLE * count(*) FILTER (resolved = 0), 0), 6) AS auc FROM r""")
 def held_out_auc(spark, d):
-    return stats.auc(trials(spark, d).filter(F.col("resolved").isin(0, 1)), "resolved", "n_chars")
+    """How well pass rates of the training trials rank the held-out ones."""
+    return stats.auc(_held_out(spark, d), "resolved", "p")
 
 
-@query(f"""SELECT harness, n, round(-ll, 4) AS nll FROM (
-  SELECT harness, count(*) AS n, sum(CASE resolved WHEN 1 THEN ln(p) ELSE ln(1 - p) END) AS ll
-  FROM (SELECT *, (sum(resolved) OVER (PARTITION BY harness) + 1.0::DOUBLE) / (count(*) OVER (PARTITION BY harness) + 2.0::DOUBLE) AS p FROM {TRIALS} WHERE resolved IN (0, 1)) GROUP BY 1)""")
+@query(f"""WITH {_SPLIT_RATES} SELECT 'rates' AS model, count(*) AS n, round(-sum(CASE resolved WHEN 1 THEN ln(p) ELSE ln(1 - p) END), 4) AS nll FROM h
+  UNION ALL SELECT 'baseline', count(*), round(-sum(CASE resolved WHEN 1 THEN ln(p0) ELSE ln(1 - p0) END), 4) FROM h""")
 def held_out_likelihood(spark, d):
-    labeled = trials(spark, d).filter(F.col("resolved").isin(0, 1))
-    p = labeled.groupBy("harness").agg(((F.sum("resolved") + 1.0) / (F.count("*") + 2.0)).alias("p"))
-    one = F.when(F.col("resolved") == 1, F.ln("p")).otherwise(F.ln(1 - F.col("p")))
-    return labeled.join(p, "harness").groupBy("harness").agg(F.count("*").alias("n"), ref_round(-F.sum(one), 4).alias("nll"))
+    """Negative log-likelihood of the held-out trials by two models of the training trials."""
+    def nll(p: str):
+        return ref_round(-F.sum(F.when(F.col("resolved") == 1, F.ln(p)).otherwise(F.ln(1 - F.col(p)))), 4)
+
+    row = _held_out(spark, d).agg(F.count("*").alias("n"), nll("p").alias("rates"), nll("p0").alias("baseline"))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), "n", F.col(m).alias("nll")) for m in ("rates", "baseline")])).alias("x")).select("x.*")
 
 
 @query("""WITH m AS (SELECT doc_id, (n_chars > 1500)::INT AS pred, quality FROM documents JOIN labels USING (doc_id))

@@ -71,10 +71,9 @@ def issue_length(spark, d):
 @query("""WITH k AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY 1)
   SELECT user_id, len(kinds) AS n_tool_calls, len(list_distinct(kinds)) AS n_distinct, 1 - len(list_distinct(kinds))::DOUBLE / len(kinds) AS repeat_call_rate FROM k""")
 def repeat_call_rate(spark, d):
-    kinds = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    rows = table(spark, d, "events").groupBy("user_id").agg(kinds.alias("kinds"))
-    n, distinct = F.size("kinds").cast("long"), F.size(F.array_distinct("kinds")).cast("long")
-    return rows.select("user_id", n.alias("n_tool_calls"), distinct.alias("n_distinct"), (1 - distinct.cast("double") / n).alias("repeat_call_rate"))
+    n, distinct = F.count("event_type"), F.countDistinct("event_type")
+    rows = table(spark, d, "events").groupBy("user_id").agg(n.alias("n_tool_calls"), distinct.alias("n_distinct"))
+    return rows.withColumn("repeat_call_rate", 1 - F.col("n_distinct").cast("double") / F.col("n_tool_calls"))
 
 
 @query("""SELECT event_id, CASE WHEN k > 90 THEN 'CONTAMINATED' WHEN value > 20 THEN 'PASS' ELSE 'FAIL' END AS verdict

@@ -1,9 +1,10 @@
 """Reading and writing the trajectory corpus: drifting Parquet shards, JSON lines, result folders."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +74,57 @@ def not_done(files: DataFrame, done: DataFrame, key: str = "_source_file") -> Da
     return files.join(done.select(key).distinct(), key, "left_anti")
 
 
+def list_shards(spark: SparkSession, path: str) -> DataFrame:
+    """_source_file of every Parquet file under path, and its length, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(plain_path(F.col("path")).alias("_source_file"), "length")
+
+
+def _written(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path).select(key)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def run_parts(trials: DataFrame, out: str, change: Callable[[DataFrame], DataFrame], limit: int | None = None, head: int | None = None, key: str = "_source_file", row_key: str = "trajectory_id") -> DataFrame:
+    """Adds change(rows) of shards that out does not have yet, and gives the shards that were done.
+
+    limit: as many shards at most, the first by name; head: as many rows of each at most, the first by row_key.
+    A run appends all its shards or, if it fails, none, so it can be run again until nothing is left. change() has to keep `key`.
+    """
+    spark = trials.sparkSession
+    todo, done = trials.select(key).distinct(), _written(spark, out, key)
+    todo = todo if done is None else not_done(todo, done, key)
+    todo = todo if limit is None else todo.orderBy(key).limit(limit)
+    todo = spark.createDataFrame(todo.collect(), todo.schema)  # names of files
+    rows = trials.join(F.broadcast(todo), key, "left_semi")
+    if head is not None:
+        rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(row_key))).filter(F.col("_at") <= head).drop("_at")
+    change(rows).write.mode("append").parquet(out)
+    return todo
+
+
+def merge_parts(spark: SparkSession, parts: str, out: str, files: int = 1) -> None:
+    """All parts as one table of a few files."""
+    spark.read.parquet(parts).coalesce(files).write.mode("overwrite").parquet(out)
+
+
+def build_sample(trials: DataFrame, n: int, seed: int, out: str, key: str = "trajectory_id") -> None:
+    """n trials, the first in a seeded order, as JSON lines whose tool-call arguments are objects; arguments that are no JSON stay text."""
+    order = F.md5(F.concat_ws("-", F.col(key), F.lit(str(seed))).cast("binary"))
+    picked = trials.join(trials.select(key).orderBy(order, key).limit(n), key, "left_semi")
+
+    def call(c: Column) -> Column:
+        told = c["function"]["arguments"]
+        return c.withField("function", c["function"].withField("arguments", F.when(told.isNotNull(), F.coalesce(F.try_parse_json(told), F.to_variant_object(F.struct(told.alias("text")))))))
+
+    messages = F.transform("messages", lambda m: m.withField("tool_calls", F.transform(m["tool_calls"], call)))
+    picked.withColumn("messages", messages).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(out)
+
+
 RESULT = "verifier_result struct<rewards:struct<reward:double>>, started_at timestamp, finished_at timestamp"
 
 
