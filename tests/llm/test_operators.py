@@ -475,7 +475,7 @@ def test_chances_sum_to_one_and_tables_agree():
     fast = np.concatenate([h for _, h in lm_scoring.hidden_states(m, padded.reshape(-1), np.arange(3) * lm_scoring.STEP)]).reshape(3, lm_scoring.STEP, -1)[:, :20]
     assert np.abs(slow - fast).max() < 1e-4
     state = np.repeat(slow[0, -1:], 1024, axis=0)
-    log, start = lm_scoring.log_chances(m, state, np.arange(1024))
+    log, start = lm_scoring.log_chances(m, state, np.arange(1024), np.arange(1024))
     assert abs(np.exp(log).sum() - 1) < 1e-4
     assert abs(np.exp(log[: lm_scoring.STARTS * lm_scoring.MEMBERS]).sum() - np.exp(start[0])) < 1e-4
     later = ids.copy()
