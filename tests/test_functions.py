@@ -85,14 +85,14 @@ def test_turn_sample(spark, corpus_dir):
 
 
 def test_training_sample(spark, tmp_path):
-    calls = [("bash", '{"cmd": "ls", "n": [1, {"a": null}]}'), ("bash", "not json"), ("bash", None)]
+    calls = [("bash", '{"cmd": "ls", "n": [1, {"a": null}]}'), ("bash", "not json"), ("bash", None), ("bash", "[1]")]
     row = ("i", "r", "mit", "go", "t{}", "hf", 1, [("user", "fix", None, None, None), ("assistant", "ok", None, None, [({"name": n, "arguments": a},) for n, a in calls])], ["tool"], None)
     trials = spark.createDataFrame([tuple(x.format(i) if x == "t{}" else x for x in row) for i in range(20)], corpus.TRIAL)
     corpus.build_sample(trials, 5, 0, str(tmp_path / "sample"))
     rows = [json.loads(line) for f in (tmp_path / "sample").glob("part-*") for line in f.read_text().splitlines()]
     assert len({r["trajectory_id"] for r in rows}) == len(rows) == 5
     told = [c["function"].get("arguments") for r in rows for m in r["messages"] for c in m.get("tool_calls", [])]
-    assert told == [{"cmd": "ls", "n": [1, {"a": None}]}, {"text": "not json"}, {}] * 5
+    assert told == [{"cmd": "ls", "n": [1, {"a": None}]}, {"text": "not json"}, {}, {"text": "[1]"}] * 5
     corpus.build_sample(trials, 5, 0, str(tmp_path / "again"))
     assert {r.trajectory_id for r in spark.read.json(str(tmp_path / "again")).collect()} == {r["trajectory_id"] for r in rows}
 

@@ -113,13 +113,15 @@ def merge_parts(spark: SparkSession, parts: str, out: str, files: int = 1) -> No
 
 
 def build_sample(trials: DataFrame, n: int, seed: int, out: str, key: str = "trajectory_id") -> None:
-    """n trials, the first in a seeded order, as JSON lines whose tool-call arguments are objects; arguments that are no JSON stay text."""
+    """n trials, the first in a seeded order, as JSON lines whose tool-call arguments are objects: what is no JSON object is kept as its `text`, none is empty."""
     order = F.md5(F.concat_ws("-", F.col(key), F.lit(str(seed))).cast("binary"))
     picked = trials.join(trials.select(key).orderBy(order, key).limit(n), key, "left_semi")
 
     def call(c: Column) -> Column:
-        told = c["function"]["arguments"]
-        return c.withField("function", c["function"].withField("arguments", F.when(told.isNotNull(), F.coalesce(F.try_parse_json(told), F.to_variant_object(F.struct(told.alias("text")))))))
+        told = F.coalesce(c["function"]["arguments"], F.lit("{}"))
+        parsed = F.try_parse_json(told)
+        is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+        return c.withField("function", c["function"].withField("arguments", F.when(is_object, parsed).otherwise(F.to_variant_object(F.struct(told.alias("text"))))))
 
     messages = F.transform("messages", lambda m: m.withField("tool_calls", F.transform(m["tool_calls"], call)))
     picked.withColumn("messages", messages).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(out)
