@@ -616,7 +616,9 @@ def test_sharing_out(spark, budget, children):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_mixing(spark, docs, none):
+@pytest.mark.parametrize("range_rows", [0, 100_000])
+def test_mixing(spark, docs, none, monkeypatch, range_rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)  # 0: down to the key's last digits
     rng = np.random.default_rng(3)
     rows = AWKWARD + [(1000 + i, "w " * int(rng.integers(1, 60)), str(rng.choice(["en", "fr", "de"])), f"s{rng.integers(4)}") for i in range(300)]
     table = documents(spark, rows)
@@ -735,6 +737,39 @@ def test_best_two_fit(lengths):
     assert len(used) <= max(1.25 * sum(lengths) / 100 + 1, sum(n > 50 for n in lengths) + sum(lengths) / 100 + 1)
 
 
+def slow_best_two_fit(lengths, capacity):
+    """Bins of item numbers: fill greedily with the longest that fits, then try every pair of waiting items in the place of the smallest."""
+    waiting, bins = list(range(len(lengths))), []
+    while waiting:
+        held, gap = [], capacity
+        while fits := [i for i in waiting if lengths[i] <= gap]:
+            best = max(fits, key=lambda i: (lengths[i], -i))
+            held.append(best)
+            waiting.remove(best)
+            gap -= lengths[best]
+        if gap and len(held) > 1:
+            small = min(held, key=lambda i: (lengths[i], i))
+            room = gap + lengths[small]
+            sums = [lengths[i] + lengths[j] for i in waiting for j in waiting if i < j and lengths[i] + lengths[j] <= room]
+            if sums and max(sums) > lengths[small]:
+                bins.append((held, small, max(sums), room))
+                return bins, waiting  # the first exchange: both ways may take other items of the same lengths from here
+        bins.append((held, None, None, None))
+    return bins, waiting
+
+
+@given(st.lists(st.integers(1, 100), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_best_two_fit_is_the_slow_one_up_to_its_first_exchange(lengths):
+    bins, _ = packing.best_two_fit(np.array(lengths, np.int64), 100)
+    for number, (held, small, pair, _) in enumerate(slow_best_two_fit(lengths, 100)[0]):
+        mine = sorted(lengths[i] for i in np.flatnonzero(bins == number))
+        if small is None:
+            assert mine == sorted(lengths[i] for i in held)
+        else:
+            assert sum(mine) == sum(lengths[i] for i in held) - lengths[small] + pair and len(mine) == len(held) + 1
+
+
 def test_two_better_than_the_smallest():
     bins, _ = packing.best_two_fit(np.array([60, 30, 25, 15]), 100)
     assert bins[0] == bins[2] == bins[3] != bins[1]  # 60 + 30 leaves 10; 25 + 15 take the place of 30

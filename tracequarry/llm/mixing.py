@@ -8,8 +8,8 @@ siblings. Each leaf then takes documents in a seeded order, a new order for each
 the tokens before a document are under its budget: full epochs, then a prefix.
 
 The prefix's end is found without ordering a leaf in one place: tokens are summed
-over 4096 ranges of the order's key, and only the range in which a leaf's budget ends is
-put in order. A leaf that holds a third of all rows is spread over all tasks.
+over 4096 ranges of the order's key, then over 4096 ranges inside the one in which a leaf's budget ends, and so on until a
+range has few rows; only that is put in order. A leaf that holds a third of all rows is spread over all tasks.
 
 Tokens here are runs of characters other than ASCII white space.
 
@@ -36,8 +36,8 @@ WEIGHTS: Mapping[str, Mapping[str, int]] = {
 DEFAULT_WEIGHT = 100
 BUDGET_SHARE, EPOCHS, SEED, DOMAINS = 0.5, 2, 42, 3
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the order's key that name a range: 16 ** 3 ranges for each leaf.
-RANGE_DIGITS = 3
+#: Hex digits of the order's key that name a range, 16 ** 3 ranges for each leaf; rows that a range may have to be put in order.
+RANGE_DIGITS, RANGE_ROWS = 3, 100_000
 
 
 def token_count(text: Column) -> Column:
@@ -108,19 +108,22 @@ def leaf_budgets(rows: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE,
 def cuts(rows: DataFrame, budgets: DataFrame, seed: int = SEED) -> DataFrame:
     """budgets with (cut_key, cut_id): the last document of each leaf's last, partial epoch; null if it takes none."""
     cols = [f"_{x}" for x in LEVELS]
-    part = budgets.filter("rest > 0").select(*cols, "full", "rest")
-    keyed = rows.join(part, cols).withColumn("key", order_key(F.col("full"), seed)).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    sums = keyed.groupBy(*cols, "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    before = Window.partitionBy(*cols).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .filter("start < rest")
-        .groupBy(*cols)
-        .agg(F.max(F.struct("range", "start")).alias("end"))
-        .select(*cols, F.col("end.range").alias("range"), F.col("end.start").alias("start"))
-    )
+    part = budgets.filter("rest > 0").select(*cols, "full", "rest").withColumns({"start": F.lit(0).cast("long"), "prefix": F.lit("")})
+    for digits in range(RANGE_DIGITS, 32, RANGE_DIGITS):  # a key has 32 digits
+        # part: in which range of each leaf, named by its first digits, the budget ends, and the tokens before it.
+        inside = rows.join(part, cols).withColumn("key", order_key(F.col("full"), seed)).filter(F.col("key").startswith(F.col("prefix")))
+        sums = inside.groupBy(*cols, "full", "rest", "start", F.substring("key", 1, digits).alias("range")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"))
+        before = Window.partitionBy(*cols).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        ends = sums.withColumn("begin", F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0))).filter("begin < rest")
+        ends = ends.groupBy(*cols, "full", "rest").agg(F.max(F.struct("range", "begin", "rows")).alias("end"))
+        part = staged(ends.select(*cols, "full", "rest", F.col("end.begin").alias("start"), F.col("end.range").alias("prefix"), F.col("end.rows").alias("rows")), "mix-ranges")
+        if part.filter(F.col("rows") > RANGE_ROWS).isEmpty():
+            break
+        part = part.drop("rows")
     near = (
-        keyed.join(ends, [*cols, "range"])
+        rows.join(part.drop("rows"), cols)
+        .withColumn("key", order_key(F.col("full"), seed))
+        .filter(F.col("key").startswith(F.col("prefix")))
         .groupBy(*cols, "key", "doc_id")
         .agg(F.sum("n_tokens").alias("n"), F.first("start").alias("start"), F.first("rest").alias("rest"))
     )
