@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch of whole texts in slices, each with its texts as Python strings, so that few of these are there at once."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, part.column(column).to_pylist()
+
+
 def crc_of_id(col: str = "doc_id"):
     """crc32 of the id written as text, the contracts' fold of a document."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, staged
+from .common import pieces_of, staged, text_slices
 from .wordpieces import Words, per_worker
 
 CAPACITY, END_ID = 2048, 0
@@ -35,19 +36,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
     step, last = 4 * capacity, np.array([end_id], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker(("words", tokenizer), lambda: Words(tokenizer))
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = words.encode(text) + last
-                for i, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    out.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+            for slice_, texts in text_slices(batch):
+                out = []
+                for doc_id, text in zip(slice_.column("doc_id").to_pylist(), texts, strict=True):
+                    ids = words.encode(text) + last
+                    for i, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        out.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~¡-ɏ]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _END = b"\xff"
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 SLICE = 1 << 20
 
 
