@@ -19,24 +19,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has its root as its only neighbour: no node has two edges down, or one down and one up."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node of its component.
 
     edges: (u, v) of one ordered type. Self-loops, repeated edges and nulls are
-    allowed; a null end makes no edge. An edge list without edges gives no row. Rounds go on until none changes an
-    edge: each moves nodes to lesser ones only, so there is an end.
-    Each round is written to the shared folder, so a lost executor costs a part of
-    one round. So are the least neighbours: both sides of a star's join are read from
+    allowed; a null end makes no edge. An edge list without edges gives no row. Rounds go on until all components
+    are stars: each moves nodes to lesser ones only, so there is an end.
+    Each half round is written to the shared folder, so a lost executor costs a part of
+    it. So are the least neighbours: both sides of a star's join are read from
     files, and Spark can split the part of a hub with very many edges.
     """
-    now = staged(edges.select("u", "v").filter("u != v").distinct(), "cc")
-    before = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if not mark.n:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        if before == mark:
-            roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-        before = mark
-        now = staged(_small_star(_large_star(now)), "cc")
+    down = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = staged(down.distinct(), "cc")
+    while not _settled(now):
+        now = staged(_small_star(staged(_large_star(now), "cc-large")), "cc")
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
