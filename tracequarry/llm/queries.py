@@ -2,7 +2,7 @@
 
 import hashlib
 
-from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, sharding, url_filter
+from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, merkle, mixing, packing, sharding, url_filter
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_wrapper_html_extraction(spark, sf_dir):
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op13_sparse_forest_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES = {
         op8_redirect_url_filter,
         op9_best_two_fit_packing,
         op10_wrapper_html_extraction,
+        op13_sparse_forest_manifest,
     )
 }
 
@@ -85,6 +90,12 @@ _BARE = r"regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)
 for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _BARE = f"replace({_BARE}, '{_entity}', '{_char}')"
 
+#: A value as the manifest writes it, and the parity of a decimal id's CRC-32, bit by bit.
+_TOLD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                         lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"""
+_LEAF = f"sha256({' || '.join(_TOLD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {{0}})"
+
 ORACLE = {
     # For pages as the tables have them: one bare article of headings, paragraphs, breaks and bold text.
     "op10_wrapper_html_extraction": rf"""
@@ -201,4 +212,37 @@ ORACLE = {
                coalesce(ruled.verdict, said.verdict, 'allow') AS verdict
         FROM parts LEFT JOIN ruled USING (page_id) LEFT JOIN said ON parts.node = said.node
     """,
+    # Level by level from the leaves, then each leaf's way up.
+    "op13_sparse_forest_manifest": f"""
+        WITH RECURSIVE d AS (
+          SELECT *, coalesce('s' || source, '') AS tree, {_LEAF.format(_TOLD.format('text'))} AS leaf,
+                 CASE WHEN xor({_CRC}, 4294967295::BIGINT) % 2 = 0 THEN {_LEAF.format(_TOLD.format("replace(text, chr(10), '')"))} END AS changed
+          FROM documents),
+        base AS (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS rid FROM d),
+        nodes(tree, level, idx, n, digest) AS (
+          SELECT tree, 0, idx, n, leaf FROM base UNION ALL
+          SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+        tops(level, idx, n, digest, tree) AS (
+          SELECT 0, row_number() OVER (ORDER BY tree) - 1, count(*) OVER (), digest, tree FROM nodes WHERE n = 1 UNION ALL
+          SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)), NULL FROM tops WHERE n > 1 GROUP BY level, idx // 3, n),
+        beside AS (
+          SELECT tree, level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                 coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+          FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY tree, level, idx // 3 ORDER BY idx)),
+        top_beside AS (
+          SELECT level, idx, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                 coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+          FROM tops WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 3 ORDER BY idx)),
+        up(rid, tree, level, idx, h, proof) AS (
+          SELECT rid, tree, 0, idx, coalesce(changed, leaf), '' FROM base UNION ALL
+          SELECT rid, up.tree, up.level + 1, up.idx // 3, sha256(l || h || r), proof || l || r FROM up JOIN beside b ON b.tree = up.tree AND b.level = up.level AND b.idx = up.idx),
+        at_top AS (SELECT rid, tops.idx, h, proof FROM (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1) u JOIN tops ON tops.tree = u.tree AND tops.level = 0),
+        over(rid, level, idx, h, proof) AS (
+          SELECT rid, 0, idx, h, proof FROM at_top UNION ALL
+          SELECT rid, o.level + 1, o.idx // 3, sha256(l || h || r), proof || l || r FROM over o JOIN top_beside b ON b.level = o.level AND b.idx = o.idx),
+        done AS (SELECT * FROM over QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1)
+        SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = t.digest AS verified
+        FROM base JOIN done USING (rid) JOIN nodes s ON s.tree = base.tree AND s.n = 1 JOIN tops t ON t.n = 1
+    """,
 }
