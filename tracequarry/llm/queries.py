@@ -2,7 +2,7 @@
 
 import hashlib
 
-from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, merkle, mixing, packing, sharding, url_filter
+from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, merkle, mixing, packing, sharding, url_filter, whitening
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_wrapper_html_extraction(spark, sf_dir):
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_compensated_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_sparse_forest_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
         op8_redirect_url_filter,
         op9_best_two_fit_packing,
         op10_wrapper_html_extraction,
+        op11_compensated_whitening,
         op13_sparse_forest_manifest,
     )
 }

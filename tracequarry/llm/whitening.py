@@ -283,7 +283,7 @@ def divide_and_conquer(diagonal: np.ndarray, beside: np.ndarray) -> tuple[np.nda
     return _joined(np.append(d1, d2), q, np.append(q1[-1], q2[0]), float(rho))
 
 
-def eigen(high: np.ndarray, low: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def eigen(high: np.ndarray, low: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Falling eigenvalues and unit vectors (columns) of a symmetric matrix (high, low)."""
     size = float(np.abs(high).max())
     if size == 0:
@@ -301,8 +301,9 @@ def eigen(high: np.ndarray, low: np.ndarray, rounds: int = 12) -> tuple[np.ndarr
         s = crossed((x, zero), crossed((high, low), (x, zero)))[0]
         values = np.diag(s) / (1 - np.diag(r))
         off = values[None, :] - values[:, None]
-        # Pairs nearer than what is wrong are made orthogonal only.
-        close = np.abs(off) <= 2 * (np.linalg.norm(s - np.diag(np.diag(s))) + np.linalg.norm(s) * np.linalg.norm(r))
+        # Pairs nearer than what is wrong, or than the matrix's rounding, are made orthogonal only.
+        wrong = np.linalg.norm(s - np.diag(np.diag(s))) + np.linalg.norm(s) * np.linalg.norm(r)
+        close = np.abs(off) <= max(2 * wrong, len(x) * np.finfo(float).eps * np.linalg.norm(s))
         with np.errstate(divide="ignore", invalid="ignore"):
             e = np.where(close, r / 2, (s + values[None, :] * r) / off)
         x = x + x @ e
@@ -325,7 +326,7 @@ def _solved(rows: pd.DataFrame, n: dict[int, int], k: int) -> pd.DataFrame:
     k = min(k, dim)
     fine = values[:k] > dim * np.finfo(float).eps * max(values[0], 0)
     trace = float(np.trace(v[0]))
-    return pd.DataFrame({"dim": [dim], "values": [values[:k].tolist()], "vectors": [vectors[:, :k].T.ravel().tolist()], "fine": [fine.tolist()], "explained": [(values[:k] / trace if trace > 0 else np.full(k, np.nan)).tolist()]})
+    return pd.DataFrame({"dim": [dim], "values": [values[:k].tolist()], "vectors": [vectors[:, :k].T.ravel().tolist()], "fine": [fine.tolist()], "explained": [[e / trace if trace > 0 else None for e in values[:k].tolist()]]})
 
 
 WHITE = "vec_id long, dim int, deviation decimal(38,0), white array<double>"
@@ -399,7 +400,7 @@ def whiten(vectors: DataFrame, k: int = K) -> DataFrame:
             rows = every if len(chunks) == 1 else every.filter(F.col("dim").isin(chunk))
             models = _fitted(rows, sums, chunk, k)
             white = staged(rows.mapInArrow(lambda it, models=models: _whitened(it, models), WHITE), "whitened")
-            facts = [(d, c + 1, m["n"], float(m["explained"][c])) for d, m in models.items() for c in range(len(m["values"]))]
+            facts = [(d, c + 1, m["n"], m["explained"][c]) for d, m in models.items() for c in range(len(m["values"]))]
             done.append(_reported(white, facts, k))
     if not done:
         return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double, deviation_wide decimal(38,0)")
@@ -421,5 +422,4 @@ def _reported(white: DataFrame, facts: list[tuple], k: int) -> DataFrame:
     joined = long_rows.join(F.broadcast(told), ["dim", "component"])
     fits = F.when(F.col("deviation") <= F.lit((1 << 63) - 1), F.col("deviation").cast("long"))
     nan_free = F.when(~F.isnan("value"), F.col("value"))
-    explained = F.when(~F.isnan("explained"), F.col("explained"))
-    return joined.select("vec_id", "component", "n", fits.alias("deviation"), nan_free.alias("whitened"), explained.alias("explained"), "identity_error", F.col("deviation").alias("deviation_wide"))
+    return joined.select("vec_id", "component", "n", fits.alias("deviation"), nan_free.alias("whitened"), "explained", "identity_error", F.col("deviation").alias("deviation_wide"))
