@@ -2,7 +2,7 @@
 
 import hashlib
 
-from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, merkle, mixing, packing, sharding, url_filter, whitening
+from . import ann, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, merkle, mixing, packing, quality, sharding, url_filter, whitening
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op11_compensated_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_additive_quality_model(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_sparse_forest_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
         op9_best_two_fit_packing,
         op10_wrapper_html_extraction,
         op11_compensated_whitening,
+        op12_additive_quality_model,
         op13_sparse_forest_manifest,
     )
 }
