@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import compat
 from tracequarry.operators import features, order, stats, tasks
 from tracequarry.operators import trials as t
-from tracequarry.sources import corpus, views
+from tracequarry.sources import corpus, drift, views
 from tracequarry.streaming import ingest
 
 
@@ -108,6 +108,8 @@ def test_parts_resume_and_merge(spark, tmp_path):
     assert sorted(r[0] for r in corpus.run_parts(trials, out, change).collect()) == ["s1", "s2", "s3"]
     assert corpus.run_parts(trials, out, change).count() == 0
     assert spark.read.parquet(out).count() == 17
+    corpus.merge_parts(spark, out, str(tmp_path / "more"), file_bytes=600)
+    assert 1 < len(list((tmp_path / "more").glob("part-*"))) and spark.read.parquet(str(tmp_path / "more")).count() == 17
     corpus.merge_parts(spark, out, str(tmp_path / "merged"))
     assert spark.read.parquet(str(tmp_path / "merged")).count() == 17 and len(list((tmp_path / "merged").glob("part-*"))) == 1
 
@@ -117,7 +119,7 @@ def test_listing_and_drift(spark, corpus_dir, tmp_path):
     assert len(listed) == 1 and listed[0]["length"] > 0 and "/my harness/teacher/src/part-" in listed[0]._source_file
     spark.createDataFrame([(1, "a")], "k int, old string").write.parquet(str(tmp_path / "a"))
     spark.createDataFrame([(2**40, 1.5)], "k long, new double").write.parquet(str(tmp_path / "b"))
-    drifting = corpus.read_drifting(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    drifting = drift.read_drifting(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert sorted(map(tuple, drifting.select("k", "old", "new").collect())) == [(1, "a", None), (2**40, None, 1.5)]
 
 

@@ -1,6 +1,6 @@
 """Every query of the engine by name, and its SQL."""
 
-from tracequarry.plans import levels, relational, reports, summaries, turns
+from tracequarry.plans import audits, levels, relational, reports, summaries, turns
 from tracequarry.plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "levels", "relational", "reports", "summaries", "turns"]
+__all__ = ["ORACLE", "QUERIES", "audits", "levels", "relational", "reports", "summaries", "turns"]

@@ -25,25 +25,6 @@ def merged_features(spark, d):
     return calls.join(span, "user_id").join(score, "user_id", "left")
 
 
-@query(f"""SELECT task, combo, l_orderkey, l_linenumber, l_quantity AS trial_lines, p_size AS gold_lines, round(l_quantity / nullif(p_size, 0), 4) AS ratio
-  FROM {ROLLOUTS} JOIN part ON p_partkey = task WHERE resolved = 1""")
-def gold_backfill(spark, d):
-    """Every passed trial's patch beside its task's gold patch."""
-    gold = table(spark, d, "part").select(F.col("p_partkey").alias("task"), F.col("p_size").alias("gold_lines"))
-    passed = rollouts(spark, d).filter("resolved = 1").select("task", "combo", "l_orderkey", "l_linenumber", F.col("l_quantity").alias("trial_lines"))
-    return passed.join(gold, "task").withColumn("ratio", ref_round(ratio(F.col("trial_lines"), F.col("gold_lines")), 4))
-
-
-@query("""WITH n AS (SELECT p_name || '-L' || (p_size % 5)::VARCHAR AS name, p_partkey AS line, p_size % 3 = 0 AS computed FROM part), h AS (SELECT regexp_replace(name, '-L[^-]*$', '') AS unit, line, computed FROM n)
-  SELECT unit, count(*) AS n_hits, coalesce(bool_or(NOT computed), FALSE) AS hard, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM h GROUP BY 1""")
-def hits_by_unit(spark, d):
-    """Hits collected under the name before the last level mark; a unit is hard if a hit is not beside a computed value."""
-    name = F.concat("p_name", F.lit("-L"), (F.col("p_size") % 5).cast("string"))
-    hits = table(spark, d, "part").select(F.regexp_replace(name, "-L[^-]*$", "").alias("unit"), F.col("p_partkey").alias("line"), (F.col("p_size") % 3 == 0).alias("computed"))
-    lines = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("line")), lambda x: x.cast("string")))
-    return hits.groupBy("unit").agg(F.count("*").alias("n_hits"), F.coalesce(F.bool_or(~F.col("computed")), F.lit(False)).alias("hard"), lines.alias("lines"))
-
-
 @query("""WITH e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events)
   SELECT user_id, bool_or(back <= 5 AND event_type = 'click') AS test_in_tail, arg_max(event_type, -back) = 'purchase' AS ends_with_submit, arg_max(value > 50, -back) FILTER (event_type = 'click') AS last_test_green FROM e GROUP BY 1""")
 def tail_inspection(spark, d):

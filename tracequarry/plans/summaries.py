@@ -103,13 +103,6 @@ def regex_occurrences(spark, d):
     return docs.select("doc_id", F.regexp_count("text", F.lit(" the ")).cast("long").alias("n_the"), F.size(F.array_distinct(found)).cast("long").alias("n_distinct_an"))
 
 
-@query("""SELECT doc_id, instr(text, 'the ') AS at, CASE WHEN instr(text, 'the ') > 0 THEN regexp_matches(substr(text, greatest(instr(text, 'the ') - 600, 1), 1200), 'tion') ELSE FALSE END AS near FROM documents""")
-def context_window_match(spark, d):
-    at = F.instr("text", "the ")
-    near = F.substring(F.col("text"), F.greatest(at - 600, F.lit(1)), F.lit(1200)).rlike("tion")
-    return table(spark, d, "documents").select("doc_id", at.cast("long").alias("at"), F.when(at > 0, near).otherwise(False).alias("near"))
-
-
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2) GROUP BY 1""")
 def ordered_dedupe(spark, d):
     """Kinds in the order of their first events; only one row of each kind is brought together."""

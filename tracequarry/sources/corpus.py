@@ -37,11 +37,6 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_drifting(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Parquet paths whose schemas differ; each is read with its own schema."""
-    return union_by_name([spark.read.parquet(p) for p in paths])
-
-
 def shard_columns(file: Column) -> dict[str, Column]:
     """harness, teacher_model, source_dataset from a shard's path `.../harness/teacher/source/file.parquet`."""
     names = ("harness", "teacher_model", "source_dataset")
@@ -107,9 +102,10 @@ def run_parts(trials: DataFrame, out: str, change: Callable[[DataFrame], DataFra
     return todo
 
 
-def merge_parts(spark: SparkSession, parts: str, out: str, files: int = 1) -> None:
-    """All parts as one table of a few files."""
-    spark.read.parquet(parts).coalesce(files).write.mode("overwrite").parquet(out)
+def merge_parts(spark: SparkSession, parts: str, out: str, file_bytes: int = 256 << 20) -> None:
+    """All parts as one table of files of about so many bytes, so that its writing has as many tasks."""
+    size = list_shards(spark, parts).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    spark.read.parquet(parts).coalesce(max(1, -(-size // file_bytes))).write.mode("overwrite").parquet(out)
 
 
 def build_sample(trials: DataFrame, n: int, seed: int, out: str, key: str = "trajectory_id") -> None:
