@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import ratio, ref_round
-from tracequarry.operators import matching, patches
+from tracequarry.operators import matching, patches, robust
 from tracequarry.plans.base import ROLLOUTS, query, rollouts, shared_folder, table
+from tracequarry.sources import trial_logs
 from tracequarry.sources.drift import read_drifting
 
 _MATCH, _OTHER = "than ", "tion"
@@ -84,3 +85,61 @@ def drifting_shards(spark, d):
     for i, shard in enumerate(shards):
         shard.repartition(5).write.parquet(f"{path}/{i}")
     return read_drifting(spark, [path]).select("o_orderkey", "price", "info.status", "info.priority", F.get("links", F.lit(0)).cast("long").alias("link"))
+
+
+_LOGGED = "(SELECT *, 'job' || user_id % 3 AS job, 'u' || user_id % 20 || '__' || user_id % 2 AS trial, event_id % 97 = 0 AS bad, event_type = 'signup' AND value > 90 AS fetched, event_type = 'error' AND user_id % 20 = 7 AND value > 80 AS searched FROM events) e"
+
+
+@query(f"""SELECT job, trial, split_part(trial, '__', 1) AS task, count(*) AS n_lines, count(*) FILTER (bad) AS n_malformed, count(*) FILTER (fetched AND NOT bad) AS n_fetch, count(*) FILTER (searched AND NOT bad) AS n_search,
+    CASE WHEN trial <> 'u9__1' THEN (max(event_id) % 2)::DOUBLE END AS reward, CASE WHEN trial <> 'u9__1' THEN round((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7, 1) END AS minutes,
+    CASE WHEN count(*) FILTER ((fetched OR searched) AND NOT bad) > 0 THEN 'CONTAMINATED' WHEN trial = 'u9__1' THEN 'PENDING' WHEN max(event_id) % 2 = 1 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {_LOGGED} GROUP BY job, trial""")
+def agent_log_audit(spark, d):
+    """Trials judged by their logs: events written as agent logs, one folder a trial, some lines broken, and read again beside the trials' results; one trial has none yet."""
+    path, user = shared_folder(spark, "jobs"), F.col("user_id")
+    trial = F.concat(F.lit("u"), (user % 20).cast("string"), F.lit("__"), (user % 2).cast("string"))
+    events = table(spark, d, "events").withColumns({"job": F.concat(F.lit("job"), (user % 3).cast("string")), "trial": trial})
+    call = F.when((F.col("event_type") == "signup") & (F.col("value") > 90), "webFetchToolCall").when((F.col("event_type") == "error") & (user % 20 == 7) & (F.col("value") > 80), "webSearchToolCall").otherwise("shellToolCall")
+    line = F.when(F.col("event_id") % 97 == 0, F.lit('{"type": ')).otherwise(F.to_json(F.struct(call.alias("type"), "event_id")))
+    logs = events.select("job", "trial", F.lit("log").alias("agent"), line.alias("value"))
+    logs.repartition("job", "trial").write.partitionBy("job", "trial", "agent").text(path)
+    at = F.col("ts").cast("timestamp")
+    results = events.filter("trial <> 'u9__1'").groupBy("job", "trial").agg((F.max("event_id") % 2).cast("double").alias("reward"), F.min(at).alias("started_at"), F.max(at).alias("finished_at"))
+    named = {c: F.regexp_replace(c, f"^{c}=", "") for c in ("job", "trial")}
+    return trial_logs.audited(trial_logs.log_files(spark, path).withColumns(named), trial_logs.log_summary(trial_logs.log_lines(spark, path).withColumns(named)), results)
+
+
+_DETAIL = f"(SELECT task % 50 AS unit, l_linenumber AS detail, count(*)::DOUBLE AS n, sum(resolved)::DOUBLE AS k FROM {ROLLOUTS} WHERE resolved IN (0, 1) GROUP BY 1, 2) cells"
+_CELL = "(k - n * exp(log_p * d)) ** 2 / (n * exp(log_p * d) * (1 - exp(log_p * d)))"
+_SLOPE = "sum(n * ((k + 0.5) / (n + 1)) / (1 - (k + 0.5) / (n + 1)) * d * ln((k + 0.5) / (n + 1))) / sum(n * ((k + 0.5) / (n + 1)) / (1 - (k + 0.5) / (n + 1)) * d * d)"
+_SCORE = "((statistic / degrees) ** (1 / 3.0::DOUBLE) - (1 - 2.0::DOUBLE / (9 * degrees))) / sqrt(2.0::DOUBLE / (9 * degrees))"
+
+
+def _details(spark, d):
+    rows = rollouts(spark, d).filter(F.col("resolved").isin(0, 1))
+    return rows.select((F.col("task") % 50).alias("unit"), F.col("l_linenumber").alias("detail"), "resolved", "l_quantity", "task", F.lit(1).alias("one"))
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: ref_round(F.col(n), 6) for n in names})
+
+
+@query(f"""WITH c AS (SELECT detail::DOUBLE AS d, sum(n) AS n, sum(k) AS k FROM {_DETAIL} GROUP BY 1), f AS (SELECT {_SLOPE} AS log_p FROM c),
+  t AS (SELECT max(log_p) AS log_p, sum({_CELL}) AS statistic, count(*) - 1 AS degrees FROM c, f)
+  SELECT round(exp(log_p), 6) AS p, round(statistic, 6) AS statistic, degrees, round({_SCORE}, 6) AS z FROM t""")
+def geometric_pass_rate(spark, d):
+    """Whether pass rates fall geometrically with the number of details."""
+    return _rounded(robust.geometric_test(_details(spark, d), "detail", "one", "resolved"), "p", "statistic", "z")
+
+
+@query(f"""WITH c AS (SELECT unit, detail::DOUBLE AS d, n, k FROM {_DETAIL}), f AS (SELECT unit, {_SLOPE} AS log_p FROM c GROUP BY 1 HAVING count(*) > 1),
+  t AS (SELECT count(DISTINCT unit) AS n_units, sum({_CELL}) AS statistic, count(*) - count(DISTINCT unit) AS degrees FROM c JOIN f USING (unit))
+  SELECT n_units, round(statistic, 6) AS statistic, degrees, round(statistic / degrees, 6) AS ratio, round({_SCORE}, 6) AS z FROM t""")
+def within_unit_dispersion(spark, d):
+    """Whether pass rates within a unit spread more than chance gives."""
+    return _rounded(robust.unit_dispersion(_details(spark, d), "unit", "detail", "one", "resolved"), "statistic", "ratio", "z")
+
+
+@query()
+def detail_logistic(spark, d):
+    """Passing by the number of details and the size, with errors that allow for units; iterative, so tests hold it against a slow fit."""
+    return robust.cluster_logistic(_details(spark, d), "resolved", ["detail", "l_quantity"], "unit")

@@ -127,7 +127,8 @@ RESULT = "verifier_result struct<rewards:struct<reward:double>>, started_at time
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """trial, reward, started_at, finished_at of every `<trial>/result.json`; the whole file is one record."""
+    """job, trial, reward, started_at, finished_at of every `<job>/<trial>/result.json`; the whole file is one record, and one that cannot be read has nulls."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="result.json", recursiveFileLookup=True)
     parsed = raw.select(F.from_json("value", RESULT).alias("r"), plain_path(F.col("_metadata.file_path")).alias("file"))
-    return parsed.select(F.regexp_extract("file", "([^/]+)/result\\.json$", 1).alias("trial"), F.col("r.verifier_result.rewards.reward").alias("reward"), "r.started_at", "r.finished_at")
+    place = [F.regexp_extract("file", "([^/]+)/([^/]+)/result\\.json$", i + 1).alias(n) for i, n in enumerate(("job", "trial"))]
+    return parsed.select(*place, F.col("r.verifier_result.rewards.reward").alias("reward"), "r.started_at", "r.finished_at")
