@@ -24,11 +24,11 @@ def log_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
-    """job, trial, file, line, is_json of the lines of all agent logs; large files are read in splits. Blank lines go; others that are no JSON object are marked, not lost."""
+    """job, trial, file, line, is_json of the lines of all agent logs; large files are read in splits. Blank lines go; others that are no JSON object, or go on after one, are marked, not lost."""
     lines = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("value").alias("line"), plain_path(F.col("_metadata.file_path")).alias("_path"))
     kind = F.schema_of_variant(F.try_parse_json("line"))
     lines = lines.filter(F.col("_path").rlike(_AGENT) & (F.trim("line") != "")).withColumns(_place(F.col("_path")))
-    return lines.select("job", "trial", "file", "line", F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_json"))
+    return lines.select("job", "trial", "file", "line", F.coalesce(kind.startswith("OBJECT") & F.rtrim("line").endswith("}"), F.lit(False)).alias("is_json"))
 
 
 def call_counts(lines: DataFrame) -> DataFrame:
