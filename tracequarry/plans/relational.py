@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import ref_round
-from tracequarry.operators import stats, tasks
+from tracequarry.operators import stats, tasks, temporal
 from tracequarry.plans.base import ROLLOUTS, query, rollouts, table
 from tracequarry.plans.levels import _PAIRS
 
@@ -120,3 +120,26 @@ def audit_classes(spark, d):
 def held_out_parts(spark, d):
     held = table(spark, d, "part").filter(stats.hash_share(F.col("p_partkey")) >= 80)
     return held.groupBy("p_type").agg(F.count("*").alias("n"), ref_round(F.avg("p_size"), 2).alias("avg_size"), F.countDistinct("p_brand").alias("n_brands"))
+
+
+@query("""WITH a AS (SELECT user_id, event_id AS order_id, ts AS s, ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) AS e FROM events WHERE event_type = 'purchase'),
+  b AS (SELECT user_id, event_id AS error_id, ts AS s, ts + to_seconds(CAST(floor(value * 30) AS BIGINT)) AS e FROM events WHERE event_type = 'error')
+  SELECT user_id, order_id, error_id FROM a JOIN b USING (user_id) WHERE a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e""")
+def overlapping_spans(spark, d):
+    """Spans of purchases and of errors of one user that overlap, by cells of time."""
+    at = temporal.micros("ts")
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", at.alias("at"), F.floor(F.col("value") * 60).alias("long_s"), F.floor(F.col("value") * 30).alias("short_s"))
+    a = rows.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("order_id"), F.col("at").alias("a_from"), (F.col("at") + F.col("long_s") * 1_000_000).alias("a_to"))
+    b = rows.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("at").alias("b_from"), (F.col("at") + F.col("short_s") * 1_000_000).alias("b_to"))
+    return temporal.overlap_join(a, b, ["user_id"], (F.col("a_from"), F.col("a_to")), (F.col("b_from"), F.col("b_to")), 600_000_000).select("user_id", "order_id", "error_id")
+
+
+@query("""WITH r AS (SELECT user_id AS cust, DATE '1995-01-01' + (event_id % 2400)::INT AS day, max(event_id) AS event_id FROM events GROUP BY 1, 2)
+  SELECT o_orderkey, r.event_id, date_diff('day', r.day, o_orderdate::DATE) AS days_since FROM orders o ASOF LEFT JOIN r ON o.o_custkey = r.cust AND o.o_orderdate >= r.day""")
+def asof_orders(spark, d):
+    """Each order with its customer's latest event of another table, on or before its day."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("event_id") % 2400).cast("int"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), "o_orderkey", temporal.micros("o_orderdate").alias("at"))
+    events = table(spark, d, "events").select(F.col("user_id").alias("cust"), "event_id", temporal.micros(day).alias("event_at"))
+    found = temporal.asof_join(orders, events, ["cust"], F.col("at"), F.col("event_at"), 30 * 86_400_000_000, ["event_id"])
+    return found.select("o_orderkey", "event_id", F.floor((F.col("at") - F.col("event_at")) / 86_400_000_000).alias("days_since"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tracequarry.functions.compat import ref_round, text_to_int
 from tracequarry.operators import features, tasks
 from tracequarry.operators import trials as t
-from tracequarry.plans.base import conversations, query, table
-from tracequarry.streaming import ingest
+from tracequarry.plans.base import conversations, query, shared_folder, table
+from tracequarry.streaming import ingest, ledger, signatures
 
 _CONV = "(SELECT conv_id, list({'role': role, 'text': text, 'turn': turn} ORDER BY turn) AS messages FROM conversations GROUP BY 1) c"
 
@@ -114,3 +114,23 @@ def package_status(spark, d):
 @query("""SELECT user_id, count(*) FILTER (event_type = 'purchase') AS n_ok FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase') >= 5""")
 def repo_keep_filter(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("n_ok")).filter("n_ok >= 5")
+
+
+@query("""WITH a AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_id < 500 GROUP BY 1, 2), b AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2)
+  SELECT user_id, event_type, event_id FROM a UNION ALL SELECT user_id, event_type, event_id FROM b ANTI JOIN a USING (user_id, event_type)""".replace("arg_min(event_id, (ts, event_id))", "first(event_id ORDER BY ts, event_id)"))
+def ledger_ingest(spark, d):
+    """Attempts recorded once: a first batch, one that has it all again, and that one run twice."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    out, led = shared_folder(spark, "attempts"), shared_folder(spark, "ledger")
+    for batch, number in ((events.filter("event_id < 500"), 0), (events, 1), (events, 1)):
+        ledger.record(batch, "r", number, out, led, ["user_id", "event_type"], ["ts", "event_id"])
+    return spark.read.parquet(out).select("user_id", "event_type", "event_id")
+
+
+@query("""WITH s AS (SELECT event_type || ' <n> of user <n> at <path>' AS signature, ts FROM events WHERE event_type IN ('error', 'click')) SELECT signature, count(*) AS n FROM s GROUP BY 1""")
+def error_signatures(spark, d):
+    """Messages brought to their signatures, with the number of their occurrences."""
+    path = F.concat(F.lit("/var/u"), F.col("user_id").cast("string"), F.lit("/x.log"))
+    message = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"), F.lit("of user "), F.col("user_id").cast("string"), F.lit("at"), path)
+    rows = table(spark, d, "events").filter(F.col("event_type").isin("error", "click")).select(signatures.signature(message).alias("signature"))
+    return rows.groupBy("signature").agg(F.count("*").alias("n"))
