@@ -1,10 +1,13 @@
-"""Named views over a corpus, summary tables, and a log of queries."""
+"""Named views over a corpus, and summary tables."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracequarry.functions.compat import plain_path
+from tracequarry.operators import rollups
 from tracequarry.operators import trials as t
-from tracequarry.sources.corpus import read_trials, shard_columns
+from tracequarry.operators.rollups import RollUp
+from tracequarry.sources.corpus import TRIAL, read_trials, shard_columns
 
 
 def register_views(spark: SparkSession, root: str) -> None:
@@ -25,28 +28,23 @@ def register_views(spark: SparkSession, root: str) -> None:
     t.resolved_rates(traces, "harness", "teacher_model").createOrReplaceTempView("catalog_resolved_rates")
 
 
-def refresh_summaries(spark: SparkSession, database: str = "default") -> list[str]:
-    """Writes the summary tables anew from the view `traces`; full scans, so they run only when asked for."""
-    traces = spark.table("traces")
-    tables = {
-        "trace_summary_by_language": traces.groupBy("language", "harness").agg(F.count("*").alias("n"), *t.resolved_split(traces)),
-        "trace_summary_by_category": traces.groupBy("category").agg(F.count("*").alias("n"), *t.resolved_split(traces)),
-        "trace_empty_patch_rate": traces.groupBy("harness").agg(F.count("*").alias("n"), F.avg((F.coalesce(F.length("model_patch"), F.lit(0)) == 0).cast("int")).alias("empty_rate")),
-    }
-    for name, df in tables.items():
-        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
-    return sorted(tables)
+#: The summary tables, each of which is a roll-up of `traces`.
+SUMMARIES = {
+    "trace_summary_by_language": RollUp(("language", "resolved"), means={"avg_messages": "n_messages", "avg_model_lines": "model_patch_lines", "avg_gold_lines": "reference_patch_lines"}, digits=1),
+    "trace_summary_by_category": RollUp(("category", "resolved"), means={"avg_messages": "n_messages"}, digits=1),
+    "trace_empty_patch_rate": RollUp(("harness", "teacher_model"), means={"pct_empty_model_patch": "if(coalesce(model_patch, '') = '', 100.0, 0.0)"}, distinct={"n_tasks": "instance_id"}, digits=2),
+}
 
 
-def run_logged(spark: SparkSession, sql: str, log: str, name: str = "adhoc") -> DataFrame:
-    """A query's frame; its text and time are appended to the Parquet log."""
-    row = spark.range(1).select(F.lit(name).alias("name"), F.lit(sql).alias("sql"), F.current_timestamp().alias("at"))
-    row.coalesce(1).write.mode("append").parquet(log)
-    return spark.sql(sql)
+def refresh_summaries(spark: SparkSession, root: str, store: str, database: str = "default") -> dict[str, list[str]]:
+    """Writes the summary tables anew and gives, for each, the shards that were read: those that came or changed since the store last saw them."""
 
+    def traces(files: list[str]) -> DataFrame:
+        raw = spark.read.schema(TRIAL).parquet(*files).withColumns({"_source_file": plain_path(F.col("_metadata.file_path")), "_metadata": F.col("_metadata")})
+        return t.typed(raw).withColumns(shard_columns(F.col("_source_file")))
 
-def catalog_gaps(spark: SparkSession, registry: DataFrame, name: str = "name") -> DataFrame:
-    """(name, side): registered objects that do not exist, and tables and views that are not registered."""
-    there = spark.createDataFrame([(x.name,) for x in spark.catalog.listTables()], "name string")
-    known = registry.select(F.col(name).alias("name")).distinct()
-    return known.join(there, "name", "left_anti").select("name", F.lit("missing").alias("side")).union(there.join(known, "name", "left_anti").select("name", F.lit("unregistered").alias("side")))
+    seen = {}
+    for name, spec in SUMMARIES.items():
+        seen[name] = rollups.refresh(spark, root, f"{store}/{name}", spec, traces)
+        rollups.rolled(spark, root, f"{store}/{name}", spec).write.mode("overwrite").saveAsTable(f"{database}.{name}")
+    return seen
