@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import text_to_int
+from tracequarry.operators.trials import outcome
 from tracequarry.sources.corpus import shard_columns
 
 EDIT = r"sed -i|cat >|\btee\b|str_replace_editor|\bedit\b|apply_patch"
 TEST = r"pytest|go test|cargo test|npm test|jest|phpunit|mvn test"
 SUBMIT = r"(?i)\b(?:submit|finish|done)"
+#: What a tool's answer says when a call went wrong; our own, as no definition of the count is known.
+ERROR = r"(?m)^Traceback \(most recent call last\)|(?i)\b(?:error|exception|fatal|panic):|command not found|no such file or directory|exit(?:ed with)? (?:code|status) [1-9]"
 
 
 def chars_where(roles: Column, texts: Column, role: str) -> Column:
@@ -87,7 +90,7 @@ def proxy_features(trials: DataFrame) -> DataFrame:
 
 
 def turn_sample(trials: DataFrame, n: int, seed: int = 42, key: str = "trajectory_id") -> DataFrame:
-    """The turns of n trials, the first in a seeded order, with running counts of edits, tests and tool calls.
+    """The turns of n trials, the first in a seeded order, with their outcome and running counts of edits, tests, tool calls and tool errors.
 
     Trials are picked by their keys alone; only the picked ones' messages are read further.
     """
@@ -100,11 +103,12 @@ def turn_sample(trials: DataFrame, n: int, seed: int = 42, key: str = "trajector
     acts = F.col("role") == "assistant"
     rows = rows.select(
         key, "resolved", (F.col("pos") + 1).alias("turn_idx"), F.col("m.role").alias("role"), F.coalesce(F.length("m.content"), F.lit(0)).alias("content_len"),
-        (calls > 0).alias("has_tool_call"), text.rlike(EDIT).alias("_edit"), text.rlike(TEST).alias("_test"), calls.alias("_calls"),
+        (calls > 0).alias("has_tool_call"), outcome(F.col("resolved")).alias("outcome_label"), text.rlike(EDIT).alias("_edit"), text.rlike(TEST).alias("_test"), calls.alias("_calls"),
+        ((F.col("m.role") == "tool") & F.coalesce(F.col("m.content").rlike(ERROR), F.lit(False))).alias("is_tool_error"),
     )
     upto = Window.partitionBy(key).orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"is_edit_command": acts & F.col("_edit"), "is_test_command": acts & F.col("_test")})
     return rows.withColumns({
         "pct_through": F.col("turn_idx").cast("double") / F.count("*").over(Window.partitionBy(key)),
-        "cum_edits": F.sum(F.col("is_edit_command").cast("int")).over(upto), "cum_tests": F.sum(F.col("is_test_command").cast("int")).over(upto), "cum_tool_calls": F.sum("_calls").over(upto),
+        "cum_edits": F.sum(F.col("is_edit_command").cast("int")).over(upto), "cum_tests": F.sum(F.col("is_test_command").cast("int")).over(upto), "cum_tool_calls": F.sum("_calls").over(upto), "cum_tool_errors": F.sum(F.col("is_tool_error").cast("int")).over(upto),
     }).drop("_edit", "_test", "_calls")

@@ -25,7 +25,10 @@ def sums_before(df: DataFrame, order: list[Column], weight: Column, name: str, t
     a range is sorted by a task. There are as many ranges as shuffle partitions.
     """
     checkpoints(df.sparkSession)
-    dealt = df.withColumn("_weight", weight).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    # Finding the ranges and dealing the rows out are two passes over what df is worked out to once.
+    held = df.withColumn("_weight", weight).persist()
+    dealt = held.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    held.unpersist()
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = dealt.groupBy("_range").agg(F.sum("_weight").alias("_sum"))
     ranges = ranges.select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_sum").over(Window.partitionBy()).alias("_whole"))

@@ -80,6 +80,12 @@ def logistic(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(f, float(c)) for f, c in zip(features, model.coefficients, strict=True)], "feature string, coef double")
 
 
+def strongest(coefficients: DataFrame, n: int = 5) -> DataFrame:
+    """The n coefficients of the largest absolute size, with their places; ties go by name."""
+    first = coefficients.orderBy(F.desc(F.abs("coef")), "feature").limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("coef")), "feature")))
+
+
 def weighted_linear(df: DataFrame, target: str, weight: str, features: list[str]) -> DataFrame:
     """feature, coef of a weighted linear regression on standardized features."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -150,6 +156,9 @@ def fit_response(counts: DataFrame, task: str, combo: str, two_parameters: bool
         theta = theta + step
         if np.abs(step).max() < tolerance:
             break
+    else:
+        if combos:
+            raise ValueError(f"the response model's abilities still move after {rounds} rounds")
 
     def parameters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -161,16 +170,24 @@ def fit_response(counts: DataFrame, task: str, combo: str, two_parameters: bool
     return tasks, counts.sparkSession.createDataFrame([(c, float(t)) for c, t in zip(combos, theta, strict=True)], f"`{combo}` {kind[combo]}, theta double")
 
 
-def binomial_mixture(histogram: list[tuple[int, int, int]], rounds: int = 200) -> list[tuple[float, float]]:
-    """(weight, rate) of two binomial components, by EM over (n, k, tasks) counts: as many rows as there are pairs (n, k)."""
+def binomial_mixture(histogram: list[tuple[int, int, int]], rounds: int = 20_000, tolerance: float = 1e-14) -> list[tuple[float, float]]:
+    """(weight, rate) of two binomial components, by EM over (n, k, tasks) counts, as many rows as there are pairs (n, k), until the likelihood gains less than tolerance, as a share; an error if it does not end."""
     n, k, m = (np.array(x, float) for x in zip(*histogram, strict=True)) if histogram else (np.zeros(0),) * 3
-    w, p = np.array([0.5, 0.5]), np.array([0.2, 0.8])
+    w, p, before = np.array([0.5, 0.5]), np.array([0.2, 0.8]), -np.inf
     for _ in range(rounds if len(n) else 0):
         log = np.log(w) + k[:, None] * np.log(p) + (n - k)[:, None] * np.log1p(-p)
-        r = np.exp(log - log.max(axis=1, keepdims=True))
+        top = log.max(axis=1, keepdims=True)
+        r = np.exp(log - top)
+        likelihood = float((m * (top[:, 0] + np.log(r.sum(axis=1)))).sum())
+        if likelihood - before <= tolerance * abs(likelihood):
+            break
+        before = likelihood
         r = r / r.sum(axis=1, keepdims=True) * m[:, None]
         w = r.sum(axis=0) / m.sum()
         p = np.clip((r * k[:, None]).sum(axis=0) / np.maximum((r * n[:, None]).sum(axis=0), 1e-9), 1e-6, 1 - 1e-6)
+    else:
+        if len(n):
+            raise ValueError("the mixture's fit does not end")
     return [(float(a), float(b)) for a, b in zip(w, p, strict=True)]
 
 

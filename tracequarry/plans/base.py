@@ -60,6 +60,6 @@ ROLLOUTS = "(SELECT l_partkey AS task, l_linestatus || '/' || (l_linenumber % 3)
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:
-    """Trials with nested messages, in the order of their turns."""
-    m = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    """Trials with nested messages, in the order of their turns. Of a text its length is nested only, so what a conversation brings together is a few bytes a message."""
+    m = F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("content_len"))))
     return table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("messages"))

@@ -243,6 +243,16 @@ def logistic_model(spark, d):
     return stats.logistic(rows, "resolved", ["n_chars", "spaces"]).select("feature", ref_round(F.col("coef"), 3).alias("coef"))
 
 
+@query()
+def logistic_top_features(spark, d):
+    """The five features that tell most of a label by the absolute size of their standardized coefficients."""
+    text = F.col("text")
+    counts = {"spaces": " ", "commas": ",", "stops": r"\\.", "capitals": "[A-Z]", "digits": "[0-9]", "line_ends": "\\n"}
+    rows = trials(spark, d).filter(F.col("resolved").isin(0, 1)).select("resolved", "n_chars", *[F.regexp_count(text, F.lit(p.replace("\\\\", "\\"))).alias(n) for n, p in counts.items()])
+    top = stats.strongest(stats.logistic(rows, "resolved", ["n_chars", *counts]))
+    return top.select("place", "feature", ref_round(F.col("coef"), 3).alias("coef"))
+
+
 @query(f"""SELECT harness, language, count(*) AS n, round(avg(n_chars), 1) AS avg_chars FROM {TRIALS} GROUP BY 1, 2 HAVING max(resolved) >= 0""")
 def labeled_combo_means(spark, d):
     return trials(spark, d).groupBy("harness", "language").agg(F.count("*").alias("n"), ref_round(F.avg("n_chars"), 1).alias("avg_chars"), F.max("resolved").alias("top")).filter("top >= 0").drop("top")

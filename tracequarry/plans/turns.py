@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import ref_round, text_to_int
-from tracequarry.operators import features, tasks
+from tracequarry.operators import tasks
 from tracequarry.operators import trials as t
 from tracequarry.plans.base import conversations, query, shared_folder, table
 from tracequarry.streaming import ingest, ledger, signatures
@@ -14,7 +14,7 @@ _CONV = "(SELECT conv_id, list({'role': role, 'text': text, 'turn': turn} ORDER
 
 @query(f"SELECT conv_id, pos AS turn_idx, m.role AS role, length(m.text) AS content_len FROM {_CONV}, unnest(messages) WITH ORDINALITY AS u(m, pos)")
 def turns_exploded(spark, d):
-    return t.turns(conversations(spark, d), "conv_id", ("role", "text")).select("conv_id", "turn_idx", "role", F.length("text").cast("long").alias("content_len"))
+    return t.turns(conversations(spark, d), "conv_id", ("role", "content_len")).withColumn("content_len", F.col("content_len").cast("long"))
 
 
 _EVENTS = """(SELECT *, sum((event_type = 'purchase')::INT) OVER w::BIGINT AS cum_edits, sum((event_type = 'click')::INT) OVER w::BIGINT AS cum_tests,
@@ -56,16 +56,18 @@ def first_last_positions(spark, d):
 @query("""SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'assistant') AS n_assistant_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS assistant_chars, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_chars FROM conversations GROUP BY 1""")
 def text_chars_by_role(spark, d):
-    role, text = F.col("messages.role"), F.col("messages.text")
-    return conversations(spark, d).select(
-        "conv_id", F.size(role).cast("long").alias("n_messages"), F.size(F.filter(role, lambda r: r == "assistant")).cast("long").alias("n_assistant_turns"),
-        features.chars_where(role, text, "assistant").alias("assistant_chars"), features.chars_where(role, text, "user").alias("user_chars"),
-    )
+    """Counts and characters by role, which combine before they move."""
+    role, n = F.col("role"), F.length("text").cast("long")
+    chars = [F.coalesce(F.sum(F.when(role == r, n)), F.lit(0)).alias(f"{r}_chars") for r in ("assistant", "user")]
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.count_if(role == "assistant").alias("n_assistant_turns"), *chars)
 
 
 @query(f"SELECT conv_id, length(messages[2].text) AS issue_chars FROM {_CONV} WHERE len(messages) >= 2")
 def issue_length(spark, d):
-    return conversations(spark, d).filter(F.size("messages.role") >= 2).select("conv_id", F.length(F.element_at("messages.text", 2)).cast("long").alias("issue_chars"))
+    """The length of each conversation's second message; the first two of a conversation are told apart where they are read."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("issue_chars")).withColumn("_place", place)
+    return rows.filter(F.col("_place") <= 2).filter("_place = 2").select("conv_id", "issue_chars")
 
 
 @query("""WITH k AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY 1)
@@ -134,3 +136,19 @@ def error_signatures(spark, d):
     message = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"), F.lit("of user "), F.col("user_id").cast("string"), F.lit("at"), path)
     rows = table(spark, d, "events").filter(F.col("event_type").isin("error", "click")).select(signatures.signature(message).alias("signature"))
     return rows.groupBy("signature").agg(F.count("*").alias("n"))
+
+
+_OUTCOME = "CASE last(event_type ORDER BY ts, event_id) WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'unknown' END AS outcome_label"
+
+
+@query(f"""WITH o AS (SELECT user_id, {_OUTCOME} FROM events GROUP BY 1)
+  SELECT CASE WHEN turn_idx::DOUBLE / n_turns <= 0.25 THEN '0-25' WHEN turn_idx::DOUBLE / n_turns <= 0.5 THEN '25-50' WHEN turn_idx::DOUBLE / n_turns <= 0.75 THEN '50-75' ELSE '75-100' END AS progress, outcome_label,
+  count(DISTINCT user_id) AS trials, round(avg(cum_edits), 2) AS avg_edits_so_far, round(avg(cum_tests), 2) AS avg_tests_so_far, round(avg(cum_tool_errors), 2) AS avg_tool_errors FROM {_EVENTS} JOIN o USING (user_id) WHERE event_type <> 'signup' GROUP BY 1, 2""")
+def early_signal(spark, d):
+    """How far trials that end well and badly are apart at each quarter; an outcome is a trial's last turn."""
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    resolved = F.when(last == "purchase", 1).when(last == "error", 0).otherwise(-1)
+    outcomes = table(spark, d, "events").groupBy("user_id").agg(t.outcome(resolved).alias("outcome_label"))
+    rows = _counted(spark, d).filter("event_type <> 'signup'").withColumn("progress", t.progress_bucket(F.col("pct_through"))).join(outcomes, "user_id")
+    means = [ref_round(F.avg(c), 2).alias(n) for c, n in (("cum_edits", "avg_edits_so_far"), ("cum_tests", "avg_tests_so_far"), ("cum_tool_errors", "avg_tool_errors"))]
+    return rows.groupBy("progress", "outcome_label").agg(F.countDistinct("user_id").alias("trials"), *means)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import plain_path
-from tracequarry.operators import rollups
+from tracequarry.operators import rollups, tasks
 from tracequarry.operators import trials as t
 from tracequarry.operators.rollups import RollUp
 from tracequarry.sources.corpus import TRIAL, read_trials, shard_columns
@@ -48,3 +48,20 @@ def refresh_summaries(spark: SparkSession, root: str, store: str, database: str
         seen[name] = rollups.refresh(spark, root, f"{store}/{name}", spec, traces)
         rollups.rolled(spark, root, f"{store}/{name}", spec).write.mode("overwrite").saveAsTable(f"{database}.{name}")
     return seen
+
+
+def build_database(spark: SparkSession, database: str, frames: dict[str, DataFrame], note: str = "") -> list[str]:
+    """Writes frames as tables of a database of their own, which is made if it is not there, and gives their full names.
+
+    Tables of other databases stay as they are, and a query may name those of several.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, df in frames.items():
+        df.write.mode("overwrite").option("comment", note).saveAsTable(f"`{database}`.`{name}`")
+    return [f"{database}.{name}" for name in sorted(frames)]
+
+
+def analysis_frames(spark: SparkSession) -> dict[str, DataFrame]:
+    """What the analysis database is made from, by the views of the first one: a row for each trial, and the difficulty of each task."""
+    trials = spark.table("trial_summary")
+    return {"trials": trials, "task_difficulty": tasks.difficulty(trials, "instance_id").withColumn("bucket", tasks.difficulty_bucket(F.col("n_labeled"), F.col("solve_rate")))}
