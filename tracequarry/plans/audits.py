@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from tracequarry.functions.compat import ratio, ref_round
-from tracequarry.operators import matching, patches, robust
+from tracequarry.operators import matching, patches, robust, rollups
 from tracequarry.plans.base import ROLLOUTS, query, rollouts, shared_folder, table
-from tracequarry.sources import trial_logs
+from tracequarry.sources import query_log, trial_logs
 from tracequarry.sources.drift import read_drifting
 
 _MATCH, _OTHER = "than ", "tion"
@@ -143,3 +143,34 @@ def within_unit_dispersion(spark, d):
 def detail_logistic(spark, d):
     """Passing by the number of details and the size, with errors that allow for units; iterative, so tests hold it against a slow fit."""
     return robust.cluster_logistic(_details(spark, d), "resolved", ["detail", "l_quantity"], "unit")
+
+
+_BY_LANGUAGE = rollups.RollUp(
+    ("lang",), counts={"n_long": "n_chars > 1500"}, sums={"chars": "n_chars"}, means={"avg_chars": "n_chars"}, extremes={"id": "doc_id"}, distinct={"n_sources": "source", "about_ids": "doc_id"}, digits=2
+)
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 1500) AS n_long, sum(n_chars)::BIGINT AS chars, round(avg(n_chars), 2) AS avg_chars, min(doc_id) AS min_id, max(doc_id) AS max_id, count(DISTINCT source) AS n_sources, TRUE AS ids_within_error, 2 AS n_new FROM documents GROUP BY 1""")
+def incremental_rollup(spark, d):
+    """Documents that come as shards: two are summed up, then two more, which alone are read; merged sums are those of the table, and a sketch's count is within its error."""
+    docs, path, store = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), shared_folder(spark, "shards"), shared_folder(spark, "rollup")
+    new: list[str] = []
+    for parts in ((0, 1), (2, 3)):
+        for part in parts:
+            docs.filter(F.coalesce(F.pmod("doc_id", F.lit(4)), F.lit(0)) == part).coalesce(1).write.parquet(f"{path}/{part}")
+        new = rollups.refresh(spark, path, store, _BY_LANGUAGE, lambda files: spark.read.schema(docs.schema).parquet(*files))
+    exact = docs.groupBy("lang").agg(F.countDistinct("doc_id").alias("n_ids")).withColumnRenamed("lang", "_lang")
+    merged = rollups.rolled(spark, path, store, _BY_LANGUAGE).join(exact, F.col("lang").eqNullSafe(F.col("_lang")))
+    close = F.abs(F.col("about_ids") - F.col("n_ids")) <= rollups.DISTINCT_ERROR * F.col("n_ids")
+    return merged.select("lang", "n", "n_long", "chars", "avg_chars", "min_id", "max_id", "n_sources", close.alias("ids_within_error"), F.lit(len(new)).alias("n_new"))
+
+
+@query("""WITH r AS (SELECT user_id, count(*) AS n, avg(value) AS mean, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY 1), t AS (SELECT count(*) AS n_rows, count(*) FILTER (NOT mean < 60) AS high, count(*) FILTER (NOT n_errors > 0) AS clean FROM r)
+  SELECT 'by user' AS name, n_rows, 'a user has an error' AS rule, clean AS violations FROM t WHERE clean > 0 UNION ALL SELECT 'by user', n_rows, 'values are low', high FROM t WHERE high > 0""")
+def observed_query(spark, d):
+    """What the log says of a query whose rows were counted, and its rules looked at, while its result was written."""
+    out, log = shared_folder(spark, "result"), shared_folder(spark, "log")
+    rules = {"values are low": "mean < 60", "a user has an error": "n_errors > 0", "rows are counted": "n > 0"}
+    sql = "SELECT user_id, count(*) AS n, avg(value) AS mean, count_if(event_type = 'error') AS n_errors FROM {events} GROUP BY user_id"
+    query_log.run_observed(spark, sql, out, log, "by user", rules, events=table(spark, d, "events"))
+    return spark.read.parquet(log).select("name", "n_rows", F.explode("violations").alias("rule", "violations"))
