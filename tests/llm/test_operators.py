@@ -808,6 +808,10 @@ def cut(ids):
         ("<div class='no-sidebar'><p>kept</p></div><!-- <p>gone --><p hidden>h</p>", "kept"), ("<article>a</article><article class='comment'>c</article>", "a"), ("a<b c", "a<b c"), ("<p>&#233;&nbsp;x</p>", "é x"),
         ('<article><div class="side-effects">one</div><div id="related-work">two</div><p class="notice-period">three</p></article>', "one two three"),
         ('<article>a<div class="ad-slot-2">b</div><div class="commentList">c</div><div class="cookie_banner">d</div></article>', "a"),
+        ('<article>a<img src="data:' + "A" * 100_000 + '"><img alt="a > b" src="y">c</article>', "ac"), ("<div>" * 600 + "<nav>menu</nav><article>text</article>side" + "</div>" * 600, "text"),
+        ("<b>" * 3000 + "<i><article>text</article>" + "</b>" * 3000 + "<nav>menu</nav>", "text"), ("<article>a<b><section>b</b>c</section>d</article>", "a bc d"),
+        ("<article>a" + "".join(f'<div class="{c}">no</div>' for c in ("comments-section", "post-comments", "user-comments", "comment-body", "google-ads", "adsbygoogle", "cookie-policy-bar", "newsletter-signup-form", "sidebar-primary")) + "</article>", "a"),
+        ("<article>" + "".join(f'<div class="{c}">{c}</div>' for c in ("cookie-recipe", "no-sidebar", "with-ads", "share-price", "commentary")) + "</article>", "cookie-recipe no-sidebar with-ads share-price commentary"),
         ('<p>a<a title="x > y" href=z>b</a></p><!-- c', "ab"), ('<p title="open>a</p><p>b', "a b"), ("<![CDATA[x]]>a<?php b ?>c<", "ac<"),
     ],
 )
@@ -815,7 +819,7 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
-@pytest.mark.parametrize("unit", ["<a ", "<a '", "<a '>\"", "<div>", "<ul><li>", "<", "<a<a", "<a \"'>'\"", "<!--", "<script>", "</p>", "<a x=1 "])
+@pytest.mark.parametrize("unit", ["<a ", "<a '", "<a '>\"", "<div>", "<ul><li>", "<", "<a<a", "<a \"'>'\"", "<!--", "<script>", "</p>", "<a x=1 ", "<a '>\"<b \">'", "<b></i>", "<p hidden><b>", "<li><b>", "<b><div></b>"])
 def test_reading_takes_linear_time(unit):
     began = time.process_time()
     for end in ("", ">", "'>", '">'):
@@ -855,6 +859,22 @@ def test_the_wrapper_decides_what_is_kept():
     assert html_extract.main_text("<html><body><nav>menu</nav><p>plain</p></body></html>", wrapper) == "plain"
 
 
+ARTICLE = "<html><body><nav>menu {0}</nav><article><h1>Title {0}</h1><p>{1}</p><p>Leave your comment below</p></article></body></html>"
+
+
+def test_an_inferred_wrapper_takes_template_out_of_articles(spark):
+    """A line that all of a host's articles have goes; what copies share stays, and so does a line of few articles or of most of one."""
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
+    made = [(i, f"http://all.com/{i}", ARTICLE.format(i, body(i))) for i in range(12)] + [(100 + i, f"http://seven.com/{i}", ARTICLE.format(i, body(i))) for i in range(7)]
+    made += [(200 + i, f"http://copies.com/{i}", ARTICLE.format(i, body("same"))) for i in range(12)]
+    made += [(300 + i, f"http://some.com/{i}", ARTICLE.format(i, body(i)) if i < 10 else ARTICLE.format(i, body(i)).replace("Leave your comment below", f"line {i}")) for i in range(40)]
+    made += [(400 + i, f"http://short.com/{i}", ARTICLE.format(i, f"few {i}")) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extracted(pages(spark, made)).collect()}
+    for i, _, page in made:
+        whole = html_extract.main_text(page)
+        assert got[i] == (whole.removesuffix(" Leave your comment below") if i < 100 else whole) and whole.startswith("Title")
+
+
 def test_extraction(spark):
     page = "<html><body><div>Site name</div><p>text {}</p></body></html>"
     rows = [(i, f"http://h.com/{i}", page.format(i)) for i in range(30)] + [(90, None, page.format(90)), (91, "http://one.com/", page.format(91)), (91, "http://one.com/", None)]
