@@ -226,6 +226,24 @@ def test_allowed_alias_takes_precedence(spark):
     assert {r.verdict for r in url_filter.judged(pages(spark, rows)).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("unit", ["<link canonical ", "<link rel=canonical href=", "<meta refresh url=  ", "<link rel='canonical\" ", "<", "canonical>", "<link " + "x" * 50, "rel = ", "<link rel"])
+def test_links_are_read_in_linear_time(spark, unit):
+    html = unit * (1_000_000 // len(unit))
+    df = pages(spark, [(1, "http://x.org/fr/9", html), (2, "http://x.org/fr/9", html + ">"), (3, "http://x.org/fr/9", "<link " + html.replace(">", "") + ">"), (4, "http://x.org/fr/8", html + '"><link href=/en rel="x canonical y">')])
+    began = time.time()
+    url_filter.page_links(df).collect()
+    assert time.time() - began < 20
+
+
+def test_links_of_many_shapes(spark):
+    html = [
+        '<LINK REL = "Canonical" HREF = " /a?x=1&amp;y=2#z ">', "<link href='/b' data-rel=canonical><link rel=canonical href=/c>", '<link title="a>b" rel=canonical href=/no>', "<meta content='5;URL=/d;x' http-equiv=refresh>",
+        "<meta http-equiv=Refresh content=\"0; url='/e'\">", '<linker rel=canonical href=/no><meta name=refresh content="url=/no">', "<link rel=canonical>", "<link rel=canonical href=/f", '<link rel="canonical" rel="x" href="/g" href="/no">',
+    ]
+    got = {r.u: r.v for r in url_filter.page_links(pages(spark, [(i, f"http://h.org/p{i}", x) for i, x in enumerate(html)])).collect()}
+    assert got == {f"h.org/p{i}": f"h.org/{v}" for i, v in ((0, "a?x=1&y=2"), (1, "c"), (3, "d"), (4, "e"), (8, "g"))}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5080)]
@@ -518,6 +536,20 @@ def test_language_id(spark, none):
     assert not {100, 101, 102} & {r.doc_id for r in kept.collect()}
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    """Also the 200th, and one of a single document; more of them than a model can hold are an error."""
+    rng = np.random.default_rng(11)
+    words = {f"l{k:03}": ["".join(chr(0x4E00 + 40 * k + int(c)) for c in rng.integers(0, 40, 3)) for _ in range(30)] for k in range(200)}
+    rows = [(1000 * k + i, " ".join(rng.choice(words[lang], 25)), lang, "a") for k, lang in enumerate(words) for i in range(6 if k else 1)]
+    got = {r.doc_id: r for r in language_id.identified(documents(spark, rows)).collect()}
+    taught = {lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(taught) >= 199 and {r.lang_pred for r in got.values()} == taught
+    assert np.mean([got[i].lang_pred == lang for i, _, lang, _ in rows if lang in taught]) > 0.95
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 100)
+    with pytest.raises(ValueError, match="values of lang"):
+        language_id.identified(documents(spark, rows))
+
+
 def test_slices_count_like_the_whole(monkeypatch):
     letters = language_id._letter_table()
     for text in ((EN + DE) * 3, "  .. a", "ΟΔΟΣ σας 12 x", "😀 𝒳𝒴 z.", "a" * 40, ". " * 30 + "q"):

@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, text_slices
+from .common import crc_of_id, staged, text_slices
 
 #: Hashed n-grams.
 DIMS = 1 << 12
 SLICE = 1 << 20
-#: The bound on the labelled documents of each language that centroids are fitted on, and on the languages: those with most documents.
-SAMPLE, MOST_LANGUAGES = 400, 128
+#: The bound on the labelled documents of each language that centroids are fitted on. All languages are learned; a column with more values than a model of
+#: bounded size can have, which is no column of languages, is an error.
+SAMPLE, MOST_LANGUAGES = 400, 2048
 CENTROIDS = 3
 #: A text is rejected if its cosine is below this share of its language's lowest sample cosine.
 REJECT_SHARE = 0.4
@@ -128,19 +129,20 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, seed: int = 7) -> dict:
     """The model from (doc_id, text, lang): idf, centroids, their languages and rejection distances.
 
-    docs: labelled training documents only. At most `sample` documents of each of at most MOST_LANGUAGES
-    languages are brought to the driver, as counts.
+    docs: labelled training documents only. The centroids of a language are fitted in one task, on `sample` documents of it at most;
+    the driver sees centroids only.
     """
     docs = docs.filter("lang is not null").select("doc_id", "text", "lang")
     df, n = _document_frequency(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    langs = sorted(r.lang for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
-    learned: dict = {"idf": idf, "langs": [], "owner": np.empty(0, np.int64), "centres": np.empty((0, DIMS), np.float32), "least": np.empty(0)}
     # A language's rows with the least hashes: a top-k by partial aggregation, in one job for all. Rows that repeat have one hash.
-    hashed = docs.filter(F.col("lang").isin(langs)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    hashed = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     cells = hashed.groupBy("lang", F.pmod("h", F.lit(1 << 16)).alias("cell")).agg(F.min("h").alias("h"))
     few = cells.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list("h")), 1, sample).alias("some"))
-    chosen = few.select("lang", F.explode("some").alias("h"))  # MOST_LANGUAGES * sample rows at most
+    chosen = staged(few.select("lang", F.explode("some").alias("h")), "language-samples")
+    n_langs = chosen.select("lang").distinct().count()
+    if n_langs > MOST_LANGUAGES:
+        raise ValueError(f"{n_langs} values of lang are more than the {MOST_LANGUAGES} languages that a model can have")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = _letter_table()
@@ -150,24 +152,24 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, see
             at = [np.flatnonzero(found[i]) for i in have]
             yield pd.DataFrame({"lang": batch["lang"].iloc[have].tolist(), "h": batch["h"].iloc[have].tolist(), "dims": [a.tolist() for a in at], "counts": [found[i][a].tolist() for i, a in zip(have, at, strict=True)]})
 
-    texts = hashed.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    rows = sorted(texts.mapInPandas(vectors, "lang string, h long, dims array<int>, counts array<int>").collect(), key=lambda r: r.h) if langs else []
-    parts, owner, least = [], [], []
-    for lang in langs:
-        mine = [r for r in rows if r.lang == lang]
-        if not mine:
-            continue
-        counts = np.zeros((len(mine), DIMS), np.float32)
-        for i, r in enumerate(mine):
-            counts[i, r.dims] = r.counts
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h")
+        counts = np.zeros((len(rows), DIMS), np.float32)
+        for i, (dims, found) in enumerate(zip(rows["dims"], rows["counts"], strict=True)):
+            counts[i, dims] = found
         unit = _unit(counts, idf)
-        parts.append(_k_means(unit, centroids, seed))
-        owner += [len(learned["langs"])] * len(parts[-1])
-        least.append(float(np.quantile((unit @ parts[-1].T).max(axis=1), 0.01)))
-        learned["langs"].append(lang)
-    if parts:
-        learned |= {"centres": np.concatenate(parts), "owner": np.array(owner), "least": np.array(least)}
-    return learned
+        centres = _k_means(unit, centroids, seed)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "centres": [centres.astype(np.float32).tobytes()], "least": [float(np.quantile((unit @ centres.T).max(axis=1), 0.01))]})
+
+    # The sample is read from files, so Spark sends it to the texts if it is small and deals both out by hash if not.
+    texts = hashed.select("lang", "h", "text").join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    counted = texts.mapInPandas(vectors, "lang string, h long, dims array<int>, counts array<int>")
+    found = sorted(counted.groupBy("lang").applyInPandas(fitted, "lang string, centres binary, least double").collect(), key=lambda r: r.lang)
+    parts = [np.frombuffer(r.centres, np.float32).reshape(-1, DIMS) for r in found]
+    return {
+        "idf": idf, "langs": [r.lang for r in found], "owner": np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64),
+        "centres": np.concatenate([*parts, np.empty((0, DIMS), np.float32)]), "least": np.array([r.least for r in found]),
+    }
 
 
 def _predicted(text: str | None, model: dict, letters: np.ndarray) -> tuple[str, float, bool]:

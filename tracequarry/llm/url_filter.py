@@ -9,7 +9,7 @@ a blocked one, else allow. Everything is DataFrame functions.
 Defined results: a null url, or one without `://`, has an empty host and path,
 fits no rule and has no aliases, so it is allowed; a null or empty page has no
 links; repeated pages each get a row; other columns are ignored, whatever
-their names; an empty table gives an empty result.
+their names; an empty table gives an empty result. Pages of any length are read whole, in time in proportion to it, and a tag that never ends is none.
 """
 
 from collections.abc import Sequence
@@ -72,15 +72,31 @@ def _resolved(link: Column, url: Column) -> Column:
     )
 
 
+#: A tag's attributes: a name where one can begin, and its value. Nothing is gone by twice, whatever a tag looks like.
+_ATTRIBUTE = r"""(?<![^\s"'/])([^\s"'>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of a name, without its quotes; null if it has none."""
+    names, values = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(i)) for i in (1, 2))
+    value = F.get(F.filter(F.zip_with(names, values, lambda n, v: F.when(F.lower(n) == name, v)), lambda v: v.isNotNull()), F.lit(0))
+    return F.trim(F.when(F.substring(value, 1, 1).isin('"', "'"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(u, v): each page's node and what its canonical links and refresh redirects name."""
-    tag = r"(?is)(<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>)"
-    tags = pages.filter("instr(lower(html), 'canonical') > 0 or instr(lower(html), 'refresh') > 0").select(
-        "url", F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(1))).alias("tag")
-    )
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*canonical"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*http-equiv\s*=\s*[\"']?\s*refresh"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1))
-    link = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
+    """(u, v): each page's node and what its canonical links and refresh redirects name.
+
+    A page is cut at its last `>`, so that every tag ends, and read once from left to right.
+    """
+    html = F.col("html")
+    whole = F.substring(html, F.lit(1), F.length(html) - F.length(F.substring_index(html, ">", -1)))
+    tags = pages.filter("instr(lower(html), 'canonical') > 0 or instr(lower(html), 'refresh') > 0").select("url", F.explode(F.regexp_extract_all(whole, F.lit(r"(?i)(<(?:link|meta)\b[^>]*+>)"), F.lit(1))).alias("tag"))
+    tags = tags.filter("instr(lower(tag), 'canonical') > 0 or instr(lower(tag), 'refresh') > 0")
+    tag = F.col("tag")
+    canonical = F.when(F.lower(F.substring(tag, 2, 4)) == "link", F.when(F.instr(F.lower(_attribute(tag, "rel")), "canonical") > 0, _attribute(tag, "href")))
+    wait = F.when(F.lower(F.substring(tag, 2, 4)) == "meta", F.when(F.lower(_attribute(tag, "http-equiv")).startswith("refresh"), _attribute(tag, "content")))
+    refresh = F.regexp_extract(wait, r"""(?i)\burl\s*+=\s*+["']?\s*+([^"'\s>;]++)""", 1)
+    link = F.replace(F.coalesce(F.regexp_extract(canonical, r"^\s*+(\S++)", 1), refresh), F.lit("&amp;"), F.lit("&"))
     return tags.select(node_of(F.col("url")).alias("u"), _resolved(link, F.col("url")).alias("v")).dropna().filter("u != v")
 
 
