@@ -5,8 +5,11 @@ of shards. Bytes are summed by slot, and a slot-to-shard map says where each
 slot lives. The map is stored, with versions: a run takes the latest one and, if the shards' bytes are no longer
 nearly equal, edits it by moving or swapping single slots and adds the next version, so only the rows of the edited slots move.
 
+An id alone chooses the slot of its rows, whatever else the table holds, unless its rows have more bytes than a slot has on average: those of such an id, of which there are
+fewer than slots, are spread over all slots by their places in the written table.
+
 Defined results: a null text has size 8 and checksum 0; a null id hashes like
-any other value; rows that repeat stay separate rows of one slot; an empty
+any other value; rows that repeat stay separate rows; texts of any length are measured whole; an empty
 table gives an empty result and the initial map; columns of the input other
 than id and text are ignored, whatever their names. Rows of a slot have their places in the order in which they were written.
 """
@@ -24,16 +27,28 @@ CHUNKS = 256
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long, rows long"
 
 
-def with_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, vslot, chunk) of every row; the text itself goes no further."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, chunk) of every row; the text itself goes no further."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text).cast("long") + 8).alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slots)).cast("int").alias("vslot"),
-        F.pmod(F.spark_partition_id(), F.lit(CHUNKS)).alias("chunk"),
-    )
+        F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.pmod(F.spark_partition_id(), F.lit(CHUNKS)).alias("chunk"),
+    )
+
+
+def hot_ids(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """Ids whose rows have more bytes than a slot has on average: fewer than n_slots."""
+    whole = rows.agg(F.sum("size").alias("_whole"))
+    by_id = rows.groupBy("doc_id").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n")).filter("_n > 1")
+    return by_id.join(F.broadcast(whole), F.col("_bytes") * n_slots > F.col("_whole")).select(F.col("doc_id").alias("_hot_id"), F.lit(True).alias("_hot"))  # one row of whole
+
+
+def with_slots(rows: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", hot: DataFrame | None = None) -> DataFrame:
+    """rows with vslot. hot: ids whose rows are spread, as hot_ids() finds them."""
+    key = F.xxhash64(F.col(id_col))
+    if hot is not None:
+        rows = rows.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(hot), F.col(id_col).eqNullSafe(F.col("_hot_id")), "left")
+        key = F.when(F.col("_hot"), F.xxhash64(F.col(id_col), F.col("_place"))).otherwise(key)
+    return rows.withColumn("vslot", F.pmod(key, F.lit(n_slots)).cast("int")).drop("_place", "_hot_id", "_hot")
 
 
 def slot_weights(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +121,11 @@ def grown(shard: np.ndarray, size: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def save_map(spark: SparkSession, path: str, version: int, shard: np.ndarray, size: np.ndarray, count: np.ndarray) -> None:
-    """Adds a version to the stored map, in place of one that was not written whole."""
+    """Adds a version to the stored map. A version that is there already, as another run may have added it, is an error; one that was not written whole has no mark of its end and is written anew."""
     rows = [(version, int(i), int(s), int(b), int(n)) for i, (s, b, n) in enumerate(zip(shard, size, count, strict=True))]
+    found = latest_map(spark, path, len(shard))
+    if found is not None and found[0] >= version:
+        raise ValueError(f"{path} has version {found[0]} already; take it up and edit that one")
     spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
@@ -160,11 +178,13 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 24, n_
 
     name: of the stored map, in the shared folder; each number of shards has a map of its own.
     """
-    rows = staged(with_slots(docs, n_slots), "slots")
+    sizes = staged(measured(docs), "sizes")
+    rows = staged(with_slots(sizes, n_slots, hot=staged(hot_ids(sizes, n_slots), "hot-ids")), "slots")
     size, count = slot_weights(rows, n_slots)
     path = f"{shared_dir(spark)}/tracequarry/shardmap-{name}-{n_shards}-{n_slots}"
-    version, shard = latest_map(spark, path, n_slots) or (1, initial_map(n_slots, n_shards))
-    if version == 1:
+    stored = latest_map(spark, path, n_slots)
+    version, shard = stored or (1, initial_map(n_slots, n_shards))
+    if stored is None:
         save_map(spark, path, 1, shard, size, count)
     edited = rebalanced(shard, size, n_shards)
     if (edited != shard).any():
@@ -176,14 +196,14 @@ def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 24, n_
     )
 
 
-def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, n_slots: int = N_SLOTS, id_col: str = "doc_id") -> None:
-    """Writes whole rows to one folder for each shard; large shards have several files."""
-    slot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slots)).cast("int")
+def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, n_slots: int = N_SLOTS, id_col: str = "doc_id", hot: DataFrame | None = None) -> None:
+    """Writes whole rows to one folder for each shard; large shards have several files. hot: ids whose rows are spread over slots, as hot_ids() finds them."""
     (
-        docs.withColumn("_vslot", slot)
+        with_slots(docs.withColumnRenamed("vslot", "_own_vslot"), n_slots, id_col, hot)
+        .withColumnRenamed("vslot", "_vslot").withColumnRenamed("_own_vslot", "vslot")
         .join(F.broadcast(slot_map.select(F.col("vslot").alias("_vslot"), F.col("shard").alias("_shard"))), "_vslot")
         .drop("_vslot")
         .hint("rebalance", "_shard")
         .write.partitionBy("_shard")
         .parquet(path)
-    )
+    )
