@@ -131,6 +131,10 @@ def test_rebalanced_map(sizes, n):
     assert total.max() - total.min() <= max(sizes)
     more = sharding.grown(out, size, n)
     assert ((more == out) | (more == n)).all()
+    high = int(np.argsort(total, kind="stable")[-1])
+    for low in set(range(n)) - {high}:  # no move out of the fullest shard and no swap would help any more
+        gap, theirs = total[high] - total[low], [0, *size[out == low]]
+        assert not any(0 < a - b < gap for a in size[out == high] for b in theirs)
 
 
 def test_rebalancing_equalises_and_moves_few():
@@ -769,6 +773,23 @@ def test_ann(spark):
     assert ann.nearest(few, few.filter("vec_id = 77")).count() == 0
 
 
+def test_recall_in_a_large_block():
+    """With the share of a block that is asked for at scale, which no floor raises."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 32))
+    for x in (rng.standard_normal((16_000, 64)), np.repeat(centres, 400, axis=0) + 0.6 * rng.standard_normal((16_000, 32))):
+        index, queries = ann.BlockIndex(x), x[::400]
+        least = int(ann.ENOUGH * len(x))
+        assert least > 16 * 20
+        index.ask(queries)
+        hits = 0
+        for number, q in enumerate(queries):
+            score = x @ q
+            best = np.argsort(-score, kind="stable")[:20]
+            hits += np.isin(best, index.candidates(number, least)).sum()
+        assert hits / (20 * len(queries)) >= 0.9
+
+
 # --- 9 -------------------------------------------------------------------------------------------
 
 
@@ -846,6 +867,37 @@ def test_best_two_fit_is_the_slow_one_up_to_its_first_exchange(lengths):
             assert sum(mine) == sum(lengths[i] for i in held) - lengths[small] + pair and len(mine) == len(held) + 1
 
 
+def slowest_best_two_fit(lengths, capacity):
+    """Bins of item numbers, all exchanges: of items of one length the first waits in front, and one that was given back before it."""
+    waiting, bins = {}, []
+    for i in range(len(lengths)):
+        waiting.setdefault(lengths[i], []).append(i)
+    waiting = {n: items[::-1] for n, items in waiting.items()}
+    while any(waiting.values()):
+        held, gap = [], capacity
+        while fits := [n for n, items in waiting.items() if items and n <= gap]:
+            held.append((max(fits), waiting[max(fits)].pop()))
+            gap -= held[-1][0]
+        if gap and len(held) > 1:
+            small = min(held)
+            pairs = [(a + b, -a, a, b) for a in waiting for b in waiting if a <= b and len(waiting[a]) > (a == b) and waiting[b] and a + b <= gap + small[0]]
+            if pairs and max(pairs)[0] > small[0]:
+                held.remove(small)
+                held += [(n, waiting[n].pop()) for n in max(pairs)[2:]]
+                waiting[small[0]].append(small[1])
+        bins.append([i for _, i in held])
+    return bins
+
+
+@given(st.lists(st.one_of(st.integers(1, 100), st.integers(20, 45)), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_best_two_fit_is_the_slow_one_to_the_end(lengths):
+    bins, places = packing.best_two_fit(np.array(lengths, np.int64), 100)
+    for number, held in enumerate(slowest_best_two_fit(lengths, 100)):
+        assert [i for i in sorted(np.flatnonzero(bins == number), key=lambda i: places[i])] == held
+        assert [places[i] for i in held] == [sum(lengths[j] for j in held[:k]) for k in range(len(held))]
+
+
 def test_two_better_than_the_smallest():
     bins, _ = packing.best_two_fit(np.array([60, 30, 25, 15]), 100)
     assert bins[0] == bins[2] == bins[3] != bins[1]  # 60 + 30 leaves 10; 25 + 15 take the place of 30
