@@ -21,7 +21,7 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents whose language is recognised; the model is trained on the labelled training fold of docs.
 
     A null or empty text, and one without a letter, goes; rows that repeat stay as often as they come; a null id, which is in
-    the training fold, or a null source changes nothing; a null language is not learned from; without any labelled document all rows go.
+    the training fold, or a null source changes nothing; a null language is not learned from; without any labelled document all rows go. A text of any length is read whole, in slices.
     """
     return language_id.recognised(docs, language_id.train(docs.filter(language_id.in_training())))
 
@@ -29,7 +29,8 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the longest original, then the one with the smallest id.
 
-    Null and empty texts are one group; rows that repeat an id and a text are one document; a null id stays only where no row of equal length has one.
+    Null and empty texts are one group; rows that repeat an id and a text are one document; a null id stays only where no row of equal length has one. Texts of any length are
+    compared whole.
     """
     return exact_dedup.one_of_each(docs)
 
@@ -37,7 +38,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts, by a Jaccard similarity of 0.8 of their five-word shingles: the one with the smallest id.
 
-    A text of fewer words is one shingle; one without a word is a class of its own and stays; rows that repeat the smallest id of a class all stay; a null id comes first.
+    A text of fewer words is one shingle; one without a word is a class of its own and stays; rows that repeat the smallest id of a class all stay; a null id comes first. All shingles of a text count, however
+    long it is.
     """
     return jaccard_join.one_of_each(docs)
 
@@ -46,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target mix; those of a second epoch come twice.
 
     The budget is half of all tokens, so that the target weights can be kept without more than two epochs of any source. A null text has no tokens; null languages and sources are a
-    leaf of their own; rows that repeat an id are taken together; a leaf without tokens is taken once.
+    leaf of their own; rows that repeat an id are taken together; a leaf without tokens is taken once. A text of any length is counted and taken whole.
     """
     return mixing.taken(docs)
 
