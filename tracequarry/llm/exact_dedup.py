@@ -10,7 +10,7 @@ once are moved, to be grouped by their bytes; all others are known to stand alon
 
 Defined results: a null text counts as empty, and all empty texts are copies;
 of equal texts the longest original in code points stays, then the smallest
-id; a null id is kept only if no other row of equal length has an id; rows that
+id; texts of any length are hashed and compared whole; a null id is kept only if no other row of equal length has an id; rows that
 repeat an id each get a row; other columns are ignored; an empty table gives
 an empty result.
 """

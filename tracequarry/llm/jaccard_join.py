@@ -27,7 +27,7 @@ Words are runs of characters other than ASCII white space, A-Z in lower case.
 
 Defined results: a text of one to four words is one shingle of all its words; a null
 text, or one without a word, has no shingles and no links and is a class of its own;
-copies link to each other; rows that repeat an id stay rows of their own, each with
+copies link to each other; all shingles of a text count, however long it is; rows that repeat an id stay rows of their own, each with
 the same class; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 

@@ -13,7 +13,7 @@ range has few rows; only that is put in order. A leaf that holds a third of all
 
 Tokens here are runs of characters other than ASCII white space.
 
-Defined results: a null text has no tokens; null languages and sources are the
+Defined results: a null text has no tokens, and one of any length is counted whole; null languages and sources are the
 child `(none)`; names without a weight of their own have DEFAULT_WEIGHT; a weight of 0 gives
 nothing; a leaf without tokens is taken once; rows that repeat an id have one place in
 the order and are taken together; a null id is ordered as the text `null`;
