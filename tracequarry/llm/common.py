@@ -1,5 +1,6 @@
 """Reading tables and cutting lineage in the folder that the cluster shares."""
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", rows: int = 500) ->
         yield part, part.column(column).to_pylist()
 
 
+def give_back() -> None:
+    """Memory of this Python worker that is free goes back to the system: workers outlive their tasks, several of them on an executor, and would hold it while others work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def crc_of_id(col: str = "doc_id"):
     """crc32 of the id written as text, the contracts' fold of a document."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
