@@ -142,3 +142,16 @@ def test_files_written_elsewhere(spark, tmp_path):
     pq.write_table(pa.table({"k": pa.array([2], pa.uint32()), "more": pa.array(["x"]).dictionary_encode()}), tmp_path / "b.parquet")
     got = drift.read_drifting(spark, [str(tmp_path)])
     assert sorted(map(tuple, got.select("k", "more").collect())) == [(1, None), (2, "x")] and "none" not in got.columns
+
+
+def test_a_report_of_drift(spark, tmp_path):
+    for i in range(6):
+        shard(spark, i).coalesce(1).write.parquet(str(tmp_path / str(i)))
+    spark.createDataFrame([(True,)], "tags boolean").coalesce(1).write.parquet(str(tmp_path / "odd"))
+    got = {(r.column, r.type): (r.n_files, r.widened) for r in drift.drift_report(spark, [str(tmp_path)]).collect()}
+    assert got["k", "int"] == got["k", "bigint"] == got["k", "string"] == (2, "string")
+    assert got["v", "double"] == (2, "double") and got["m.size", "bigint"] == (2, "bigint") and got["m.name", "string"] == (4, "string")
+    assert got["m.calls[].id", "int"] == got["m.calls[].id", "bigint"] == (2, "bigint") and got["m.calls[].kind", "string"] == (2, "string")
+    assert got["tags", "boolean"] == (1, None) and got["tags", "map<string,int>"] == (2, None)
+    with pytest.raises(ValueError, match="column tags"):
+        drift.read_drifting(spark, [str(tmp_path)])

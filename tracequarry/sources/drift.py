@@ -130,6 +130,43 @@ def fitted(value: Column, a: T.DataType, b: T.DataType) -> Column:
     return value.cast(b)
 
 
+def drift_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """column, type, n_files, widened of every column and nested field under paths: in how many files it has which type, and the type that a reader of all of them gets.
+
+    A field whose counts do not add up to the number of files is missing in the others. One for which there is no common type has none, so that it can be found.
+    """
+    told: dict[tuple[str, str], int] = {}
+    kinds: dict[str, list[T.DataType]] = {}
+    for schema, files in schema_groups(spark, paths):
+        for name, kind in _fields(schema):
+            told[name, kind.simpleString()] = told.get((name, kind.simpleString()), 0) + len(files)
+            kinds.setdefault(name, []).append(kind)
+    rows = [(name, kind, n, _common_or_none(kinds[name])) for (name, kind), n in told.items()]
+    return spark.createDataFrame(rows, "column string, type string, n_files long, widened string")
+
+
+def _fields(kind: T.DataType, at: str = "") -> Iterator[tuple[str, T.DataType]]:
+    """Names, by their path and in lower case, and types of all fields; an array's elements are at its name and `[]`, a map's keys and values at `{}`."""
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            name = f"{at}.{f.name.lower()}".lstrip(".")
+            if not isinstance(f.dataType, T.StructType):
+                yield name, f.dataType
+            yield from _fields(f.dataType, name)
+    elif isinstance(kind, T.ArrayType):
+        yield from _fields(kind.elementType, f"{at}[]")
+    elif isinstance(kind, T.MapType):
+        yield from _fields(kind.keyType, f"{at}{{}}")
+        yield from _fields(kind.valueType, f"{at}{{}}")
+
+
+def _common_or_none(kinds: list[T.DataType]) -> str | None:
+    try:
+        return reduce(common_type, kinds).simpleString()
+    except ValueError:
+        return None
+
+
 def read_drifting(spark: SparkSession, paths: Sequence[str], source_file: bool = False) -> DataFrame:
     """All Parquet files under paths as one table: one scan for each schema, columns in the order in which they first come, missing ones null.
 
