@@ -118,7 +118,7 @@ def test_one_scan_for_each_schema(spark, tmp_path):
     assert all("v" in s and "name" not in s.split(">")[0] for s in re.findall(r"ReadSchema: (.*)", pruned))
 
 
-def test_types_that_have_no_common_one():
+def test_types_that_have_no_common_one(spark):
     s = T.StructType.fromDDL
     assert drift.common_type(s("a int, b date"), s("A decimal(5,2), c string")) == s("a decimal(12,2), b date, c string")
     assert drift.common_type(T.DateType(), T.TimestampType()) == T.TimestampType()
