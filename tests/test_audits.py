@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracequarry.operators import matching, patches
-from tracequarry.sources import drift
+from tracequarry.sources import drift, views
 
 SHA, COMPUTED = r"[\"'`](sha256:[0-9a-f]{4,8})[\"'`]", r"Sum256|EncodeToString"
 
@@ -155,3 +155,13 @@ def test_a_report_of_drift(spark, tmp_path):
     assert got["tags", "boolean"] == (1, None) and got["tags", "map<string,int>"] == (2, None)
     with pytest.raises(ValueError, match="column tags"):
         drift.read_drifting(spark, [str(tmp_path)])
+
+
+def test_a_view_of_drifting_shards(spark, tmp_path):
+    for i in range(3):
+        shard(spark, i).coalesce(1).write.parquet(str(tmp_path / "harness" / f"t{i}"))
+    views.register_drifting(spark, [str(tmp_path)], "raw_shards")
+    sql = "SELECT regexp_extract(_source_file, '/harness/([^/]+)/', 1) AS teacher, count(*) AS n, count(extra) AS n_extra, count(tags) AS n_tags, min(v) AS least FROM raw_shards GROUP BY 1 ORDER BY 1"
+    assert [tuple(r) for r in spark.sql(sql).collect()] == [("t0", 3, 0, 0, 0.0), ("t1", 3, 3, 0, 1.0), ("t2", 3, 0, 0, 2.0)]
+    shard(spark, 3).coalesce(1).write.parquet(str(tmp_path / "harness" / "t3"))
+    assert views.register_drifting(spark, [str(tmp_path)], "raw_shards").count() == 12

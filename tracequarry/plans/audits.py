@@ -139,10 +139,41 @@ def within_unit_dispersion(spark, d):
     return _rounded(robust.unit_dispersion(_details(spark, d), "unit", "detail", "one", "resolved"), "statistic", "ratio", "z")
 
 
-@query()
+#: The inverse of the bends' matrix h, and what a step of Newton's adds to each coefficient.
+_DET = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+_INVERSE = {
+    "00": f"(h11 * h22 - h12 * h12) / {_DET}", "01": f"(h02 * h12 - h01 * h22) / {_DET}", "02": f"(h01 * h12 - h02 * h11) / {_DET}",
+    "11": f"(h00 * h22 - h02 * h02) / {_DET}", "12": f"(h01 * h02 - h00 * h12) / {_DET}", "22": f"(h00 * h11 - h01 * h01) / {_DET}",
+}
+_SUMS = "sum(w) AS h00, sum(w * u) AS h01, sum(w * v) AS h02, sum(w * u * u) AS h11, sum(w * u * v) AS h12, sum(w * v * v) AS h22"
+
+
+def _entry(i: int, j: int) -> str:
+    return f"{min(i, j)}{max(i, j)}"
+
+
+_STEPS = ", ".join(f"{c} + {' + '.join(f'({_INVERSE[_entry(i, j)]}) * g{j}' for j in range(3))}" for i, c in enumerate("abc"))
+_COVER = ", ".join(f"({' + '.join(f'i{_entry(i, k)} * m{_entry(k, n)} * i{_entry(n, j)}' for k in range(3) for n in range(3))}) * scale AS c{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT resolved::DOUBLE AS y, task % 50 AS g, l_linenumber::DOUBLE AS u, l_quantity::DOUBLE AS v FROM {ROLLOUTS} WHERE resolved IN (0, 1)),
+  s AS (SELECT avg(u) AS mu, stddev_pop(u) AS su, avg(v) AS mv, stddev_pop(v) AS sv, count(*) AS n, count(DISTINCT g) AS n_clusters FROM r),
+  x AS (SELECT y, g, (u - mu) / su AS u, (v - mv) / sv AS v FROM r, s),
+  fit(i, a, b, c) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL SELECT i + 1, {_STEPS} FROM (
+    SELECT i, a, b, c, sum(y - p) AS g0, sum((y - p) * u) AS g1, sum((y - p) * v) AS g2, {_SUMS} FROM (SELECT *, p * (1 - p) AS w FROM (SELECT i, a, b, c, y, u, v, 1 / (1 + exp(-(a + b * u + c * v))) AS p FROM fit, x WHERE i < 15)) GROUP BY i, a, b, c)),
+  e AS (SELECT a, b, c, y, g, u, v, 1 / (1 + exp(-(a + b * u + c * v))) AS p FROM fit, x WHERE i = 15),
+  h AS (SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, {_SUMS} FROM (SELECT *, p * (1 - p) AS w FROM e)),
+  t AS (SELECT sum(y - p) AS s0, sum((y - p) * u) AS s1, sum((y - p) * v) AS s2 FROM e GROUP BY g),
+  m AS (SELECT {', '.join(f'sum(s{i} * s{j}) AS m{i}{j}' for i in range(3) for j in range(i, 3))} FROM t),
+  k AS (SELECT *, {', '.join(f'{v} AS i{k}' for k, v in _INVERSE.items())}, n_clusters / (n_clusters - 1)::DOUBLE * (n - 1) / (n - 3)::DOUBLE AS scale FROM h, m, s),
+  q AS (SELECT *, {_COVER} FROM k),
+  o AS (SELECT '(intercept)' AS feature, a - b * mu / su - c * mv / sv AS coef, sqrt(c00 + c11 * (mu / su) ** 2 + c22 * (mv / sv) ** 2 - 2 * c01 * mu / su - 2 * c02 * mv / sv + 2 * c12 * mu / su * mv / sv) AS se, n, n_clusters FROM q
+    UNION ALL SELECT 'detail', b / su, sqrt(c11) / su, n, n_clusters FROM q UNION ALL SELECT 'l_quantity', c / sv, sqrt(c22) / sv, n, n_clusters FROM q)
+  SELECT feature, round(coef, 6) AS coef, round(se, 6) AS se, round(coef / se, 4) AS z, n, n_clusters FROM o""")
 def detail_logistic(spark, d):
-    """Passing by the number of details and the size, with errors that allow for units; iterative, so tests hold it against a slow fit."""
-    return robust.cluster_logistic(_details(spark, d), "resolved", ["detail", "l_quantity"], "unit")
+    """Passing by the number of details and the size, with errors that allow for units."""
+    found = robust.cluster_logistic(_details(spark, d), "resolved", ["detail", "l_quantity"], "unit")
+    return found.select("feature", ref_round(F.col("coef"), 6).alias("coef"), ref_round(F.col("se"), 6).alias("se"), ref_round(F.col("z"), 4).alias("z"), "n", "n_clusters")
 
 
 _BY_LANGUAGE = rollups.RollUp(

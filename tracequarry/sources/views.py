@@ -1,5 +1,7 @@
 """Named views over a corpus, and summary tables."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tracequarry.operators import rollups, tasks
 from tracequarry.operators import trials as t
 from tracequarry.operators.rollups import RollUp
 from tracequarry.sources.corpus import TRIAL, read_trials, shard_columns
+from tracequarry.sources.drift import read_drifting
 
 
 def register_views(spark: SparkSession, root: str) -> None:
@@ -28,6 +31,13 @@ def register_views(spark: SparkSession, root: str) -> None:
     t.resolved_rates(traces, "harness", "teacher_model").createOrReplaceTempView("catalog_resolved_rates")
 
 
+def register_drifting(spark: SparkSession, paths: Sequence[str], name: str = "traces_raw") -> DataFrame:
+    """A view of all shards under paths, whatever their schemas, with `_source_file`; later shards are seen when it is registered again."""
+    view = read_drifting(spark, paths, source_file=True)
+    view.createOrReplaceTempView(name)
+    return view
+
+
 #: The summary tables, each of which is a roll-up of `traces`.
 SUMMARIES = {
     "trace_summary_by_language": RollUp(("language", "resolved"), means={"avg_messages": "n_messages", "avg_model_lines": "model_patch_lines", "avg_gold_lines": "reference_patch_lines"}, digits=1),
