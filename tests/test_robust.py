@@ -101,7 +101,7 @@ def test_trials_are_judged_by_their_logs(spark, tmp_path):
         "unit-L4__d": ("job a", "unit-L4", "PENDING", None, None, 0, 0, 0, 0), "unit-L5__e": ("job a", "unit-L5", "FAIL", 0.0, None, 0, 0, 1, 0),
     }
     lines = trial_logs.log_lines(spark, root)
-    assert sorted(r.line for r in lines.filter("not is_json").collect()) == ["[1, 2]", "not json at all", '{"webSearchToolCall": 1} trailing']
+    assert sorted(r.line for r in trial_logs.placed(lines.filter("not is_json")).collect()) == ["[1, 2]", "not json at all", '{"webSearchToolCall": 1} trailing']
     assert {(r.trial, r.kind, r.n) for r in trial_logs.call_counts(lines).collect()} == {
         ("unit-L1__a", "webFetch", 3), ("unit-L1__a", "prewebFetch", 1), ("unit-L1__a", "webSearch", 1), ("unit-L1__a", "shell", 1), ("unit-L2__b", "shell", 1),
     }

@@ -105,7 +105,7 @@ def agent_log_audit(spark, d):
     at = F.col("ts").cast("timestamp")
     results = events.filter("trial <> 'u9__1'").groupBy("job", "trial").agg((F.max("event_id") % 2).cast("double").alias("reward"), F.min(at).alias("started_at"), F.max(at).alias("finished_at"))
     named = {c: F.regexp_replace(c, f"^{c}=", "") for c in ("job", "trial")}
-    return trial_logs.audited(trial_logs.log_files(spark, path).withColumns(named), trial_logs.log_summary(trial_logs.log_lines(spark, path).withColumns(named)), results)
+    return trial_logs.audited(trial_logs.log_files(spark, path).withColumns(named), trial_logs.log_summary(trial_logs.log_lines(spark, path)).withColumns(named), results)
 
 
 _DETAIL = f"(SELECT task % 50 AS unit, l_linenumber AS detail, count(*)::DOUBLE AS n, sum(resolved)::DOUBLE AS k FROM {ROLLOUTS} WHERE resolved IN (0, 1) GROUP BY 1, 2) cells"
