@@ -47,10 +47,11 @@ def matches_near(df: DataFrame, keys: list[str], text: str, pattern: str, other:
 
 def with_line_text(matches: DataFrame, df: DataFrame, keys: list[str], text: str, most: int = 110) -> DataFrame:
     """matches with `context`, the first characters of the trimmed line of each. Keys must tell texts apart."""
+    lines = df.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_at", "_text"))
+    # Lines are cut short before they move.
+    told = lines.select(*keys, (F.col("_at") + 1).cast("long").alias("line"), F.substring(F.trim("_text"), 1, most).alias("context"))
     wanted = matches.select(*keys, "line").distinct()
-    lines = df.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_at", "_text")).withColumn("line", (F.col("_at") + 1).cast("long"))
-    told = lines.join(wanted, [*keys, "line"], "left_semi").select(*keys, "line", F.substring(F.trim("_text"), 1, most).alias("context"))
-    return matches.join(told, [*keys, "line"])
+    return matches.join(told.join(wanted, [*keys, "line"], "left_semi"), [*keys, "line"])
 
 
 def hits_by_unit(matches: DataFrame, unit: str, order: list[str], told: list[str], first: int = 4) -> DataFrame:
