@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import AWKWARD, documents
@@ -117,6 +118,16 @@ def test_proofs_lead_to_the_root(spark):
     assert merkle.Manifest(documents(spark, []), 3, 2).root() is None
 
 
+def test_every_row_is_folded_by_its_own_proof():
+    leaf, beside = hashlib.sha256(b"leaf").digest(), sha("beside")
+    root = hashlib.sha256((leaf.hex() + beside).encode()).digest()
+    leaves = pa.table({"part": [0], "at": [0], "tree": ["sa"], "key": [1], "digest": [leaf], "tampered": pa.array([None], pa.binary())})
+    for right, verified in ((beside, True), (sha("wrong"), False)):  # not tampered with: the proof alone decides
+        side = pa.Table.from_pylist([{"tree": "sa", "first_at": 0, "start": 0, "n": 1, "digest": leaf, "lefts": [""], "rights": [right], "level": None, "root": root}])
+        (got,) = merkle._proved(leaves, side).to_pylist()
+        assert got["root"] == root.hex() and got["folded_root"] == sha(leaf.hex() + right) and got["verified"] == verified
+
+
 def test_what_changed_between_two_manifests(spark):
     rows = [(i, f"text {i}", "en", f"src{i % 5}") for i in range(60)] + [(7, "text 7", "en", "src2")] * 2
     after = [r for r in rows if r[0] != 11] + [(100, "new", "en", "other"), (7, "text 7", "en", "src2")]

@@ -160,13 +160,12 @@ def _proved(leaves: pa.Table, side: pa.Table) -> pa.Table:
     trees, spans, places = _grown(leaves, side)
     for tree in trees.values():
         tree.resolve()
-    roots = {name: folded(r["digest"], r["lefts"], r["rights"]) for name, r in spans.items()}
     out = []
     for key, name, leaf, tampered, i in zip(*(leaves.column(c).to_pylist() for c in ("key", "tree", "digest", "tampered")), places, strict=True):
         lefts, rights = (own + top for own, top in zip(trees[name].path(0, i), (spans[name]["lefts"], spans[name]["rights"]), strict=True))
         proof = hashlib.sha256("".join(x + y for x, y in zip(lefts, rights, strict=True)).encode()).hexdigest()
-        root = roots[name]
-        again = root if tampered is None else folded(tampered, lefts, rights)
+        root = spans[name]["root"]
+        again = folded(leaf if tampered is None else tampered, lefts, rights)  # of every row, so a wrong sibling shows
         out.append((key, leaf.hex(), spans[name]["digest"].hex(), root.hex(), proof, again.hex(), again == root))
     kinds = [pa.int64(), *[pa.string()] * 5, pa.bool_()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PROVED.split(", ")])
@@ -249,7 +248,8 @@ class Manifest:
         self.paths = staged(self.top.walked(self.top.spans, _paths, "tree string, lefts array<string>, rights array<string>"), "merkle-paths")
 
     def _spans(self) -> DataFrame:
-        return self.forest.spans.join(self.subroots, "tree").join(self.paths, "tree")
+        root = self.top.roots().select(F.col("digest").alias("root"))  # one row
+        return self.forest.spans.join(self.subroots, "tree").join(self.paths, "tree").crossJoin(F.broadcast(root))
 
     def root(self) -> str | None:
         """The root as hex text; None without documents."""
