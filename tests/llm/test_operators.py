@@ -1,6 +1,7 @@
 """The operators on small tables of awkward rows, against brute force."""
 
 import hashlib
+import pickle
 import re
 import time
 import zlib
@@ -484,6 +485,34 @@ def test_every_training_text_gives_a_window():
         assert found.shape[1] == lm_scoring.CONTEXT + 1 and (np.diff(found, axis=1) >= 0).all()
 
 
+@pytest.mark.parametrize("n", [1, 32, 33, 34, 5000])
+def test_every_id_of_a_stream_is_foretold_once(n):
+    stream = np.arange(n + 1)
+    found = lm_scoring.whole_windows(stream)
+    targets = found[:, 1:].reshape(-1)
+    assert targets[:n].tolist() == stream[1:].tolist() and (targets[n:] == n).all() and len(targets) - n < lm_scoring.CONTEXT
+    assert (found[:, 0] == stream[: n : lm_scoring.CONTEXT]).all()
+
+
+def test_the_model_is_trained_on_whole_texts(spark, small_model, monkeypatch):
+    """All ids of a long training text go through training, none of a held-out one."""
+    import public_tokenizers
+
+    args = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(held, "zebra " * 500, "en", "a"), (held + 1000, "river stone " * 3000, "en", "a")]
+    assert zlib.crc32(str(held + 1000).encode()) % 7 != 2
+    blocks, _, _ = lm_scoring.prepared(documents(spark, rows), *args)
+    subwords = lm_scoring.Subwords(*args)
+    want = subwords.encode(" river stone" * 3000)
+    streams = [lm_scoring.stream_of(pickle.loads(r.data), subwords.size) for r in blocks.collect()]
+    assert sorted(x for s in streams for x in lm_scoring.whole_windows(s)[:, 1:].reshape(-1).tolist() if x != subwords.size) == sorted(want)
+    monkeypatch.setattr(lm_scoring, "trained", lambda m, some, *_: {k: v * 0 + len(some) for k, v in m.items()})
+    uniform = np.full(lm_scoring.IDS, 1 / lm_scoring.IDS)
+    model = lm_scoring.fit(blocks, 1 << 20, np.zeros(subwords.size + 1, np.int64), uniform)
+    assert abs(model["far"].max() * lm_scoring.ROUNDS * lm_scoring.CONTEXT - len(want)) < lm_scoring.ROUNDS * lm_scoring.CONTEXT
+
+
 def test_averaging_by_levels(spark):
     rng = np.random.default_rng(1)
     models, n = rng.random((40, 7)).astype("<f4"), rng.integers(1, 9, 40)

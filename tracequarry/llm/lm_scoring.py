@@ -1,7 +1,7 @@
 """Language-model scoring with a small causal self-attention model, trained here in numpy.
 
 Texts are read as subword ids of a public tokenizer. Word and subword counts, counts of pairs of neighbouring subwords
-and the model's training windows come from every training document: a window for each WINDOW_IDS ids, and one more.
+and the model's training windows come from all of every training document: each id and end is to be foretold once in each epoch.
 The model (one attention layer, one feed-forward layer, a two-step softmax over the corpus's most frequent subwords) is
 trained by averaging: in every round, tasks go on from the same model over their own windows, and Spark averages what
 they have, by levels. A subword outside of the model's costs the model's chance of a rare one times its share of the
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, give_back, pieces_of, small_batches, staged
+from .common import crc_of_id, give_back, small_batches, staged
 
 FOLDS, HELD_OUT = 7, 2
 #: Text of a block; only one text alone has more. The word rows of the corpus are those of all blocks.
@@ -55,11 +55,10 @@ WIDTH, HIDDEN = 32, 64
 #: The corpus's word counts have this part in a word's chance; of the rest the pair counts have PAIRS, wherever a word
 #: has followed the last subword in training, and the attention model what is left.
 MIX, PAIRS = 0.15, 0.4
-#: Each training document gives a window for every so many ids, and one more. A small corpus gives more, up to all of its
-#: windows, for about LEAST_WINDOWS in all, and is gone over up to EPOCHS times.
+#: A small corpus is gone over up to EPOCHS times, for about EPOCHS * LEAST_WINDOWS windows in all, any other once. WINDOW_IDS is for training_windows() only.
 WINDOW_IDS, LEAST_WINDOWS, EPOCHS = 1024, 24_000, 6
-#: Times that models are averaged at least, windows of a task, and models averaged by one task.
-ROUNDS, TASK_WINDOWS, FAN = 4, 60_000, 16
+#: Times that models are averaged at least, and models averaged by one task.
+ROUNDS, FAN = 4, 16
 SEED = 3
 BATCH = 64
 #: Windows that go through attention, and through the softmax, together; ids of texts scored at once.
@@ -435,7 +434,7 @@ TOLD = "block long, number int, word binary, n long, data binary, learnt binary"
 _TOLD_ARROW = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("data", pa.binary()), ("learnt", pa.binary())])
 
 
-def _told(batches: Iterator[pa.RecordBatch], tokenizer: str, pattern: str, each: int) -> Iterator[pa.RecordBatch]:
+def _told(batches: Iterator[pa.RecordBatch], tokenizer: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """Blocks of a task's rows: (doc_id, training, text)."""
     subwords, block = Subwords(tokenizer, pattern), TaskContext.get().partitionId() << 32
 
@@ -458,19 +457,11 @@ def _told(batches: Iterator[pa.RecordBatch], tokenizer: str, pattern: str, each:
         n = np.bincount(learnt, minlength=len(own))
         ids, bounds = subwords.of(own.to_pylist())
         ids = ids.astype("<u2")
-        # Training texts in one stream, each led and the last followed by an end.
-        before = np.concatenate([[0], np.cumsum(np.diff(bounds)[learnt])])
-        spread = np.diff(before[np.concatenate([[0], np.cumsum(lengths[training])])]) + 1
-        heads = np.cumsum(spread) - spread
-        stream = np.full(spread.sum() + 1, subwords.size, "<u2")
-        inner = np.ones(len(stream), bool)
-        inner[heads], inner[-1] = False, False
-        stream[inner] = gathered(ids, bounds, learnt)
-        del before, learnt, inner
+        stream = training_stream(ids, bounds, learnt, lengths[training], subwords.size)
+        del learnt
         keys, n_pairs = pairs_of(stream)
         counts = sum((np.bincount(stream[i : i + (1 << 18)], minlength=subwords.size + 1) for i in range(0, len(stream), 1 << 18)), np.int64(0))[: subwords.size]
         used = np.flatnonzero(counts)
-        windows = training_windows(stream, heads, spread, each, np.random.default_rng([SEED, block & 0xFFFFFFFF, block >> 32]))
         ids_of = part.column("doc_id")
         yield rows(block=np.full(len(own), block), number=np.arange(len(own)), word=own.cast(pa.binary()), n=n)
         data = {
@@ -479,15 +470,45 @@ def _told(batches: Iterator[pa.RecordBatch], tokenizer: str, pattern: str, each:
             "n_docs": len(lengths), "n_words": len(own), "n_tokens": len(numbers), "n_ids": len(ids),
         }
         learnt = {
-            "pairs": _squeezed(keys), "pair_counts": _squeezed(n_pairs.astype("<i8")), "windows": windows.astype("<u2").tobytes(),
+            "pairs": _squeezed(keys), "pair_counts": _squeezed(n_pairs.astype("<i8")),
             "subwords": _squeezed(used.astype("<i4")), "subword_counts": _squeezed(counts[used].astype("<i8")), "n_pairs": len(keys), "n_subwords": len(used),
         }
         yield rows(block=[block], data=[pickle.dumps(data)], learnt=[pickle.dumps(learnt)])
-        del numbers, own, ids, bounds, stream, keys, n_pairs, windows, part, ids_of, data, learnt
+        del numbers, own, ids, bounds, stream, keys, n_pairs, part, ids_of, data, learnt
         give_back()
         block += 1
 
 
+def training_stream(ids: np.ndarray, bounds: np.ndarray, learnt: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The ids of a block's training texts in one stream, each led and the last followed by an end.
+
+    learnt: word numbers of all training texts in a row; lengths: words of each.
+    """
+    before = np.concatenate([[0], np.cumsum(np.diff(bounds)[learnt])])
+    spread = np.diff(before[np.concatenate([[0], np.cumsum(lengths)])]) + 1
+    stream = np.full(spread.sum() + 1, end, "<u2")
+    inner = np.ones(len(stream), bool)
+    inner[np.cumsum(spread) - spread], inner[-1] = False, False
+    stream[inner] = gathered(ids, bounds, learnt)
+    return stream
+
+
+def stream_of(block: dict, end: int) -> np.ndarray:
+    """The training stream of a written block."""
+    training, lengths = _whole(block["training"], block["n_docs"], "?"), _whole(block["lengths"], block["n_docs"], "<i8")
+    numbers, bounds = _whole(block["numbers"], block["n_tokens"], "<i4"), _whole(block["bounds"], block["n_words"] + 1, "<i4").astype(np.int64)
+    return training_stream(_whole(block["ids"], block["n_ids"], "<u2"), bounds, numbers[np.repeat(training, lengths)], lengths[training], end)
+
+
+def whole_windows(stream: np.ndarray) -> np.ndarray:
+    """(windows, CONTEXT + 1) ids that a stream is cut into: each id but the first is foretold once. The last window goes on with ends."""
+    n = -(-(len(stream) - 1) // CONTEXT)
+    if not n:
+        return np.empty((0, CONTEXT + 1), stream.dtype)
+    padded = np.concatenate([stream, np.full(n * CONTEXT + 1 - len(stream), stream[-1])])
+    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[::CONTEXT]
+
+
 def pairs_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first id * 2^16 + second id, how often) of neighbouring ids, in the order of the keys; sorted in place."""
     keys = stream[:-1].astype("<u4")
@@ -522,6 +543,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_windows(stream: np.ndarray, heads: np.ndarray, sizes: np.ndarray, each: int, rng: np.random.Generator) -> np.ndarray:
     """(windows, CONTEXT + 1) ids of a block's training stream: from every text a window for each WINDOW_IDS ids, and one more.
 
+    The model is no longer fitted on these but on whole_windows().
+
     If `each` is greater, that many, but no more than cover the text. They start at random in equal parts of the text.
     """
     n = np.maximum(1 + sizes // WINDOW_IDS, np.minimum(sizes // CONTEXT, each))
@@ -549,17 +572,6 @@ def subword_counts(blocks: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def windows_told(blocks: DataFrame) -> DataFrame:
-    """(block, windows, n) of every block with training documents."""
-
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            some = [(k, w) for k, w in zip(batch["block"], (pickle.loads(d)["windows"] for d in batch["learnt"]), strict=True) if w]
-            yield pd.DataFrame({"block": [k for k, _ in some], "windows": [w for _, w in some], "n": [len(w) // (2 * (CONTEXT + 1)) for _, w in some]})
-
-    return staged(blocks.select("block", "learnt").mapInPandas(told, "block long, windows binary, n long"), "lm-windows")
-
-
 def vocabulary(counts: np.ndarray, leads: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known, rare_log, unigram): the model id of each subword, rare ones' log shares of their kind, chances of model ids.
 
@@ -621,40 +633,46 @@ def _averaged(rows: DataFrame, parts: int) -> np.ndarray | None:
     return sum(r.n * np.frombuffer(r.model, "<f4").astype(np.float64) for r in found) / sum(r.n for r in found) if found else None
 
 
-def fit(windows: DataFrame, n: int, model_id: np.ndarray, unigram: np.ndarray) -> dict[str, np.ndarray]:
-    """The model after all rounds; windows: (block, windows) of all training documents, n of them."""
-    m, parts = started_model(unigram), pieces_of(windows.sparkSession, n, TASK_WINDOWS)
+def fit(blocks: DataFrame, n: int, model_id: np.ndarray, unigram: np.ndarray) -> dict[str, np.ndarray]:
+    """The model after all rounds; blocks: (data) with the training documents, which have about n windows.
+
+    A task goes over its blocks one after the other, each made again from what scoring has of it, so no windows are kept.
+    """
+    m, end = started_model(unigram), len(model_id) - 1
     epochs = max(1, min(EPOCHS, round(EPOCHS * LEAST_WINDOWS / max(n, 1))))
     rounds = max(ROUNDS, epochs)
-    dealt = staged(windows.select("block", "windows").repartition(parts, "block"), "lm-dealt") if n else windows
+    data = blocks.select("data")
+    parts = data.rdd.getNumPartitions() if n else 0
     for r in range(rounds if n else 0):
 
         def go_on(batches: Iterator[pd.DataFrame], r=r, m=m) -> Iterator[pd.DataFrame]:
-            some = [np.frombuffer(w, "<u2").reshape(-1, CONTEXT + 1) for batch in batches for w in batch["windows"]]
-            some = np.concatenate(some) if some else np.empty((0, CONTEXT + 1), np.uint16)
-            some = model_id[some[(np.arange(len(some)) + r) % rounds < epochs]]  # each window `epochs` times in all rounds
-            if len(some):
-                model = packed(trained(m, some, r / rounds, (r + 1) / rounds, SEED + r))
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [len(some)], "model": [model.astype("<f4").tobytes()]})
-            del some
+            seen = 0
+            for batch in batches:
+                for told in batch["data"]:
+                    some = whole_windows(stream_of(pickle.loads(told), end))
+                    some = model_id[some[(np.arange(len(some)) + r) % rounds < epochs]]  # each window `epochs` times in all rounds
+                    if len(some):
+                        m, seen = trained(m, some, r / rounds, (r + 1) / rounds, SEED + r), seen + len(some)
+            if seen:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [seen], "model": [packed(m).astype("<f4").tobytes()]})
             give_back()
 
-        found = _averaged(dealt.select("windows").mapInPandas(go_on, "part int, n long, model binary"), dealt.rdd.getNumPartitions())
+        found = _averaged(data.mapInPandas(go_on, "part int, n long, model binary"), parts)
         m = m if found is None else unpacked(found)
     return m
 
 
 def learn(blocks: DataFrame, words: DataFrame, n_docs: int, tokenizer: str, pattern: str) -> dict:
-    """All that scoring needs but word counts. blocks: (block, learnt); words: (word, c) of the training documents."""
+    """All that scoring needs but word counts. blocks: (block, data, learnt); words: (word, c) of the training documents."""
     subwords = Subwords(tokenizer, pattern)
     sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    known, rare_log, unigram = vocabulary(subword_counts(blocks, subwords.size), subwords.leads, n_docs)
+    counts = subword_counts(blocks, subwords.size)
+    known, rare_log, unigram = vocabulary(counts, subwords.leads, n_docs)
     model_id = np.append(known, END)
     pairs = pair_table(blocks, model_id)
     total = np.maximum(pairs.sum(axis=1, keepdims=True), 1)
     starts = np.arange(IDS) < STARTS * MEMBERS
-    windows = windows_told(blocks)
-    model = fit(windows, windows.agg(F.sum("n").alias("n")).first().n or 0, model_id, unigram)
+    model = fit(blocks, -(-(int(counts.sum()) + n_docs) // CONTEXT), model_id, unigram)
     return {
         "model": model, "tables": tables(model), "known": known, "rare_log": rare_log, "n_docs": n_docs, "n_all": (sums.n or 0) + n_docs, "n_distinct": (sums.v or 0) + (n_docs > 0),
         "pairs": (pairs / total).astype(np.float32), "begins": (pairs[:, starts].sum(axis=1) / total[:, 0]).astype(np.float32),
@@ -715,9 +733,8 @@ def prepared(docs: DataFrame, tokenizer: str, pattern: str) -> tuple[DataFrame,
         "text",
     )
     n_docs = rows.filter("training").count()
-    each = -(-LEAST_WINDOWS // max(1, n_docs))
     with small_batches(docs.sparkSession, 1000):
-        told = staged(rows.mapInArrow(lambda it: _told(it, tokenizer, pattern, each), TOLD), "lm-blocks")
+        told = staged(rows.mapInArrow(lambda it: _told(it, tokenizer, pattern), TOLD), "lm-blocks")
     blocks = told.filter("data is not null").select("block", "data", "learnt")
     same = Window.partitionBy("word")
     counted = told.filter("data is null").select("block", "number", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("one"))
