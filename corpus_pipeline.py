@@ -22,7 +22,10 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null or empty text, and one without a letter, goes; rows that repeat stay as often as they come; a null id, which is in
     the training fold, or a null source changes nothing; a null language is not learned from; without any labelled document all rows go. A text of any length is read whole, in slices.
+
+    The session's limit of a batch for Python workers stays at packing.BATCH_BYTES: what is returned runs when it is written.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", packing.BATCH_BYTES)
     return language_id.recognised(docs, language_id.train(docs.filter(language_id.in_training())))
 
 

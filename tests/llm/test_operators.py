@@ -955,6 +955,19 @@ def test_packing(spark, docs, none, words):
     assert packing.pack_documents(none, tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_texts_come_to_the_tokenizer_in_bounded_batches(spark):
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [0], "piece": [0], "start": [b.nbytes], "length": [1], "ids_crc32": [b.num_rows]}, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32"))]))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.range(40).coalesce(1).select(F.expr(f"repeat('x', {1 << 20})").alias("text"))
+    rows = packing.packed(long.mapInArrow(told, packing.PIECES)).collect()
+    assert sum(r.ids_crc32 for r in rows) == 40
+    assert max(r.start for r in rows) < 8 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def cut(ids):
     ids += b"\0\0\0\0"
     return [(k, k * 64, len(ids[k * 256 : k * 256 + 256]) // 4, zlib.crc32(ids[k * 256 : k * 256 + 256])) for k in range(-(-len(ids) // 256))]

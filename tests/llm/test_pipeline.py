@@ -72,3 +72,14 @@ def test_matches_sql(spark, small, name):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES
+
+
+def test_stages_get_texts_in_bounded_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        kept = corpus_pipeline.keep_recognised(spark, spark.createDataFrame([(i, "the fox and the dog ran home again " * 9, "en", "a", 9) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long"), "")
+        assert spark.conf.get(name) == corpus_pipeline.packing.BATCH_BYTES
+        assert kept.count() == 20
+    finally:
+        spark.conf.set(name, before)

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtering_joins, small_batches, staged
+from .common import filtering_joins, give_back, small_batches, staged
 from .components import components
 
 WORDS, LEAST = 5, 0.8
@@ -135,6 +135,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "name": [set_name(f) if len(f) else None for f in found],
             "tokens": [min_tokens(f).tobytes() if len(f) else None for f in found],
         })
+    give_back()
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -160,6 +161,7 @@ def _children(batches: Iterator[pd.DataFrame], runs: int, level: int) -> Iterato
             row.append(i)
             at.append(_mix(_mix(_mix(salted[i]) + j.astype(np.uint64)) + tokens[i, j]).view(np.int64))
         yield pd.DataFrame({"path": np.concatenate(at), "node": batch["node"].to_numpy()[np.concatenate(row)]})
+    give_back()
 
 
 BUCKET = "path long, node long"
@@ -228,6 +230,7 @@ def _small_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     edges.append((node[x], node[x + d]))
         if edges:
             yield pd.DataFrame(edges, columns=["u", "v"])
+    give_back()
 
 
 def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:

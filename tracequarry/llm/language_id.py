@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, staged, text_slices
+from .common import crc_of_id, give_back, staged, text_slices
 
 #: Hashed n-grams.
 DIMS = 1 << 12
@@ -115,6 +115,7 @@ def _document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
                     if found is not None:
                         df += found > 0
                         n += 1
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS), pa.int32()), pa.array(np.concatenate([[n], df]), pa.int64())], names=["dim", "n"])
 
     out, n = np.zeros(DIMS, np.int64), 0
@@ -197,6 +198,7 @@ def classify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
                 found = [_predicted(text, model, letters) for text in texts]
                 columns = [part.column(c) for c in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "rejected"])
+        give_back()
 
     narrow = docs.select(*keep, F.col("text").alias("_text"))
     return narrow.mapInArrow(predict, f"{schema}, lang_pred string, score double, rejected boolean")
@@ -210,6 +212,7 @@ def recognised(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield part.filter(pa.array([not _predicted(t, model, letters)[2] for t in texts], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -5,7 +5,7 @@ cut into full pieces and a last one. Pieces are dealt at random into blocks of a
 rows, and each block is packed by one task: a sequence is filled greedily with
 the longest piece that fits, then its smallest piece is exchanged for the two unpacked ones
 that fill the larger gap best, if they fill it more tightly. Only lengths and
-checksums are shuffled. A block leaves one loosely filled sequence at most, so blocks cost
+checksums are shuffled. Texts come to the tokenizer in batches of BATCH_BYTES, and a task gives back what it no longer needs. A block leaves one loosely filled sequence at most, so blocks cost
 next to nothing against packing all together.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, staged, text_slices
+from .common import give_back, pieces_of, small_batches, staged, text_slices
 from .wordpieces import Words, per_worker
 
 CAPACITY, END_ID = 2048, 0
 BLOCK = 32768
+#: Text that Spark hands to a worker at once; only one text alone has more.
+BATCH_BYTES = "4m"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,6 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         out.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -67,7 +70,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
             del sizes[bisect_left(sizes, size)]
         return item
 
-    def give_back(size: int, item: int) -> None:
+    def put_back(size: int, item: int) -> None:
         if size not in waiting:
             waiting[size] = []
             sizes.insert(bisect_left(sizes, size), size)
@@ -100,7 +103,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
             if pair:
                 held.remove(small)
                 held += [(size, take(size)) for size in pair]
-                give_back(*small)
+                put_back(*small)
         at = 0
         for size, item in held:
             bins[item], places[item] = number, at
@@ -111,7 +114,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 
 def packed(found: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """found's columns, sequence_id and offset for every piece."""
-    rows = staged(found, "pieces")
+    with small_batches(found.sparkSession, size=BATCH_BYTES):
+        rows = staged(found, "pieces")
     n_blocks = pieces_of(rows.sparkSession, rows.count(), block)
 
     def pack(key, part: pd.DataFrame) -> pd.DataFrame:
