@@ -567,6 +567,25 @@ def test_chances_sum_to_one_and_tables_agree():
     assert np.abs(lm_scoring._forward(m, later)["out"][:, :12] - slow[:, :12]).max() < 1e-6  # no id sees a later one
 
 
+def test_members_of_all_classes_are_worked_out_together(monkeypatch):
+    m = {k: v.astype(np.float64) for k, v in lm_scoring.new_model(2).items()}
+    m["mem_b"] = np.random.default_rng(4).random(m["mem_b"].shape)
+    ids = np.random.default_rng(3).integers(0, 300, (7, 33))
+    seen, softmax = [], lm_scoring._softmax
+    monkeypatch.setattr(lm_scoring, "_softmax", lambda x: seen.append(len(x)) or softmax(x))
+    loss, g = lm_scoring._gradient(m, ids[:, :-1], ids[:, 1:])
+    assert len(seen) == 2  # before, once for each class
+    hidden, want = lm_scoring._forward(m, ids[:, :-1])["out"].reshape(-1, lm_scoring.WIDTH), ids[:, 1:].reshape(-1)
+    slow, mem = 0.0, np.zeros_like(m["mem"])
+    for h, w in zip(hidden, want, strict=True):
+        c, e = divmod(int(w), lm_scoring.MEMBERS)
+        of_class, of_member = np.exp(h @ m["cls"] + m["cls_b"]), np.exp(h @ m["mem"][c] + m["mem_b"][c])
+        slow -= (np.log(of_class[c] / of_class.sum()) + np.log(of_member[e] / of_member.sum())) / len(want)
+        mem[c] += np.outer(h, of_member / of_member.sum() - (np.arange(lm_scoring.MEMBERS) == e)) / len(want)
+    assert abs(loss - slow) < 1e-6
+    assert np.abs(g["mem"] - mem).max() < 1e-7
+
+
 def test_gradient():
     m = {k: v.astype(np.float64) for k, v in lm_scoring.new_model(1).items()}
     ids = np.random.default_rng(0).integers(0, 1024, (3, 11))

@@ -61,6 +61,8 @@ WINDOW_IDS, LEAST_WINDOWS, EPOCHS = 1024, 24_000, 6
 ROUNDS, FAN = 4, 16
 SEED = 3
 BATCH = 64
+#: Rows of a class that the gradient multiplies together.
+BLOCK_ROWS = 32
 #: Windows that go through attention, and through the softmax, together; ids of texts scored at once.
 SCORE_BATCH, SOFTMAX_BATCH, SCORE_IDS = 128, 512, 100_000
 
@@ -146,7 +148,10 @@ def _rms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rms_back(dy: np.ndarray, y: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return (dy - y * (np.einsum("...d,...d->...", dy, y) / np.float32(WIDTH))[..., None]) * scale
+    out = y * (np.einsum("...d,...d->...", dy, y) * np.float32(-1 / WIDTH))[..., None]
+    out += dy
+    out *= scale
+    return out
 
 
 def _distance(t: int) -> np.ndarray:
@@ -157,19 +162,25 @@ def _distance(t: int) -> np.ndarray:
 def _forward(m: dict, ids: np.ndarray) -> dict:
     """Hidden states after each id of a (windows, length) batch, and what the gradient needs."""
     n, t = ids.shape
-    x = m["embed"][ids]
+    x = np.take(m["embed"], ids, axis=0)
     y, ys = _rms(x)
-    q, k, v = ((y.reshape(-1, WIDTH) @ m[w]).reshape(n, t, WIDTH) for w in "qkv")
-    a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5) + m["far"][_distance(t)]
+    qkv = np.concatenate([m["q"], m["k"], m["v"]], axis=1)
+    q, k, v = np.split((y.reshape(-1, WIDTH) @ qkv).reshape(n, t, 3 * WIDTH), 3, axis=2)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a *= np.float32(WIDTH**-0.5)
+    a += m["far"][_distance(t)]
     np.exp(np.minimum(a, 40, out=a), out=a)
     a *= np.tri(t, dtype=np.float32)  # no id sees a later one
-    a /= a.sum(axis=2, keepdims=True)
-    x1 = x + np.matmul(a, v)
+    a *= 1 / (a @ np.ones((t, 1), a.dtype))
+    x1 = np.matmul(a, v)
+    x1 += x
     y1, y1s = _rms(x1)
-    h = y1.reshape(-1, WIDTH) @ m["w1"] + m["b1"]
+    h = y1.reshape(-1, WIDTH) @ m["w1"]
+    h += m["b1"]
     np.maximum(h, 0, out=h)
-    out, zs = _rms(x1 + (h @ m["w2"]).reshape(x.shape))
-    return {"y": y, "ys": ys, "q": q, "k": k, "v": v, "a": a, "y1": y1, "y1s": y1s, "h": h, "out": out, "zs": zs}
+    x1 += (h @ m["w2"]).reshape(x.shape)
+    out, zs = _rms(x1)
+    return {"y": y, "ys": ys, "qkv": qkv, "q": q, "k": k, "v": v, "a": a, "y1": y1, "y1s": y1s, "h": h, "out": out, "zs": zs}
 
 
 def tables(m: dict) -> dict:
@@ -244,7 +255,7 @@ def hidden_states(m: dict, stream: np.ndarray, heads: np.ndarray) -> Iterator[tu
 def _softmax(logits: np.ndarray) -> np.ndarray:
     np.minimum(logits, 80, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits *= 1 / (logits @ np.ones((logits.shape[1], 1), logits.dtype))
     return logits
 
 
@@ -275,58 +286,81 @@ def _exponents(logits: np.ndarray, bias: np.ndarray, clip: bool) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
+def _ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order of small whole numbers, where a new one begins in it)."""
+    order = np.argsort(values.astype(np.uint16), kind="stable")
+    ordered = np.take(values, order)
+    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
 def _gradient(m: dict, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-    """Mean loss of a batch without padding, and its gradient."""
-    f, g = _forward(m, ids), {k: np.zeros_like(v) for k, v in m.items()}
+    """Mean loss of a batch without padding, and its gradient.
+
+    Members' softmaxes are worked out for all classes together; queries, keys and values are one product.
+    """
+    f, g = _forward(m, ids), {"far": np.zeros_like(m["far"])}
     n, t = ids.shape
-    flat = f["out"].reshape(-1, WIDTH)
+    flat, read, want = f["out"].reshape(-1, WIDTH), ids.reshape(-1), target.reshape(-1)
     share = np.float32(1 / (n * t))
-    want = target.reshape(-1)
     cls, mem = want // MEMBERS, want % MEMBERS
-    rows = np.arange(len(want))
-    p = _softmax(flat @ m["cls"] + m["cls_b"])
-    loss = -share * np.log(p[rows, cls] + 1e-12).sum()
-    p[rows, cls] -= 1
+    places = np.arange(len(want))
+    p = flat @ m["cls"]
+    p += m["cls_b"]
+    _softmax(p)
+    own = places * CLASSES + cls
+    found = np.take(p.reshape(-1), own)
+    loss = -share * np.log(found + 1e-12).sum()
+    p.reshape(-1)[own] = found - 1
     p *= share
     g["cls"], g["cls_b"] = flat.T @ p, p.sum(axis=0)
     d = p @ m["cls"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    ordered, member, of_members = flat[order], mem[order], np.empty_like(d)
-    for c in range(CLASSES):
-        at = slice(ends[c], ends[c + 1])
-        if ends[c] < ends[c + 1]:
-            p = _softmax(ordered[at] @ m["mem"][c] + m["mem_b"][c])
-            own = rows[: len(p)]
-            loss -= share * np.log(p[own, member[at]] + 1e-12).sum()
-            p[own, member[at]] -= 1
-            p *= share
-            g["mem"][c], g["mem_b"][c] = ordered[at].T @ p, p.sum(axis=0)
-            of_members[at] = p @ m["mem"][c].T
-    d[order] += of_members
-    dz = _rms_back(d.reshape(n, t, WIDTH), f["out"], f["zs"])
-    dz2 = dz.reshape(-1, WIDTH)
-    g["w2"] = f["h"].T @ dz2
-    dh = (dz2 @ m["w2"].T) * (f["h"] > 0)
+    # Rows in the order of their classes, each class padded to whole blocks of BLOCK_ROWS.
+    order, begins = _ordered(cls)
+    n_own = np.diff(begins, append=len(order))
+    n_blocks = -(-n_own // BLOCK_ROWS)
+    first = np.cumsum(n_blocks) - n_blocks
+    slot = places + np.repeat(first * BLOCK_ROWS - begins, n_own)
+    several = np.take(cls, order[begins])
+    members = np.take(m["mem"], np.repeat(several, n_blocks), axis=0)
+    padded, weight = np.zeros((len(members) * BLOCK_ROWS, WIDTH), d.dtype), np.zeros(len(members) * BLOCK_ROWS, d.dtype)
+    padded[slot], weight[slot] = np.take(flat, order, axis=0), share
+    padded = padded.reshape(-1, BLOCK_ROWS, WIDTH)
+    blocks = np.matmul(padded, members)
+    blocks += np.take(m["mem_b"], np.repeat(several, n_blocks), axis=0)[:, None]
+    p = _softmax(blocks.reshape(-1, MEMBERS))
+    own = slot * MEMBERS + np.take(mem, order)
+    found = np.take(p.reshape(-1), own)
+    loss -= share * np.log(found + 1e-12).sum()
+    p.reshape(-1)[own] = found - 1
+    p *= weight[:, None]
+    g["mem"], g["mem_b"] = np.zeros_like(m["mem"]), np.zeros_like(m["mem_b"])
+    g["mem"][several] = np.add.reduceat(np.matmul(padded.transpose(0, 2, 1), blocks), first, axis=0)
+    g["mem_b"][several] = np.add.reduceat(np.ones(BLOCK_ROWS, d.dtype) @ blocks, first, axis=0)
+    d[order] += np.take(np.matmul(blocks, members.transpose(0, 2, 1)).reshape(-1, WIDTH), slot, axis=0)
+    dz = _rms_back(d, flat, f["zs"].reshape(-1, 1))
+    g["w2"] = f["h"].T @ dz
+    dh = dz @ m["w2"].T
+    dh *= f["h"] > 0
     y1 = f["y1"].reshape(-1, WIDTH)
     g["w1"], g["b1"] = y1.T @ dh, dh.sum(axis=0)
-    dx1 = dz + _rms_back((dh @ m["w1"].T).reshape(n, t, WIDTH), f["y1"], f["y1s"])
-    da = np.matmul(dx1, f["v"].transpose(0, 2, 1))
-    dv = np.matmul(f["a"].transpose(0, 2, 1), dx1)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
+    dx = _rms_back(dh @ m["w1"].T, y1, f["y1s"].reshape(-1, 1))
+    dx += dz
+    dx1, both = dx.reshape(n, t, WIDTH), np.empty((n, t, 3 * WIDTH), dx.dtype)
+    ds = np.matmul(dx1, f["v"].transpose(0, 2, 1))
+    np.matmul(f["a"].transpose(0, 2, 1), dx1, out=both[..., 2 * WIDTH :])
+    ds -= np.einsum("nij,nij->ni", ds, f["a"])[..., None]
+    ds *= f["a"]
     g["far"][:t] = np.bincount(_distance(t).reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=t)
     ds *= np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-    y, dy = f["y"].reshape(-1, WIDTH), np.zeros((n * t, WIDTH), np.float32)
-    for w, dw in (("q", dq), ("k", dk), ("v", dv)):
-        dw = dw.reshape(-1, WIDTH)
-        g[w] = y.T @ dw
-        dy += dw @ m[w].T
-    dx = (dx1 + _rms_back(dy.reshape(n, t, WIDTH), f["y"], f["ys"])).reshape(-1, WIDTH)
-    order = np.argsort(ids.reshape(-1), kind="stable")
-    own, first = np.unique(ids.reshape(-1)[order], return_index=True)
-    g["embed"][own] = np.add.reduceat(dx[order], first, axis=0)
-    return float(loss), g
+    np.matmul(ds, f["k"], out=both[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=both[..., WIDTH : 2 * WIDTH])
+    y, both = f["y"].reshape(-1, WIDTH), both.reshape(-1, 3 * WIDTH)
+    g["q"], g["k"], g["v"] = np.split(y.T @ both, 3, axis=1)
+    dx += _rms_back(both @ f["qkv"].T, y, f["ys"].reshape(-1, 1))
+    order, begins = _ordered(read)
+    g["embed"] = np.zeros_like(m["embed"])
+    g["embed"][np.take(read, order[begins])] = np.add.reduceat(np.take(dx, order, axis=0), begins, axis=0)
+    return float(loss), {k: g[k] for k in m}
 
 
 def started_model(unigram: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -337,19 +371,23 @@ def started_model(unigram: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray
 
 def trained(m: dict, windows: np.ndarray, begun: float, ended: float, seed: int = SEED) -> dict:
     """m after Adam over (windows, CONTEXT + 1) ids once; begun, ended: the part of all training before and after it."""
-    m = {k: v.copy() for k, v in m.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    held = packed(m)
+    m, first, second, room = unpacked(held), np.zeros_like(held), np.zeros_like(held), np.empty_like(held)
     order = np.random.default_rng(seed).permutation(len(windows))
     steps = -(-len(order) // BATCH)
     for step, at in enumerate(range(0, len(order), BATCH), 1):
         batch = windows[order[at : at + BATCH]]
-        _, g = _gradient(m, batch[:, :-1], batch[:, 1:])
+        g = packed(_gradient(m, batch[:, :-1], batch[:, 1:])[1])
         done = begun + (ended - begun) * step / steps
         rate = 6e-3 * min(1.0, step / 50 + (begun > 0)) * (1 - 0.95 * done)
-        for k in m:
-            first[k] += 0.1 * (g[k] - first[k])
-            second[k] += 0.02 * (g[k] * g[k] - second[k])
-            m[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+        first += np.multiply(np.subtract(g, first, out=room), 0.1, out=room)
+        g *= g
+        second += np.multiply(np.subtract(g, second, out=room), 0.02, out=room)
+        np.sqrt(np.multiply(second, 1 / (1 - 0.98**step), out=room), out=room)
+        room += 1e-8
+        np.divide(first, room, out=room)
+        room *= rate / (1 - 0.9**step)
+        held -= room
     return m
 
 
@@ -358,9 +396,10 @@ def packed(m: dict) -> np.ndarray:
 
 
 def unpacked(values: np.ndarray) -> dict[str, np.ndarray]:
+    """A model of float32; it is a view of values where these are so."""
     out, at = {}, 0
     for k, v in new_model().items():
-        out[k], at = values[at : at + v.size].reshape(v.shape).astype(np.float32), at + v.size
+        out[k], at = values[at : at + v.size].reshape(v.shape).astype(np.float32, copy=False), at + v.size
     return out
 
 
