@@ -1,8 +1,10 @@
 """The operators on small tables of awkward rows, against brute force."""
 
+import ctypes
 import hashlib
 import pickle
 import re
+import resource
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -16,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracequarry.llm import ann, components, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, packing, sharding, url_filter, wordpieces
+from tracequarry.llm.common import holding_memory
 from tracequarry.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, vslot int, lang_pred string, node string, h string, chunk string, _block string"
@@ -586,6 +589,38 @@ def test_members_of_all_classes_are_worked_out_together(monkeypatch):
     assert np.abs(g["mem"] - mem).max() < 1e-7
 
 
+def test_what_depends_on_the_id_is_worked_out_once_for_each(monkeypatch):
+    m, ids = lm_scoring.new_model(2), np.random.default_rng(3).integers(0, 50, (7, 33))
+    rows, rms = [], lm_scoring._rms
+    monkeypatch.setattr(lm_scoring, "_rms", lambda x: rows.append(x.size // lm_scoring.WIDTH) or rms(x))
+    f = lm_scoring._forward(m, ids[:, :-1])
+    assert rows == [len(np.unique(ids[:, :-1])), 7 * 32, 7 * 32]  # before, the first was 7 * 32, too
+    y = rms(m["embed"][ids[:, :-1]])[0]
+    assert np.abs(f["k"] - y @ m["k"]).max() < 1e-5 and np.abs(f["q"] - y @ m["q"] / lm_scoring.WIDTH**0.5).max() < 1e-5
+
+
+def test_sums_by_number():
+    rng = np.random.default_rng(5)
+    of = np.concatenate([rng.integers(0, 90, 400), np.full(17, 7), np.full(300, 95), np.full(16, 97), [99]])
+    rng.shuffle(of)
+    rows = rng.random((len(of), 5))
+    for numbers in (of, of[:1], np.full(40, 3), np.arange(40)):
+        several, sums = lm_scoring._sums(rows[: len(numbers)], np.argsort(numbers, kind="stable"), np.bincount(numbers, minlength=100))
+        assert sorted(several) == sorted(set(numbers.tolist()))
+        assert all(np.abs(x - rows[: len(numbers)][numbers == i].sum(axis=0)).max() < 1e-9 for i, x in zip(several, sums, strict=True))
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "mallopt"), reason="another C library")
+def test_training_keeps_its_memory_at_hand():
+    """Batches do not take their arrays' pages from the system again; afterwards what is free goes back."""
+    windows = np.random.default_rng(6).integers(0, 1024, (lm_scoring.BATCH * 10, 33))
+    with holding_memory():
+        lm_scoring.trained(lm_scoring.new_model(), windows, 0.0, 0.5)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        lm_scoring.trained(lm_scoring.new_model(), windows, 0.0, 0.5)
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 2000  # without, 16,000
+
+
 def test_gradient():
     m = {k: v.astype(np.float64) for k, v in lm_scoring.new_model(1).items()}
     ids = np.random.default_rng(0).integers(0, 1024, (3, 11))

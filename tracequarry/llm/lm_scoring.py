@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, give_back, small_batches, staged
+from .common import crc_of_id, give_back, holding_memory, small_batches, staged
 
 FOLDS, HELD_OUT = 7, 2
 #: Text of a block; only one text alone has more. The word rows of the corpus are those of all blocks.
@@ -143,12 +143,15 @@ def new_model(seed: int = SEED) -> dict[str, np.ndarray]:
 
 
 def _rms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scale = 1 / np.sqrt(np.einsum("...d,...d->...", x, x) / np.float32(WIDTH) + np.float32(1e-5))[..., None]
+    square = (x * x).reshape(-1, WIDTH) @ np.full(WIDTH, 1 / WIDTH, x.dtype)
+    square += x.dtype.type(1e-5)
+    scale = (1 / np.sqrt(square, out=square)).reshape(*x.shape[:-1], 1)
     return x * scale, scale
 
 
 def _rms_back(dy: np.ndarray, y: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    out = y * (np.einsum("...d,...d->...", dy, y) * np.float32(-1 / WIDTH))[..., None]
+    out = dy * y
+    np.multiply(y, (out @ np.full(WIDTH, -1 / WIDTH, out.dtype))[:, None], out=out)
     out += dy
     out *= scale
     return out
@@ -159,28 +162,38 @@ def _distance(t: int) -> np.ndarray:
     return np.maximum(np.arange(t)[:, None] - np.arange(t)[None, :], 0)
 
 
+_DISTANCE, _TRI = _distance(CONTEXT), np.tri(CONTEXT, dtype=np.float32)
+
+
 def _forward(m: dict, ids: np.ndarray) -> dict:
-    """Hidden states after each id of a (windows, length) batch, and what the gradient needs."""
+    """Hidden states after each id of a (windows, length) batch, and what the gradient needs.
+
+    Queries, keys and values depend on the id only, so they are worked out once for each different id of the batch.
+    """
     n, t = ids.shape
-    x = np.take(m["embed"], ids, axis=0)
-    y, ys = _rms(x)
-    qkv = np.concatenate([m["q"], m["k"], m["v"]], axis=1)
-    q, k, v = np.split((y.reshape(-1, WIDTH) @ qkv).reshape(n, t, 3 * WIDTH), 3, axis=2)
+    read = ids.reshape(-1)
+    times = np.bincount(read, minlength=IDS)
+    several = np.flatnonzero(times)
+    e = np.take(m["embed"], several, axis=0)
+    y, ys = _rms(e)
+    qkv = np.concatenate([m["q"] * np.float32(WIDTH**-0.5), m["k"], m["v"]], axis=1)
+    rows = np.take(np.concatenate([y @ qkv, e], axis=1), np.take(np.cumsum(times > 0) - 1, read), axis=0).reshape(n, t, 4 * WIDTH)
+    q, k, v, x = (rows[..., i * WIDTH : (i + 1) * WIDTH] for i in range(4))
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= np.float32(WIDTH**-0.5)
-    a += m["far"][_distance(t)]
-    np.exp(np.minimum(a, 40, out=a), out=a)
-    a *= np.tri(t, dtype=np.float32)  # no id sees a later one
+    if a.max() > 40:
+        np.minimum(a, 40, out=a)
+    np.exp(a, out=a)
+    a *= np.exp(m["far"])[_DISTANCE[:t, :t]] * _TRI[:t, :t]  # no id sees a later one
     a *= 1 / (a @ np.ones((t, 1), a.dtype))
     x1 = np.matmul(a, v)
     x1 += x
     y1, y1s = _rms(x1)
     h = y1.reshape(-1, WIDTH) @ m["w1"]
     h += m["b1"]
-    np.maximum(h, 0, out=h)
-    x1 += (h @ m["w2"]).reshape(x.shape)
+    np.maximum(h, np.zeros((1, HIDDEN), h.dtype), out=h)  # faster than with a number
+    x1 += (h @ m["w2"]).reshape(x1.shape)
     out, zs = _rms(x1)
-    return {"y": y, "ys": ys, "qkv": qkv, "q": q, "k": k, "v": v, "a": a, "y1": y1, "y1s": y1s, "h": h, "out": out, "zs": zs}
+    return {"several": several, "times": times, "y": y, "ys": ys, "qkv": qkv, "q": q, "k": k, "v": v, "a": a, "y1": y1, "y1s": y1s, "h": h, "out": out, "zs": zs}
 
 
 def tables(m: dict) -> dict:
@@ -210,7 +223,7 @@ def _attended(m: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, own: np.ndar
     x1 += own
     h = _rms(x1)[0] @ m["w1"]
     h += m["b1"]
-    np.maximum(h, 0, out=h)
+    np.maximum(h, np.zeros((1, HIDDEN), h.dtype), out=h)  # faster than with a number
     x1 += h @ m["w2"]
     return _rms(x1)[0]
 
@@ -253,7 +266,8 @@ def hidden_states(m: dict, stream: np.ndarray, heads: np.ndarray) -> Iterator[tu
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    np.minimum(logits, 80, out=logits)
+    if logits.max() > 80:
+        np.minimum(logits, 80, out=logits)
     np.exp(logits, out=logits)
     logits *= 1 / (logits @ np.ones((logits.shape[1], 1), logits.dtype))
     return logits
@@ -286,25 +300,47 @@ def _exponents(logits: np.ndarray, bias: np.ndarray, clip: bool) -> np.ndarray:
     return np.exp(logits, out=logits)
 
 
-def _ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order of small whole numbers, where a new one begins in it)."""
-    order = np.argsort(values.astype(np.uint16), kind="stable")
-    ordered = np.take(values, order)
-    return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+def _runs(times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which small numbers occur, how often each, where each begins in order), of how often every one does."""
+    several = np.flatnonzero(times)
+    n = np.take(times, several)
+    return several, n, np.cumsum(n) - n
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, times: np.ndarray, many: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(which small numbers occur, the sum of each one's rows); order: the rows by number, times: how often every number occurs.
+
+    Rows of numbers that occur more than `many` times are added up number by number, the others' first, second, ... rows together.
+    """
+    several, n, begins = _runs(times)
+    most = np.argsort(-n, kind="stable")
+    several, n, begins = several[most], n[most], begins[most]
+    out, ones = np.take(rows, order[begins], axis=0), np.ones(n[0], rows.dtype)
+    more = len(n) - np.cumsum(np.bincount(n, minlength=many + 1))  # numbers that occur more often than 0, 1, ... times
+    for i, (a, k) in enumerate(zip(begins[: more[many]].tolist(), n.tolist())):
+        np.matmul(ones[:k], np.take(rows, order[a : a + k], axis=0), out=out[i])
+    for k in range(1, many):
+        some = slice(more[many], more[k])
+        out[some] += np.take(rows, order[begins[some] + k], axis=0)
+    return several, out
 
 
 def _gradient(m: dict, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
     """Mean loss of a batch without padding, and its gradient.
 
-    Members' softmaxes are worked out for all classes together; queries, keys and values are one product.
+    Members' softmaxes are worked out for all classes together. What goes back to queries, keys, values and embeddings is
+    added up for each different id first, as these depend on the id only.
     """
     f, g = _forward(m, ids), {"far": np.zeros_like(m["far"])}
     n, t = ids.shape
     flat, read, want = f["out"].reshape(-1, WIDTH), ids.reshape(-1), target.reshape(-1)
-    share = np.float32(1 / (n * t))
-    cls, mem = want // MEMBERS, want % MEMBERS
+    share, ones = np.float32(1 / (n * t)), np.ones(len(want), flat.dtype)
     places = np.arange(len(want))
-    p = flat @ m["cls"]
+    # Rows in the order of what is to come, so of its classes.
+    order = np.argsort(want.astype(np.uint16), kind="stable")
+    want, hidden = np.take(want, order), np.take(flat, order, axis=0)
+    cls, mem = want // MEMBERS, want % MEMBERS
+    p = hidden @ m["cls"]
     p += m["cls_b"]
     _softmax(p)
     own = places * CLASSES + cls
@@ -312,54 +348,57 @@ def _gradient(m: dict, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict
     loss = -share * np.log(found + 1e-12).sum()
     p.reshape(-1)[own] = found - 1
     p *= share
-    g["cls"], g["cls_b"] = flat.T @ p, p.sum(axis=0)
+    g["cls"], g["cls_b"] = hidden.T @ p, ones @ p
     d = p @ m["cls"].T
-    # Rows in the order of their classes, each class padded to whole blocks of BLOCK_ROWS.
-    order, begins = _ordered(cls)
-    n_own = np.diff(begins, append=len(order))
+    # Each class padded to whole blocks of BLOCK_ROWS.
+    several, n_own, begins = _runs(np.bincount(cls))
     n_blocks = -(-n_own // BLOCK_ROWS)
     first = np.cumsum(n_blocks) - n_blocks
+    of_block = np.repeat(several, n_blocks)
     slot = places + np.repeat(first * BLOCK_ROWS - begins, n_own)
-    several = np.take(cls, order[begins])
-    members = np.take(m["mem"], np.repeat(several, n_blocks), axis=0)
-    padded, weight = np.zeros((len(members) * BLOCK_ROWS, WIDTH), d.dtype), np.zeros(len(members) * BLOCK_ROWS, d.dtype)
-    padded[slot], weight[slot] = np.take(flat, order, axis=0), share
+    members = np.take(m["mem"], of_block, axis=0)
+    padded, weight = np.zeros((len(members) * BLOCK_ROWS, WIDTH), d.dtype), np.zeros((len(members) * BLOCK_ROWS, 1), d.dtype)
+    padded[slot], weight[slot] = hidden, share
     padded = padded.reshape(-1, BLOCK_ROWS, WIDTH)
     blocks = np.matmul(padded, members)
-    blocks += np.take(m["mem_b"], np.repeat(several, n_blocks), axis=0)[:, None]
+    blocks += np.take(m["mem_b"], of_block, axis=0)[:, None]
     p = _softmax(blocks.reshape(-1, MEMBERS))
-    own = slot * MEMBERS + np.take(mem, order)
+    own = slot * MEMBERS + mem
     found = np.take(p.reshape(-1), own)
     loss -= share * np.log(found + 1e-12).sum()
     p.reshape(-1)[own] = found - 1
-    p *= weight[:, None]
+    p *= weight
     g["mem"], g["mem_b"] = np.zeros_like(m["mem"]), np.zeros_like(m["mem_b"])
-    g["mem"][several] = np.add.reduceat(np.matmul(padded.transpose(0, 2, 1), blocks), first, axis=0)
     g["mem_b"][several] = np.add.reduceat(np.ones(BLOCK_ROWS, d.dtype) @ blocks, first, axis=0)
-    d[order] += np.take(np.matmul(blocks, members.transpose(0, 2, 1)).reshape(-1, WIDTH), slot, axis=0)
-    dz = _rms_back(d, flat, f["zs"].reshape(-1, 1))
+    rows = padded.reshape(-1, WIDTH)
+    for c, a, b in zip(several, first * BLOCK_ROWS, first * BLOCK_ROWS + n_own, strict=True):
+        np.matmul(rows[a:b].T, p[a:b], out=g["mem"][c])
+    d += np.take(np.matmul(blocks, members.transpose(0, 2, 1)).reshape(-1, WIDTH), slot, axis=0)
+    hidden[order] = d
+    dz = _rms_back(hidden, flat, f["zs"].reshape(-1, 1))
     g["w2"] = f["h"].T @ dz
     dh = dz @ m["w2"].T
     dh *= f["h"] > 0
     y1 = f["y1"].reshape(-1, WIDTH)
-    g["w1"], g["b1"] = y1.T @ dh, dh.sum(axis=0)
+    g["w1"], g["b1"] = y1.T @ dh, ones @ dh
     dx = _rms_back(dh @ m["w1"].T, y1, f["y1s"].reshape(-1, 1))
     dx += dz
-    dx1, both = dx.reshape(n, t, WIDTH), np.empty((n, t, 3 * WIDTH), dx.dtype)
+    back = np.empty((n, t, 4 * WIDTH), dx.dtype)  # to queries, keys, values and embeddings
+    back[..., 3 * WIDTH :] = dx1 = dx.reshape(n, t, WIDTH)
     ds = np.matmul(dx1, f["v"].transpose(0, 2, 1))
-    np.matmul(f["a"].transpose(0, 2, 1), dx1, out=both[..., 2 * WIDTH :])
+    np.matmul(f["a"].transpose(0, 2, 1), dx1, out=back[..., 2 * WIDTH : 3 * WIDTH])
     ds -= np.einsum("nij,nij->ni", ds, f["a"])[..., None]
     ds *= f["a"]
-    g["far"][:t] = np.bincount(_distance(t).reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=t)
-    ds *= np.float32(WIDTH**-0.5)
-    np.matmul(ds, f["k"], out=both[..., :WIDTH])
-    np.matmul(ds.transpose(0, 2, 1), f["q"], out=both[..., WIDTH : 2 * WIDTH])
-    y, both = f["y"].reshape(-1, WIDTH), both.reshape(-1, 3 * WIDTH)
+    g["far"][:t] = np.bincount(_DISTANCE[:t, :t].reshape(-1), weights=(np.ones(n, ds.dtype) @ ds.reshape(n, -1)), minlength=t)
+    np.matmul(ds, f["k"], out=back[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=back[..., WIDTH : 2 * WIDTH])
+    several, sums = _sums(back.reshape(-1, 4 * WIDTH), np.argsort(read.astype(np.uint16), kind="stable"), f["times"])
+    both, at = sums[:, : 3 * WIDTH], np.searchsorted(f["several"], several)
+    y, ys = f["y"][at], f["ys"][at]
     g["q"], g["k"], g["v"] = np.split(y.T @ both, 3, axis=1)
-    dx += _rms_back(both @ f["qkv"].T, y, f["ys"].reshape(-1, 1))
-    order, begins = _ordered(read)
+    g["q"] = g["q"] * np.float32(WIDTH**-0.5)
     g["embed"] = np.zeros_like(m["embed"])
-    g["embed"][np.take(read, order[begins])] = np.add.reduceat(np.take(dx, order, axis=0), begins, axis=0)
+    g["embed"][several] = sums[:, 3 * WIDTH :] + _rms_back(both @ f["qkv"].T, y, ys)
     return float(loss), {k: g[k] for k in m}
 
 
@@ -686,15 +725,15 @@ def fit(blocks: DataFrame, n: int, model_id: np.ndarray, unigram: np.ndarray) ->
 
         def go_on(batches: Iterator[pd.DataFrame], r=r, m=m) -> Iterator[pd.DataFrame]:
             seen = 0
-            for batch in batches:
-                for told in batch["data"]:
-                    some = whole_windows(stream_of(pickle.loads(told), end))
-                    some = model_id[some[(np.arange(len(some)) + r) % rounds < epochs]]  # each window `epochs` times in all rounds
-                    if len(some):
-                        m, seen = trained(m, some, r / rounds, (r + 1) / rounds, SEED + r), seen + len(some)
+            with holding_memory():
+                for batch in batches:
+                    for told in batch["data"]:
+                        some = whole_windows(stream_of(pickle.loads(told), end))
+                        some = model_id[some[(np.arange(len(some)) + r) % rounds < epochs]]  # each window `epochs` times in all rounds
+                        if len(some):
+                            m, seen = trained(m, some, r / rounds, (r + 1) / rounds, SEED + r), seen + len(some)
             if seen:
                 yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [seen], "model": [packed(m).astype("<f4").tobytes()]})
-            give_back()
 
         found = _averaged(data.mapInPandas(go_on, "part int, n long, model binary"), parts)
         m = m if found is None else unpacked(found)
@@ -786,8 +825,8 @@ def scored(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
     blocks, counted, learnt = prepared(docs, tokenizer, pattern)
 
     def score(block: pa.Table, words: pa.Table) -> pa.Table:
-        out = [_score_block(learnt, pickle.loads(b), words.column("number").to_numpy(), words.column("c").to_numpy()) for b in block.column("data").to_pylist()]
-        give_back()
+        with holding_memory():
+            out = [_score_block(learnt, pickle.loads(b), words.column("number").to_numpy(), words.column("c").to_numpy()) for b in block.column("data").to_pylist()]
         return pa.concat_tables([pa.table(x) for x in out]) if out else pa.schema(_SCORED_ARROW).empty_table()
 
     # Four times as many parts as blocks, so that few blocks share one.
